@@ -104,9 +104,11 @@ def scope_pages(scope: Column, total: Column) -> Column:
 
     def expand(part: Column) -> Column:
         bounds = F.split(part, "-", 2)
-        first = F.greatest(bounds[0].try_cast("int"), F.lit(1))
-        last = F.least(F.coalesce(F.try_element_at(bounds, F.lit(2)), bounds[0]).try_cast("int"), total.cast("int"))
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        start = bounds[0].try_cast("int")
+        end = F.coalesce(F.try_element_at(bounds, F.lit(2)), bounds[0]).try_cast("int")
+        first, last = F.greatest(start, F.lit(1)), F.least(end, total.cast("int"))
+        readable = start.isNotNull() & end.isNotNull() & (first <= last)
+        return F.when(readable, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     picked = F.array_distinct(F.flatten(F.transform(parts, expand)))
     return F.when((scope == "") | F.lower(scope).isin("all", "*"), every).otherwise(picked)
