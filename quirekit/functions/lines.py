@@ -23,7 +23,7 @@ def lines(col: Column) -> Column:
 
 def content_lines(col: Column) -> Column:
     """Stripped, non-empty lines in order."""
-    return F.filter(F.transform(lines(col), strip), lambda line: line != "")
+    return F.filter(F.transform(lines(col), lambda line: strip(line)), lambda line: line != "")
 
 
 def with_previous(items: Column, fn) -> Column:
@@ -94,10 +94,11 @@ def compact_scope(pages: Column) -> Column:
 
 
 def scope_pages(scope: Column, total: Column) -> Column:
-    """JOI-08: page numbers a normalised scope selects, first mention first, in bounds only.
+    """JOI-08: page numbers a normalised scope selects, first mention first.
 
-    Each range is clipped to the document before it is expanded, so the array can
-    never be longer than the document has pages.
+    A scope with a problem selects nothing (``scope_error`` names the problem). Each
+    range is clipped to the document before it is expanded, so no array can outgrow
+    the document.
     """
     every = F.when(total > 0, F.sequence(F.lit(1), total.cast("int"))).otherwise(F.array().cast("array<int>"))
     parts = F.split(scope, ",")
@@ -111,7 +112,12 @@ def scope_pages(scope: Column, total: Column) -> Column:
         return F.when(readable, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     picked = F.array_distinct(F.flatten(F.transform(parts, expand)))
-    return F.when((scope == "") | F.lower(scope).isin("all", "*"), every).otherwise(picked)
+    none = F.array().cast("array<int>")
+    return (
+        F.when((scope == "") | F.lower(scope).isin("all", "*"), every)
+        .when(scope_error(scope, total).isNotNull(), none)
+        .otherwise(picked)
+    )
 
 
 def scope_error(scope: Column, total: Column) -> Column:

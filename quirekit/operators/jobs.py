@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quirekit.functions import fixed
 from quirekit.functions.lines import scope_error
+from quirekit.functions.models import literal_map, model_vendor
 from quirekit.functions.text import base_name, file_extension, normalize_scope, page_sequence
 from quirekit.session import ensure_checkpoint_dir
 
@@ -27,11 +28,6 @@ def is_terminal(col: str | Column = "status") -> Column:
     return status_of(col).isin(fixed.TERMINAL_STATUSES)
 
 
-def literal_map(values: dict[str, str]) -> Column:
-    """A fixed dictionary as a map literal, so that a lookup needs no join."""
-    return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
-
-
 # --- Filters and state changes ---------------------------------------------------------
 
 
@@ -92,17 +88,6 @@ def start_status(status: Column, resume: bool) -> Column:
     return F.when(status == "Paused", status).otherwise("Queued")
 
 
-def model_name(col: Column) -> Column:
-    """CLS-14: blank means the default engine; retired names map to their successor."""
-    name = F.trim(F.coalesce(col, F.lit("")))
-    return F.when(name == "", fixed.FLASH_MODEL).otherwise(F.coalesce(literal_map(fixed.MODEL_ALIASES)[name], name))
-
-
-def model_vendor(col: Column) -> Column:
-    name = F.lower(model_name(col))
-    return F.when(name.contains("claude"), "claude").when(name.contains("gpt"), "openai").otherwise("gemini")
-
-
 def first_missing_credential(jobs: DataFrame, available: list[str]) -> DataFrame:
     """FLT-08: the earliest pending job whose vendor has no key. Pre-aggregated, no sort."""
     vendor = model_vendor(F.col("model_name"))
@@ -214,39 +199,6 @@ def fill_settings(jobs: DataFrame, defaults: dict[str, object]) -> DataFrame:
     )
 
 
-def preset(profile: Column) -> Column:
-    """JOI-05: a profile's preset flags; unknown profiles use the standard ones."""
-    key = F.when(profile.isin(fixed.PROFILES), profile).otherwise("standard")
-
-    def among(names: list[str]) -> Column:
-        return key.isin(names)
-
-    return F.struct(
-        F.coalesce(literal_map(fixed.PRESET_MODEL_EXCEPTIONS)[key], F.lit(fixed.PRO_MODEL)).alias("model_name"),
-        among(fixed.PRESET_PUNCTUATION).alias("modernize_punctuation"),
-        among(fixed.PRESET_UNITS).alias("unit_conversion"),
-        among(fixed.PRESET_ABBREVIATIONS).alias("abbrev_expansion"),
-        (~among(fixed.PRESET_NO_IMAGES)).alias("image_descriptions"),
-        among(fixed.PRESET_PAGE_NUMBERS).alias("preserve_original_page_numbers"),
-        among(fixed.PRESET_MERGE).alias("merge_files"),
-    )
-
-
-def preferred_model(profile: Column, override: Column) -> Column:
-    chosen = F.trim(F.coalesce(override, F.lit("")))
-    return F.when(chosen != "", model_name(chosen)).otherwise(preset(profile)["model_name"])
-
-
-def available_model(model: Column, keys: list[str]) -> Column:
-    """JOI-07: first fallback whose vendor has a key, else the model asked for."""
-    wanted = model_name(model)
-    ranked = F.create_map(
-        *[part for name, backups in fixed.MODEL_FALLBACKS.items() for part in (F.lit(name), F.array(*map(F.lit, backups)))]
-    )
-    usable = F.filter(F.coalesce(ranked[wanted], F.array(wanted)), lambda m: model_vendor(m).isin(keys))
-    return F.coalesce(F.try_element_at(usable, F.lit(1)), wanted)
-
-
 def extension_family(ext: Column) -> Column:
     """SRC-02 / JOI-12: family of an extension, null when it is not supported."""
     pairs = {e: family for family, extensions in fixed.EXTENSION_FAMILIES.items() for e in extensions}

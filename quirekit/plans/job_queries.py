@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirekit.functions import fixed, lines, text
+from quirekit.functions import fixed, lines, models, text
 from quirekit.operators import jobs as ops
 from quirekit.plans.inputs import (
     JOBS_SQL, SQL_BASE, SQL_EXT, SQL_STATUS, SQL_TERMINAL, jobs, pick, sql_model, sql_pick, sql_scope, sql_vendor,
@@ -50,7 +50,7 @@ def setting_targets(spark, sf_dir):
     ),
 )
 def settings_projection(spark, sf_dir):
-    model = ops.model_name(F.col("model_name"))
+    model = models.model_name(F.col("model_name"))
     return jobs(spark, sf_dir).select(
         "job_id",
         F.col("fmt").alias("format_type"),
@@ -59,7 +59,7 @@ def settings_projection(spark, sf_dir):
         F.coalesce("model_override", F.lit("")).alias("model_override"),
         "merge_files",
         F.trim(F.coalesce("page_scope", F.lit(""))).alias("pdf_page_scope"),
-        ops.literal_map(fixed.MODEL_LABELS)[model].alias("engine"),
+        models.literal_map(fixed.MODEL_LABELS)[model].alias("engine"),
     )
 
 
@@ -442,7 +442,7 @@ _ODD_PROFILE = "CASE WHEN job_id % 6 = 1 THEN 'unheard of' ELSE profile END"
 def profile_presets(spark, sf_dir):
     profile = F.when(F.col("job_id") % 6 == 1, "unheard of").otherwise(F.col("profile"))
     frame = jobs(spark, sf_dir).select("job_id", profile.alias("profile"))
-    return frame.select("job_id", "profile", ops.preset(F.col("profile")).alias("preset")).select("job_id", "profile", "preset.*")
+    return frame.select("job_id", "profile", models.preset(F.col("profile")).alias("preset")).select("job_id", "profile", "preset.*")
 
 
 _RANK_ROWS = ", ".join(f"({quote(m)}, {i}, {quote(b)})" for m, backups in fixed.MODEL_FALLBACKS.items() for i, b in enumerate(backups))
@@ -458,18 +458,25 @@ _RANK_ROWS = ", ".join(f"({quote(m)}, {i}, {quote(b)})" for m, backups in fixed.
     ),
 )
 def available_model(spark, sf_dir):
-    return jobs(spark, sf_dir).select("job_id", ops.available_model(F.col("model_name"), ["openai", "claude"]).alias("model"))
+    return jobs(spark, sf_dir).select("job_id", models.available_model(F.col("model_name"), ["openai", "claude"]).alias("model"))
+
+
+# Whether every part of a scope names pages the document has.
+_SCOPE_OK = """NOT list_contains(list_transform(string_split(scope, ','), lambda p: CASE
+    WHEN regexp_full_match(p, '[0-9]+') THEN CAST(p AS BIGINT) BETWEEN 1 AND total
+    WHEN regexp_full_match(p, '[0-9]+-[0-9]+') THEN CAST(split_part(p, '-', 1) AS BIGINT) >= 1
+      AND CAST(split_part(p, '-', 2) AS BIGINT) BETWEEN CAST(split_part(p, '-', 1) AS BIGINT) AND total
+    ELSE false END), false)"""
 
 
 @query(
     "joi_08_scope_pages",
     _with_jobs(
         f""", s AS (SELECT job_id, {sql_scope('page_scope')} AS scope, total_pages * 3 AS total FROM jobs),
-        parts AS (SELECT job_id, total, pos, string_split(scope, ',')[pos] AS part FROM
-          (SELECT *, unnest(range(1, len(string_split(scope, ',')) + 1)) AS pos FROM s WHERE scope NOT IN ('', 'all'))),
-        pages AS (SELECT job_id, pos, unnest(range(greatest(TRY_CAST(split_part(part, '-', 1) AS BIGINT), 1),
-            least(TRY_CAST(CASE WHEN contains(part, '-') THEN split_part(part, '-', 2) ELSE part END AS BIGINT), total) + 1)) AS page FROM parts
-            WHERE TRY_CAST(split_part(part, '-', 1) AS BIGINT) IS NOT NULL),
+        parts AS (SELECT job_id, pos, string_split(scope, ',')[pos] AS part FROM
+          (SELECT *, unnest(range(1, len(string_split(scope, ',')) + 1)) AS pos FROM s WHERE scope NOT IN ('', 'all') AND {_SCOPE_OK})),
+        pages AS (SELECT job_id, pos, unnest(range(CAST(split_part(part, '-', 1) AS BIGINT),
+            CAST(CASE WHEN contains(part, '-') THEN split_part(part, '-', 2) ELSE part END AS BIGINT) + 1)) AS page FROM parts),
         firsts AS (SELECT job_id, page, min(pos * 1000000 + page) AS place FROM pages GROUP BY job_id, page)
         SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY place) - 1)::BIGINT AS place, page::BIGINT AS page FROM firsts
         UNION ALL SELECT job_id, p - 1, p FROM (SELECT job_id, unnest(range(1, total + 1)) AS p FROM s WHERE scope IN ('', 'all'))"""
@@ -568,12 +575,11 @@ def resume_summary(spark, sf_dir):
 @query(
     "agg_11_work_units",
     _with_jobs(
-        f""", ext(e, family) AS (VALUES {_FAMILY_ROWS}), s AS (SELECT j.*, family, {sql_scope('page_scope')} AS scope FROM jobs j LEFT JOIN ext ON e = {SQL_EXT})
+        f""", ext(e, family) AS (VALUES {_FAMILY_ROWS}), s AS (SELECT j.*, total_pages AS total, family, {sql_scope('page_scope')} AS scope FROM jobs j LEFT JOIN ext ON e = {SQL_EXT})
         SELECT job_id, coalesce(family, '') AS family, CASE
           WHEN family = 'pdf' AND scope IN ('', 'all') THEN total_pages
-          WHEN family = 'pdf' THEN greatest(len(list_distinct(flatten(list_transform(string_split(scope, ','), lambda p:
-            range(greatest(coalesce(TRY_CAST(split_part(p, '-', 1) AS BIGINT), 1), 1),
-              coalesce(least(TRY_CAST(CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END AS BIGINT), total_pages), 0) + 1))))), 1)
+          WHEN family = 'pdf' AND {_SCOPE_OK} THEN len(list_distinct(flatten(list_transform(string_split(scope, ','), lambda p:
+            range(CAST(split_part(p, '-', 1) AS BIGINT), CAST(CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END AS BIGINT) + 1)))))
           WHEN family IN ('source_text', 'epub', 'page_text', 'presentation', 'renderable') THEN work_units ELSE 1 END::BIGINT AS units FROM s"""
     ),
 )
@@ -595,7 +601,7 @@ def work_units(spark, sf_dir):
     ),
 )
 def provider_matrix(spark, sf_dir):
-    counts = jobs(spark, sf_dir).groupBy(ops.model_vendor(F.col("model_name")).alias("vendor")).agg(F.count("*").alias("jobs"))
+    counts = jobs(spark, sf_dir).groupBy(models.model_vendor(F.col("model_name")).alias("vendor")).agg(F.count("*").alias("jobs"))
     return counts.withColumn("configured", F.col("vendor").isin("gemini", "openai"))
 
 
