@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed
-from quirekit.functions.rewrite import rewrite, strip
+from quirekit.functions.rewrite import let, rewrite, strip
 
 PAGE_MARKER = r"\[Original Page Number:\s*(\d+)\]"
 _MARKER_LINE = rf"(?md)^{PAGE_MARKER}[ \t]*$"
@@ -28,7 +28,12 @@ def content_lines(col: Column) -> Column:
 
 def with_previous(items: Column, fn) -> Column:
     """``fn(item, previous)`` over an array; ``previous`` is null for the first."""
-    return F.zip_with(items, F.concat(F.array(F.lit(None)), F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0)))), fn)
+    return let(
+        items,
+        lambda held: F.zip_with(
+            held, F.concat(F.array(F.lit(None)), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))), fn
+        ),
+    )
 
 
 def count_where(items: Column, test) -> Column:
@@ -44,9 +49,6 @@ def consecutive_pairs(items: Column, test) -> Column:
 
 def fill_page_markers(col: Column) -> Column:
     """WIN-03: collapse repeated page markers, then insert the missing numbers between two."""
-    text = rewrite(col, [(_REPEATED_MARKER, r"\1")])
-    pieces = F.split(text, _MARKER_LINE, -1)
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(1)), lambda n: n.cast("int"))
 
     def marker(number: Column) -> Column:
         return F.concat(F.lit("[Original Page Number: "), number.cast("string"), F.lit("]"))
@@ -56,12 +58,16 @@ def fill_page_markers(col: Column) -> Column:
         missing = F.when(cur - prev > 1, F.concat(F.array_join(gap, "\n"), F.lit("\n"))).otherwise("")
         return F.coalesce(missing, F.lit(""))
 
-    found = F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(0))
-    inserts = F.zip_with(with_previous(numbers, filled), found, lambda gap, m: F.concat(gap, m))
-    joined = F.array_join(
-        F.zip_with(pieces, F.concat(inserts, F.array(F.lit(""))), lambda piece, m: F.concat(piece, m)), ""
-    )
-    return F.when(F.size(numbers) >= 2, joined).otherwise(text)
+    def run(text: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(1)), lambda n: n.cast("int"))
+        found = F.regexp_extract_all(text, F.lit(_MARKER_LINE), F.lit(0))
+        inserts = F.zip_with(with_previous(numbers, filled), found, lambda gap, m: F.concat(gap, m))
+        joined = F.zip_with(
+            F.split(text, _MARKER_LINE, -1), F.concat(inserts, F.array(F.lit(""))), lambda piece, m: F.concat(piece, m)
+        )
+        return F.when(F.size(found) >= 2, F.array_join(joined, "")).otherwise(text)
+
+    return let(rewrite(col, [(_REPEATED_MARKER, r"\1")]), run)
 
 
 def compact_scope(pages: Column) -> Column:
@@ -222,7 +228,6 @@ def greedy_batches(chunks: Column, target: int = fixed.TEXT_BATCH_CHARS) -> Colu
 
 def line_chunks(col: Column, limit: int = fixed.LINE_CHUNK_CHARS) -> Column:
     """WIN-06: whole lines packed into chunks; a chunk closes when the next line would pass ``limit``."""
-    sizes = F.transform(lines(col), F.length)
     state = "struct<held:bigint,cuts:array<int>,at:int>"
     zero = F.struct(
         F.lit(0).alias("held"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at")
@@ -236,12 +241,15 @@ def line_chunks(col: Column, limit: int = fixed.LINE_CHUNK_CHARS) -> Column:
             (acc["at"] + 1).alias("at"),
         ).cast(state)
 
-    cuts = F.aggregate(sizes, zero, step, lambda acc: acc["cuts"])
-    starts = F.concat(F.array(F.lit(0)), cuts)
-    ends = F.concat(cuts, F.array(F.size(sizes)))
-    return F.zip_with(
-        starts,
-        ends,
-        lambda a, b: F.concat(F.array_join(F.slice(lines(col), a + 1, b - a), "\n"), F.lit("\n")),
-    )
+    def run(text_lines: Column) -> Column:
+        sizes = F.transform(text_lines, lambda line: F.length(line))
+        return let(
+            F.aggregate(sizes, zero, step, lambda acc: acc["cuts"]),
+            lambda cuts: F.zip_with(
+                F.concat(F.array(F.lit(0)), cuts),
+                F.concat(cuts, F.array(F.size(text_lines))),
+                lambda a, b: F.concat(F.array_join(F.slice(text_lines, a + 1, b - a), "\n"), F.lit("\n")),
+            ),
+        )
 
+    return let(lines(col), run)

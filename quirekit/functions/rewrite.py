@@ -22,6 +22,16 @@ def java_replacement(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$"))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` worked out once, however often ``fn`` uses it.
+
+    An expression that mentions its input several times copies the whole input tree
+    each time; chained, such trees grow exponentially. A one-element array transform
+    binds the value to a lambda variable instead.
+    """
+    return F.transform(F.array(value), lambda bound: fn(bound))[0]
+
+
 def rewrite(col: Column, rules: Iterable[Rule]) -> Column:
     for pattern, replacement in rules:
         col = F.regexp_replace(col, F.lit(pattern), F.lit(java_replacement(replacement)))
@@ -34,8 +44,10 @@ def rewrite_first(col: Column, pattern: str, replacement: Column | str) -> Colum
         # The lazy prefix is anchored, so the rule can fire only once.
         shifted = re.sub(r"\\(\d)", lambda m: "\\" + str(int(m.group(1)) + 1), replacement)
         return rewrite(col, [(r"(?s)\A(.*?)" + pattern, r"\1" + shifted)])
-    around = F.split(col, pattern, 2)
-    return F.when(F.size(around) == 2, F.concat(around[0], replacement, around[1])).otherwise(col)
+    return let(
+        F.split(col, pattern, 2),
+        lambda around: F.when(F.size(around) == 2, F.concat(around[0], replacement, around[1])).otherwise(around[0]),
+    )
 
 
 def replace_all(col: Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -73,10 +85,12 @@ def map_matches(col: Column, pattern: str, fn) -> Column:
     The pieces between matches and the matches themselves are interleaved, so any
     column expression can stand where a regex replacement string is too weak.
     """
-    pieces = F.split(col, pattern, -1)
-    found = F.concat(
-        F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), fn),
-        F.array(F.lit("")),
-    )
-    joined = F.array_join(F.zip_with(pieces, found, lambda piece, match: F.concat(piece, match)), "")
-    return F.when(col.rlike(pattern), joined).otherwise(col)
+
+    def run(body: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda match: fn(match))
+        joined = F.zip_with(
+            F.split(body, pattern, -1), F.concat(found, F.array(F.lit(""))), lambda piece, match: F.concat(piece, match)
+        )
+        return F.when(body.rlike(pattern), F.array_join(joined, "")).otherwise(body)
+
+    return let(col, run)

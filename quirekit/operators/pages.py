@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirekit.functions import fixed
 from quirekit.functions.classify import page_metrics
 from quirekit.functions.lines import content_lines
-from quirekit.functions.rewrite import squash
+from quirekit.functions.rewrite import let, squash
 from quirekit.functions.routing import sample_positions
 from quirekit.functions.text import audit_key
 
@@ -55,28 +55,37 @@ def text_layer_audit(source: Column, output: Column) -> Column:
     lines of some length that the output does not contain (JOI-09). Both stay inside
     the row. The 800-line list is the report's own limit; ``missing`` counts them all.
     """
+
+    def report(keys: Column) -> Column:
+        return F.struct(
+            F.least(keys["output"] / F.greatest(keys["source"], F.lit(1)), F.lit(1.0)).alias("length_coverage"),
+            keys["source"].cast("bigint").alias("source_chars"),
+            keys["output"].cast("bigint").alias("output_chars"),
+            F.size(keys["missing"]).cast("bigint").alias("missing"),
+            F.slice(keys["missing"], 1, fixed.AUDIT_MAX_MISSING).alias("missing_lines"),
+        )
+
     held = F.substring(output, 1, fixed.AUDIT_MAX_CHARS)
-    source_key = F.length(audit_key(F.substring(source, 1, fixed.AUDIT_MAX_CHARS)))
-    output_key = F.length(audit_key(held))
-    haystack = squash(F.lower(held))
     candidates = F.filter(
-        F.transform(content_lines(source), lambda line: squash(line)), lambda line: F.length(line) >= fixed.AUDIT_MIN_LINE_CHARS
+        F.transform(content_lines(source), lambda line: squash(line)),
+        lambda line: F.length(line) >= fixed.AUDIT_MIN_LINE_CHARS,
+    )
+    missing = let(
+        squash(F.lower(held)), lambda haystack: F.filter(candidates, lambda line: ~F.contains(haystack, F.lower(line)))
     )
-    missing = F.filter(candidates, lambda line: ~F.contains(haystack, F.lower(line)))
-    return F.struct(
-        F.least(output_key / F.greatest(source_key, F.lit(1)), F.lit(1.0)).alias("length_coverage"),
-        source_key.cast("bigint").alias("source_chars"),
-        output_key.cast("bigint").alias("output_chars"),
-        F.size(missing).cast("bigint").alias("missing"),
-        F.slice(missing, 1, fixed.AUDIT_MAX_MISSING).alias("missing_lines"),
+    measured = F.struct(
+        F.length(audit_key(F.substring(source, 1, fixed.AUDIT_MAX_CHARS))).alias("source"),
+        F.length(audit_key(held)).alias("output"),
+        missing.alias("missing"),
     )
+    return let(measured, report)
 
 
 def token_coverage(source: Column, output: Column) -> Column:
     """Share of a source's distinct words that the output has too."""
     words = F.array_distinct(F.filter(F.split(F.lower(source), r"[^a-z0-9]+"), lambda w: w != ""))
-    kept = F.array_intersect(words, F.split(F.lower(output), r"[^a-z0-9]+"))
-    return F.try_divide(F.size(kept), F.size(words))
+    held = F.split(F.lower(output), r"[^a-z0-9]+")
+    return let(words, lambda known: F.try_divide(F.size(F.array_intersect(known, held)), F.size(known)))
 
 
 def appendix_kind(audit: Column) -> Column:
