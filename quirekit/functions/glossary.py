@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed
-from quirekit.functions.rewrite import let, map_matches, rewrite
+from quirekit.functions.rewrite import let, map_between, rewrite
 
 # Fixed glossary entries. Initials ("A.D.C") match with or without dots and keep their
 # case; words match in any case. Both may end with a full stop.
@@ -93,7 +93,7 @@ def entries_for(profile: str | None, extra: list[Entry] = ()) -> list[Entry]:
 def expand_with(col: Column, entries: list[Entry]) -> Column:
     """STR-30: rewrite the text between tags, entry by entry; tags stay untouched."""
     rules = [*entries, SAINTS]
-    return map_matches(col, r"[^<>]+(?=<|\z)", lambda segment: rewrite(segment, rules))
+    return map_between(col, r"<[^>]+>", lambda segment: rewrite(segment, rules))
 
 
 def expand_abbreviations(col: Column, profile: Column) -> Column:

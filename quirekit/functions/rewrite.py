@@ -94,3 +94,14 @@ def map_matches(col: Column, pattern: str, fn) -> Column:
         return F.when(body.rlike(pattern), F.array_join(joined, "")).otherwise(body)
 
     return let(col, run)
+
+
+def map_between(col: Column, pattern: str, fn) -> Column:
+    """Rewrite the text between matches of ``pattern`` with ``fn(piece)``; the matches stay as they are."""
+
+    def run(body: Column) -> Column:
+        pieces = F.transform(F.split(body, pattern, -1), lambda piece: fn(piece))
+        kept = F.concat(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(pieces, kept, lambda piece, match: F.concat(piece, match)), "")
+
+    return let(col, run)
