@@ -8,6 +8,7 @@ from quirekit.functions import fixed, flow, glossary, lines, models, prompt, sin
 from quirekit.functions.rewrite import squash
 from quirekit.operators import documents as doc_ops
 from quirekit.operators import jobs as job_ops
+from quirekit.operators.running import running_total
 from quirekit.plans.html_queries import DOC_HTML_SQL, doc_html
 from quirekit.plans.inputs import JOBS_SQL, SQL_STATUS, SQL_TERMINAL, jobs, pick, sql_model, sql_pick, sql_scope
 from quirekit.plans.legal_queries import LABELS, _BODY, _LINES, classify
@@ -457,15 +458,10 @@ def cache_reuse(spark, sf_dir):
     SELECT conv_id, turn, emitted FROM c WHERE emitted - length(text) < 800""",
 )
 def newspaper_cap(spark, sf_dir):
-    """Chunks emitted until a stream's character budget is spent; the chunk that spends it is the last.
-
-    Running sizes need a stream's chunks in order, so only (key, order, size) is windowed.
-    """
-    from pyspark.sql.window import Window
-
+    """Chunks emitted until a stream's character budget is spent; the chunk that spends it is the last."""
     sizes = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
-    emitted = F.sum("size").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return sizes.withColumn("emitted", emitted).filter(F.col("emitted") - F.col("size") < 800).select("conv_id", "turn", "emitted")
+    totals = running_total(sizes, "conv_id", "turn", "size", "emitted")
+    return totals.filter(F.col("emitted") - F.col("size") < 800).select("conv_id", "turn", "emitted")
 
 
 @query(
