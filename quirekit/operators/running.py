@@ -21,3 +21,18 @@ def running_total(frame: DataFrame, key: str, order: str, value: str, name: str,
     inside = F.sum(value).over(Window.partitionBy(key, "_span").orderBy(order))
     totals = cut.withColumn("_inside", inside).join(starts, [key, "_span"])
     return totals.withColumn(name, F.col("_start") + F.col("_inside")).drop("_span", "_start", "_inside")
+
+
+def gaps(frame: DataFrame, key: str, time: str, name: str, span_sec: int = 86_400) -> DataFrame:
+    """Seconds since the previous row of the same ``key``, null for a key's first row (STM-09).
+
+    Rows are cut into time spans so that a busy key is spread over tasks; a span's first
+    row looks at the end of the key's last earlier span, of which there is one row each.
+    """
+    cut = frame.withColumn("_span", F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / span_sec))
+    ends = cut.groupBy(key, "_span").agg(F.max(time).alias("_end"))
+    earlier = ends.select(key, "_span", F.lag("_end").over(Window.partitionBy(key).orderBy("_span")).alias("_before"))
+    inside = F.lag(time).over(Window.partitionBy(key, "_span").orderBy(time))
+    linked = cut.withColumn("_inside", inside).join(earlier, [key, "_span"])
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.coalesce("_inside", "_before").cast("timestamp"))
+    return linked.withColumn(name, seconds / 1_000_000).drop("_span", "_inside", "_before")
