@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed
-from quirekit.functions.rewrite import let, map_between, rewrite
+from quirekit.functions.rewrite import java_replacement, let, map_between
 
 # Fixed glossary entries. Initials ("A.D.C") match with or without dots and keep their
 # case; words match in any case. Both may end with a full stop.
@@ -90,22 +93,47 @@ def entries_for(profile: str | None, extra: list[Entry] = ()) -> list[Entry]:
     return list(dict.fromkeys([entry for name in names for entry in glossary(name)] + list(extra)))
 
 
-def expand_with(col: Column, entries: list[Entry]) -> Column:
-    """STR-30: rewrite the text between tags, entry by entry; tags stay untouched."""
+def _needle(entry: Entry, rules: list[Entry]) -> str:
+    """Letters a text must hold, dots aside and in lower case, before the entry can match; empty when unknown.
+
+    An entry that the wording of another can bring about has no needle either.
+    """
+    pattern, _ = entry
+    letters = re.sub(r"\(\?i\)|\\b|\\\.\??", "", pattern)
+    brought_about = any(re.search(pattern, wording) for _, wording in rules)
+    return letters.lower() if letters.isalpha() and not brought_about else ""
+
+
+def rule_table(entries: list[Entry]) -> Column:
+    """Entries as one constant ``array<struct(needle, pattern, wording)>``."""
     rules = [*entries, SAINTS]
-    return map_between(col, r"<[^>]+>", lambda segment: rewrite(segment, rules))
+    rows = [{"needle": _needle(r, rules), "pattern": r[0], "wording": java_replacement(r[1])} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)), F.lit("array<struct<needle:string,pattern:string,wording:string>>"))
+
+
+def expand_with(col: Column, table: Column) -> Column:
+    """STR-30: rewrite the text between tags, entry by entry; tags stay untouched.
+
+    Plain substring tests leave the few entries a text can hold, and only those run as
+    patterns, in glossary order.
+    """
+
+    def expand(segment: Column) -> Column:
+        usable = let(
+            F.lower(F.translate(segment, ".", "")),
+            lambda letters: F.filter(table, lambda entry: F.contains(letters, entry["needle"])),
+        )
+        return F.aggregate(usable, segment, lambda acc, entry: F.regexp_replace(acc, entry["pattern"], entry["wording"]))
+
+    return map_between(col, r"<[^>]+>", expand)
 
 
 def expand_abbreviations(col: Column, profile: Column) -> Column:
-    """STR-30 with the profile as data: profiles that share glossaries share one branch."""
+    """STR-30 with the profile as data: profiles that share glossaries share one table."""
     groups: dict[tuple[str, ...], list[str]] = {}
     for name, glossaries in fixed.PROFILE_GLOSSARIES.items():
         groups.setdefault(tuple(glossaries), []).append(name)
-
-    def branches(body: Column) -> Column:
-        chosen = F
-        for members in groups.values():
-            chosen = chosen.when(F.lower(profile).isin(members), expand_with(body, entries_for(members[0])))
-        return chosen.otherwise(expand_with(body, entries_for(None)))
-
-    return let(col, branches)
+    table = rule_table(entries_for(None))
+    for members in groups.values():
+        table = F.when(F.lower(profile).isin(members), rule_table(entries_for(members[0]))).otherwise(table)
+    return let(table, lambda rules: expand_with(col, rules))

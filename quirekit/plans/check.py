@@ -82,7 +82,7 @@ def main(argv: list[str]) -> int:
     queries, _ = load_all()
     names = [n for n in queries if not wanted or any(n.startswith(w) for w in wanted)]
     spark = build_session("quirekit-check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

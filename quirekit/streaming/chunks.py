@@ -21,12 +21,15 @@ PAYLOAD_START = re.compile(r"(?is)(?P<head>src\s*=\s*)(?P<quote>[\"'])(?:data:im
 
 def to_chunks(frame: DataFrame, key: str, text: Column, size: int = 64) -> DataFrame:
     """Cut a text column into numbered chunks; the empty text is one empty chunk."""
-    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int")
+    held = frame.select(F.col(key).alias("_key"), text.alias("_text"))
+    last = F.floor((F.greatest(F.length("_text"), F.lit(1)) - 1) / size).cast("int")
     cut = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("seq"), (i == last).alias("last"), F.substring(text, i * size + 1, F.lit(size)).alias("chunk")),
+        lambda i: F.struct(
+            i.alias("seq"), (i == last).alias("last"), F.substring(F.col("_text"), i * size + 1, F.lit(size)).alias("chunk")
+        ),
     )
-    return frame.select(F.col(key).alias("doc_id"), F.explode(cut).alias("c")).select("doc_id", "c.*")
+    return held.select("_key", F.explode(cut).alias("c")).select(F.col("_key").alias("doc_id"), "c.*")
 
 
 def _arrivals(pages: Iterator[pd.DataFrame]) -> pd.DataFrame:
