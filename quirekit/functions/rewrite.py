@@ -18,8 +18,8 @@ BLANK_RUN = r"[\s\x{A0}]+"  # no-break spaces count as blanks
 
 
 def java_replacement(replacement: str) -> str:
-    """``\\1`` style replacement text -> Java's ``$1`` style."""
-    return re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$"))
+    """``\\1`` style replacement text -> Java's ``$1`` style; ``\\n`` is a newline."""
+    return re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$").replace(r"\n", "\n"))
 
 
 def let(value: Column, fn) -> Column:
