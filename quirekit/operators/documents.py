@@ -26,15 +26,15 @@ NORMALIZE_PASSES = [
 
 
 def staged(frame: DataFrame, column: str, steps: list) -> DataFrame:
-    """Apply rewriting steps one projection at a time.
+    """Apply rewriting steps to a column one after the other, in one pass over the row.
 
-    Each step mentions its input twice, so the optimizer keeps the projections apart
-    instead of nesting all steps into one tree too deep to plan. They still run in
-    one pass over the row.
+    Each step's result goes through a one-element explode. It gives back the same row,
+    but the optimizer can neither nest all steps into one tree too deep to plan nor copy
+    them into a filter on the result.
     """
+    others = [name for name in frame.columns if name != column]
     for step in steps:
-        current = F.col(column)
-        frame = frame.withColumn(column, F.when(current.isNotNull(), step(current)))
+        frame = frame.select(*others, F.explode(F.array(step(F.col(column)))).alias(column))
     return frame
 
 

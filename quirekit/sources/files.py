@@ -28,22 +28,26 @@ def read_texts(files: DataFrame) -> DataFrame:
 
     Formats in ``EXTERNAL`` come back with a null text and a reason.
     """
+    from quirekit.functions.text import source_html_text
+
     text_like = F.decode("content", "UTF-8")
-    readers: dict[str, Column] = {
-        ".docx": office.docx_text_of("content"),
-        ".pptx": office.pptx_text_of("content"),
-        ".epub": office.epub_text_of("content"),
-        ".fb2": office.fb2_text_of("content"),
-        ".eml": office.eml_text_of("content"),
-        ".csv": delimited.narrate(delimited.rows_of(text_like)),
-        ".tsv": delimited.narrate(delimited.rows_of(delimited.tsv_as_csv(text_like))),
-        ".xlsx": sheet_text(office.xlsx_rows_of("content")),
+    # format -> (reader run by Python workers, expression over its result)
+    readers = {
+        ".docx": (office.docx_text_of("content"), F.col("read")),
+        ".pptx": (office.pptx_text_of("content"), F.col("read")),
+        ".epub": (office.epub_text_of("content"), F.col("read")),
+        ".fb2": (office.fb2_text_of("content"), F.col("read")),
+        ".eml": (office.eml_text_of("content"), F.col("read")),
+        ".csv": (delimited.rows_of(text_like), delimited.narrate(F.col("read"))),
+        ".tsv": (delimited.rows_of(delimited.tsv_as_csv(text_like)), delimited.narrate(F.col("read"))),
+        ".xlsx": (office.xlsx_rows_of("content"), sheet_text(F.col("read"))),
     }
     plain = [e for e in fixed.EXTENSION_FAMILIES["source_text"] if e not in readers and e not in EXTERNAL]
-    from quirekit.functions.text import source_html_text
-
     columns = ["path", "ext", "family"]
-    branches = [files.filter(F.col("ext") == ext).select(*columns, reader.alias("text")) for ext, reader in readers.items()]
+    branches = [
+        files.filter(F.col("ext") == ext).select(*columns, reader.alias("read")).select(*columns, told.alias("text"))
+        for ext, (reader, told) in readers.items()
+    ]
     markup = F.when(F.col("ext").isin(".html", ".htm"), source_html_text(text_like)).otherwise(text_like)
     branches.append(files.filter(F.col("ext").isin(plain)).select(*columns, markup.alias("text")))
     branches.append(files.filter(F.col("ext").isin(EXTERNAL)).select(*columns, F.lit(None).cast("string").alias("text")))
