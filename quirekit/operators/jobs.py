@@ -45,22 +45,22 @@ def setting_targets(jobs: DataFrame, selected: Column) -> DataFrame:
     """FLT-03: rows a setting change applies to.
 
     Assignable selected rows if there are any, else the selection, else every
-    assignable row. The two facts come from one aggregate row.
+    assignable row. The two facts are one scalar subquery.
     """
     assignable = status_of().isin("Queued", "Paused")
-    facts = jobs.agg(
-        F.coalesce(F.bool_or(selected), F.lit(False)).alias("any_selected"),
-        F.coalesce(F.bool_or(selected & assignable), F.lit(False)).alias("any_assignable"),
-    )
-    # facts is exactly one row, so the broadcast is bounded.
-    marked = jobs.withColumn("_selected", selected).withColumn("_assignable", assignable)
-    joined = marked.join(F.broadcast(facts), F.lit(True))
+    facts = jobs.select(
+        F.struct(
+            F.coalesce(F.bool_or(selected), F.lit(False)).alias("selected"),
+            F.coalesce(F.bool_or(selected & assignable), F.lit(False)).alias("assignable"),
+        )
+    ).scalar()
+    marked = jobs.withColumn("_facts", facts)
     wanted = (
-        F.when(F.col("any_assignable"), F.col("_selected") & F.col("_assignable"))
-        .when(F.col("any_selected"), F.col("_selected"))
-        .otherwise(F.col("_assignable"))
+        F.when(F.col("_facts.assignable"), selected & assignable)
+        .when(F.col("_facts.selected"), selected)
+        .otherwise(assignable)
     )
-    return joined.filter(wanted).drop("_selected", "_assignable", "any_selected", "any_assignable")
+    return marked.filter(wanted).drop("_facts")
 
 
 def stop_status(status: Column) -> Column:
@@ -268,12 +268,14 @@ def resume_summary(jobs: DataFrame, limit: int = 20) -> DataFrame:
         .orderBy("job_id")
         .limit(limit)
     )
-    totals = jobs.agg(
-        F.count("*").alias("saved"),
-        F.count_if(is_terminal()).alias("terminal"),
-        F.count_if(~is_terminal()).alias("recoverable"),
-    )
-    return first.join(F.broadcast(totals), F.lit(True))
+    totals = jobs.select(
+        F.struct(
+            F.count("*").alias("saved"),
+            F.count_if(is_terminal()).alias("terminal"),
+            F.count_if(~is_terminal()).alias("recoverable"),
+        )
+    ).scalar()
+    return first.withColumn("_totals", totals).select("job_id", "label", "_totals.*")
 
 
 # --- Orderings ----------------------------------------------------------------------------

@@ -29,6 +29,10 @@ OPENINGS = [
     "<h2>Short Head</h2><p>text</p><h2>More</h2><h3>Deep</h3>",
     "<p>Sept. 1914 WAR DIARY entries of the day 12</p>",
     "<h3>Only deep</h3><p>x</p><h3>Again</h3>",
+    "<h2>Short</h2><p><strong>Bold follow</strong></p>",
+    "Bare title here\n\n<p>1. Load. it first</p><p>2. Aim. well</p>",
+    "<p>Checklist</p><ol><li>First thing<br>detail</li></ol>",
+    "<p>The National Archives' reference WO-95/1</p>\n1. Move at dawn<br>2. Hold the line",
 ]
 # Closing parts with repeats, forms, furniture and page heads.
 CLOSINGS = [
@@ -308,17 +312,43 @@ _on_docs(
     f"CASE WHEN NOT {_H[1]} AND {_H[2]} AND {_H[3]} THEN {_all_sql(_first_sql('html', 2, 1))} WHEN NOT {_H[1]} AND {_H[3]} THEN {_all_sql(_first_sql('html', 3, 1))}"
     f" WHEN {_H[1]} AND NOT {_H[2]} AND {_H[3]} THEN {_all_sql('html')} ELSE html END",
 )
+# What each promotion does to the opening made for it, under the rule's own condition on the rest of the page.
+_NO_HEADING = "NOT regexp_matches(html, '(?i)<h[1-6]\\b')"
+
+
+def _promoted(number, new, condition=_NO_HEADING):
+    return f"CASE WHEN {condition} THEN {sql_replace('html', [(OPENINGS[number], new)])} ELSE html END"
+
+
 _on_docs("htm_10_sparse_blocks", html.promote_sparse_blocks)
 _on_docs("htm_11_leading_paragraphs", html.promote_leading_paragraphs)
-_on_docs("htm_12_list_section", html.promote_list_section)
-_on_docs("htm_13_numbered_instructions", html.promote_numbered_instructions)
+_on_docs("htm_12_list_section", html.promote_list_section, _promoted(5, "<h1>Topics</h1>\n<ul><li><h2>Alpha &amp; co</h2> x</li><li><strong>Beta</strong></li></ul>"))
+_on_docs("htm_13_numbered_instructions", html.promote_numbered_instructions, _promoted(2, "<h1>Steps to follow</h1><h2>1. Open</h2>\n<p>the door</p><p>2. Close. it again</p>"))
 _on_docs("htm_14_context_paragraph", html.promote_context_paragraph)
-_on_docs("htm_15_index", html.promote_index)
-_on_docs("htm_17_bold_after_h1", html.promote_bold_after_h1)
-_on_docs("htm_17_short_h2", html.promote_short_h2)
-_on_docs("htm_18_strong_paragraphs", html.promote_strong_paragraphs)
-_on_docs("htm_18_definition_list", html.promote_definition_list)
-_on_docs("htm_19_figure_followup", html.promote_figure_followup)
+_on_docs("htm_15_index", html.promote_index, "CASE WHEN regexp_matches(html, '(?i)<h1\\b') OR NOT contains(html, '<h2>INDEX</h2>') THEN html ELSE replace(html, '<h2>INDEX</h2>', '<h1>INDEX</h1>' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE chr(10) || '<h2>Index Entries</h2>' END) END")
+_on_docs("htm_17_bold_after_h1", html.promote_bold_after_h1, _promoted(8, OPENINGS[8].replace("<p><b>Sub title</b></p>", "<h2>Sub title</h2>"), "NOT regexp_matches(html, '(?i)<h2\\b')"))
+_on_docs("htm_17_short_h2", html.promote_short_h2, "CASE WHEN NOT regexp_matches(html, '(?i)<h1\\b') AND contains(html, '<h2>') AND (len(string_split(html, '<h2>')) > 2 OR regexp_matches(split_part(html, '<h2>', 1), '(?i)<(figure|table|p|section|article|blockquote)\\b')) THEN regexp_replace(html, '(?is)<h2>(.*?)</h2>', '<h1>\\1</h1>') ELSE html END")
+_on_docs("htm_16_war_diary", html.promote_war_diary, _promoted(17, "<h1>Military Diary Continuation</h1>\n<h2>Operational Orders</h2>\n" + OPENINGS[17]))
+_on_docs("htm_17_bold_followup", html.promote_bold_followup, _promoted(14, "<h1>Short</h1><h2>Bold follow</h2>", "NOT regexp_matches(html, '(?i)<h1\\b')"))
+_on_docs("htm_18_bare_instruction", html.promote_bare_instruction, _promoted(15, "\n<h1>Bare title here</h1>\n<h2>1. Load</h2><p>2. Aim. well</p>"))
+_on_docs("htm_18_ordered_list", html.promote_ordered_list, _promoted(16, "<h1>Checklist</h1>\n<ol><li><h2>First thing</h2><br>detail</li></ol>"))
+_on_docs(
+    "str_31_escaped_html",
+    lambda c: text.unescape_html(text.escape_html(c)),
+    sql_replace(sql_replace("html", fixed.HTML_ESCAPES), fixed.HTML_ENTITIES),
+)
+
+
+@query("htm_23_pages_as_html")
+def pages_as_html(spark, sf_dir):
+    docs = text_table(spark, sf_dir, "documents", "doc_id")
+    numbered = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\nPart 2 Orders\nSHORT HEAD\n12 Objects of it\n17").otherwise(""))
+    return docs.select("doc_id", html.page_as_html(content_lines(numbered)).alias("result"))
+
+
+_on_docs("htm_18_strong_paragraphs", html.promote_strong_paragraphs, _promoted(6, "<h1>First line</h1>\n<p>text a</p><h2>Second</h2>\n<p>text b</p>"))
+_on_docs("htm_18_definition_list", html.promote_definition_list, _promoted(7, "<h1>Terms</h1>\n<dl><h2>Alpha</h2><dd>x</dd></dl>"))
+_on_docs("htm_19_figure_followup", html.promote_figure_followup, _promoted(9, OPENINGS[9].replace("A Loose Caption Heading\n", "<h1>A Loose Caption Heading</h1>\n\n"), "NOT regexp_matches(html, '(?i)<h1\\b')"))
 _on_docs("htm_20_numbered_clauses", html.promote_numbered_clauses, sql_rewrite("html", [(r"(?i)<p\b[^>]*>\s*<(?:strong|b)>\s*(12A Objects of this Part)\s*</(?:strong|b)>\s*</p>", r"<h3>\1</h3>")]))
 
 

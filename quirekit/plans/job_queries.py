@@ -719,3 +719,40 @@ def fallback_names(spark, sf_dir):
     return jobs(spark, sf_dir).select(
         "job_id", F.when(~F.col("output_exists"), F.concat(root, ext)).otherwise(F.concat(root, F.lit("_"), number, ext)).alias("path")
     )
+
+
+@query(
+    "flt_26_preset_overlay",
+    _with_jobs(
+        f""", {PRESET_SQL} SELECT job_id, CASE WHEN job_id % 2 = 0 AND trim(coalesce(j.model_name, '')) <> '' THEN j.model_name ELSE p.model_name END AS model_name,
+        p.modernize_punctuation, p.merge_files, profile = 'academic' AS academic_mode,
+        CASE {sql_scope('page_scope')} WHEN '' THEN 'All Pages' WHEN '1' THEN 'Page 1' WHEN '1-5' THEN 'Pages 1-5' ELSE {sql_scope('page_scope')} END AS scope_label
+        FROM jobs j JOIN preset p ON p.key = profile"""
+    ),
+)
+def preset_overlay(spark, sf_dir):
+    """A preset laid over the configuration, keeping the chosen model where one was chosen."""
+    chosen = F.trim(F.coalesce("model_name", F.lit("")))
+    scope = text.normalize_scope(F.col("page_scope"))
+    label = F.when(scope == "", "All Pages").when(scope == "1", "Page 1").when(scope == "1-5", "Pages 1-5").otherwise(scope)
+    framed = jobs(spark, sf_dir).withColumn("preset", models.preset(F.col("profile")))
+    keeps = (F.col("job_id") % 2 == 0) & (chosen != "")
+    return framed.select(
+        "job_id",
+        F.when(keeps, F.col("model_name")).otherwise(F.col("preset.model_name")).alias("model_name"),
+        "preset.modernize_punctuation",
+        "preset.merge_files",
+        (F.col("profile") == "academic").alias("academic_mode"),
+        label.alias("scope_label"),
+    )
+
+
+@query(
+    "snk_14_redacted_log",
+    _with_jobs(
+        f"""SELECT job_id, {sql_pick(LOG_MESSAGES, 'job_id')} || ' key=[redacted]' AS line FROM jobs"""
+    ),
+)
+def redacted_log(spark, sf_dir):
+    line = F.concat(pick(LOG_MESSAGES, F.col("job_id")), F.lit(" key="), F.md5(F.col("path")))
+    return jobs(spark, sf_dir).select("job_id", text.redact_secrets(line).alias("line"))

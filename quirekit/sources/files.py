@@ -73,10 +73,15 @@ def sheet_text(rows: Column) -> Column:
 
 def sheet_datasets(files: DataFrame) -> DataFrame:
     """SRC-08: one row per sheet: ``path, sheet, headers, rows``; the first row holds the headers."""
-    rows = files.filter(F.col("ext") == ".xlsx").select("path", F.explode(office.xlsx_rows_of("content")).alias("row"))
-    ordered = rows.groupBy("path", "row.sheet").agg(F.sort_array(F.collect_list(F.struct("row.row_no", "row.cells"))).alias("all"))
-    cells = F.transform("all", lambda r: r["cells"])
-    return ordered.select("path", "sheet", cells[0].alias("headers"), F.slice(cells, 2, F.greatest(F.size("all") - 1, F.lit(1))).alias("rows"))
+    books = files.filter(F.col("ext") == ".xlsx").select("path", office.xlsx_rows_of("content").alias("book"))
+    names = F.array_distinct(F.transform("book", lambda r: r["sheet"]))
+    # a workbook is one row already, so its sheets are taken apart inside it
+    sheets = books.select("path", "book", F.explode(names).alias("sheet"))
+    cells = F.transform(F.filter("book", lambda r: r["sheet"] == F.col("sheet")), lambda r: r["cells"])
+    taken = sheets.select("path", "sheet", cells.alias("cells"))
+    return taken.select(
+        "path", "sheet", F.col("cells")[0].alias("headers"), F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))).alias("rows")
+    )
 
 
 def changed_files(files: DataFrame, before: DataFrame, started: Column) -> DataFrame:

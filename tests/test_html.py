@@ -29,7 +29,7 @@ CASES = [
      "<h1>First</h1>\n<p>a</p><h2>Second</h2>\n<p>b</p>"),
     (html.promote_definition_list, "<p>Terms</p><dl><dt>Alpha</dt><dd>x</dd></dl>",
      "<h1>Terms</h1>\n<dl><h2>Alpha</h2><dd>x</dd></dl>"),
-    (html.promote_figure_followup, "<figure>f</figure>\nA Loose Caption\n<p>x</p>", "<figure>f</figure>\n<h1>A Loose Caption</h1>\n<p>x</p>"),
+    (html.promote_figure_followup, "<figure>f</figure>\nA Loose Caption\n<p>x</p>", "<figure>f</figure>\n<h1>A Loose Caption</h1>\n\n<p>x</p>"),
     (html.promote_sparse_blocks, "<p>A Good Heading</p><p>Second Heading</p><p>and more</p>",
      "<h1>A Good Heading</h1>\n<h2>Second Heading</h2>\n<p>and more</p>"),
     (html.heading_hierarchy, "<h2>a</h2><h3>b</h3><h3>c</h3>", "<h1>a</h1><h2>b</h2><h2>c</h2>"),
