@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from quirekit.functions import fixed
 
 
+def quoted(value: str | None) -> str:
+    """A string literal in Spark SQL."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: list[str | None]) -> Column:
+    """A fixed list as one array literal, parsed in a single call."""
+    return F.expr("array(" + ", ".join(map(quoted, values)) + ")")
+
+
 def literal_map(values: dict[str, str]) -> Column:
     """A fixed dictionary as a map literal, so that a lookup needs no join."""
-    return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in values.items()) + ")")
 
 
 def model_name(col: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +51,22 @@ def rewrite_first(col: Column, pattern: str, replacement: Column | str) -> Colum
     )
 
 
+def rewrite_if(col: Column, hints: Iterable[str], fn) -> Column:
+    """``fn(col)`` for texts that hold one of the lower-case ``hints``; others pass.
+
+    Substring tests are many times cheaper than patterns, so texts without any hint
+    skip the chain. Every text ``fn`` can change must hold a hint.
+    """
+
+    def run(body: Column) -> Column:
+        found = let(
+            F.lower(body), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(hint)) for hint in hints])
+        )
+        return F.when(found, fn(body)).otherwise(body)
+
+    return let(col, run)
+
+
 def replace_all(col: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     for old, new in pairs:
         col = F.replace(col, F.lit(old), F.lit(new))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed
+from quirekit.functions.models import literal_array
 from quirekit.plans.registry import quote, table, text_table
 
 EXTENSIONS = [".pdf", ".docx", ".txt", ".pdf", ".csv", ".xlsx", ".html", ".epub", ".pptx", ".png", ".pdf", ".xyz"]
@@ -18,7 +19,7 @@ PAGE_CHARS = 1500
 
 
 def pick(values: list, key: Column) -> Column:
-    return F.array(*[F.lit(v) for v in values])[(key % len(values)).cast("int")]
+    return literal_array(values)[(key % len(values)).cast("int")]
 
 
 def sql_pick(values: list, key: str) -> str:
