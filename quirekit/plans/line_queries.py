@@ -455,7 +455,7 @@ def cache_reuse(spark, sf_dir):
 @query(
     "stm_04_newspaper_cap",
     """WITH c AS (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS emitted FROM conversations)
-    SELECT conv_id, turn, emitted FROM c WHERE emitted - length(text) < 800""",
+    SELECT conv_id, turn, emitted::BIGINT AS emitted FROM c WHERE emitted - length(text) < 800""",
 )
 def newspaper_cap(spark, sf_dir):
     """Chunks emitted until a stream's character budget is spent; the chunk that spends it is the last."""
