@@ -276,7 +276,21 @@ _on_legal(
         ],
     ),
 )
-_on_legal("leg_10_demotions", legal.demote_fragments)
+_on_legal(
+    "leg_10_demotions", legal.demote_fragments,
+    # dates, cross-references, bare numbers with a stop and contents lines with leaders
+    sql_replace(
+        "html",
+        [
+            ("<h3>12.</h3>", "<p>12.</p>"),
+            ("<h3>3 March 1999</h3>", "<p>3 March 1999</p>"),
+            ("<h3>Part 2 of Chapter 3</h3>", "<p>Part 2 of Chapter 3</p>"),
+            ("<h2>Chapter 1 ...... 1</h2>", "<p>Chapter 1 ...... 1</p>"),
+            ("<h3>Part 1 ..... 2</h3>", "<p>Part 1 ..... 2</p>"),
+            ("<h3>Part 2 ...... 3</h3>", "<p>Part 2 ...... 3</p>"),
+        ],
+    ),
+)
 _on_legal(
     "leg_11_same_structure", legal.dedupe_same_structure,
     "replace(html, '<h3>Part 2</h3><h3>Part 2 Powers of officers</h3>', '<h3>Part 2 Powers of officers</h3>')",
