@@ -366,7 +366,18 @@ _on_docs(
 )
 
 
-@query("htm_19_title_cover")
+_COVER = "'<h1>' || name || '</h1>' || chr(10)"
+
+
+@query(
+    "htm_19_title_cover",
+    f"""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<main> </main>' WHEN 1 THEN '<main><figure><img src=''a''></figure>' || html || '</main>' ELSE html END AS body,
+      CASE doc_id % 5 WHEN 0 THEN 'Scan Of Report' WHEN 1 THEN 'Zoom manual' WHEN 2 THEN '' WHEN 3 THEN 'MIXED report' ELSE 'Daily News' END AS name FROM {DOC_HTML_SQL})
+    SELECT doc_id, CASE WHEN name = '' THEN body WHEN doc_id % 3 = 0 THEN '<main>' || {_COVER} || '<h2>Cover Page</h2>' || chr(10) || '</main>'
+      WHEN NOT starts_with(body, '<main><figure>') OR regexp_matches(body, '(?i)<h1\\b') THEN body
+      WHEN regexp_matches(body, '(?i)<h2\\b') THEN '<main>' || {_COVER} || substring(body, 7)
+      ELSE '<main>' || {_COVER} || '<h2>Cover Page</h2>' || chr(10) || substring(body, 7) END AS result FROM d""",
+)
 def title_cover(spark, sf_dir):
     key = F.col("doc_id")
     title = pick(["scan_of-report", "Zoom manual_page_12", "document", "MIXED report", "daily news"], key)
