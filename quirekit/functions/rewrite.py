@@ -96,6 +96,11 @@ def count_matches(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
+def count_chars(col: Column, chars: str) -> Column:
+    """How many characters of a class a text has, without listing them one by one."""
+    return F.length(F.regexp_replace(col, f"[^{chars}]+", ""))
+
+
 def map_matches(col: Column, pattern: str, fn) -> Column:
     """Rewrite each match of ``pattern`` with ``fn(match)``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed, flow, glossary, lines, models, prompt, sinks, state, text
-from quirekit.functions.rewrite import squash
+from quirekit.functions.rewrite import count_chars
 from quirekit.operators import documents as doc_ops
 from quirekit.operators import jobs as job_ops
 from quirekit.operators.running import running_total
@@ -108,7 +108,7 @@ def best_per_key(spark, sf_dir):
     body = F.concat("text", F.lit("\n"), pick(LABELS, F.col("doc_id")), F.lit("\n"), pick(LABELS, F.col("doc_id") * 3 + 1))
     found = docs.select("doc_id", F.explode(lines.content_lines(body)).alias("line"))
     keyed = found.select(
-        "doc_id", F.lower(F.substring_index("line", " ", 1)).alias("key"), F.regexp_count("line", F.lit("[A-Za-z]")).cast("bigint").alias("letters")
+        "doc_id", F.lower(F.substring_index("line", " ", 1)).alias("key"), count_chars(F.col("line"), "A-Za-z").cast("bigint").alias("letters")
     )
     return keyed.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("letters").alias("letters"), F.count("*").alias("lines"))
 
