@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirekit.functions import fixed
 from quirekit.functions.classify import (
     CLAUSE, REFERENCE, STRUCTURE, is_breadcrumb, is_complete_reference, is_continuation, is_incomplete_heading,
-    is_reordered_head, is_split_fragment, label, legal_heading, legal_heading_tag,
+    is_reordered_head, is_split_fragment, legal_heading, legal_heading_tag,
 )
 from quirekit.functions.html import inner_label, tag
 from quirekit.functions.lines import with_previous

@@ -10,7 +10,7 @@ from quirekit.functions.rewrite import squash
 from quirekit.operators.documents import normalize_documents
 from quirekit.plans.inputs import pick, sql_pick
 from quirekit.plans.registry import (
-    inject, query, quote, re2, sql_case, sql_inject, sql_list, sql_replace, sql_rewrite, sql_squash, sql_strip, table, text_table,
+    inject, query, quote, re2, sql_case, sql_inject, sql_replace, sql_rewrite, sql_squash, sql_strip, table, text_table,
 )
 
 # Openings that give each promotion rule documents it applies to.

@@ -10,10 +10,10 @@ from quirekit.operators import documents as doc_ops
 from quirekit.operators import jobs as job_ops
 from quirekit.operators.running import running_total
 from quirekit.plans.html_queries import DOC_HTML_SQL, doc_html
-from quirekit.plans.inputs import JOBS_SQL, SQL_STATUS, SQL_TERMINAL, jobs, pick, sql_model, sql_pick, sql_scope
-from quirekit.plans.legal_queries import LABELS, _BODY, _LINES, classify
+from quirekit.plans.inputs import JOBS_SQL, SQL_STATUS, jobs, pick, sql_pick
+from quirekit.plans.legal_queries import LABELS, _LINES, classify
 from quirekit.plans.registry import (
-    inject, query, quote, re2, sql_inject, sql_list, sql_replace, sql_rewrite, sql_squash, sql_strip, table, text_table,
+    inject, query, quote, re2, sql_inject, sql_list, sql_replace, sql_rewrite, sql_strip, table, text_table,
 )
 
 MARKERS = [

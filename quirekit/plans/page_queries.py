@@ -9,7 +9,7 @@ from quirekit.functions.rewrite import squash
 from quirekit.operators import pages as ops
 from quirekit.plans.inputs import JOBS_SQL, PAGE_TEXT_SQL, SQL_EXT, jobs, page_text, pick, sql_model, sql_pick
 from quirekit.plans.registry import (
-    inject, query, quote, re2, sql_case, sql_inject, sql_list, sql_replace, sql_rewrite, sql_squash, sql_strip, table, text_table,
+    inject, query, quote, sql_case, sql_inject, sql_list, sql_replace, sql_squash, sql_strip, table, text_table,
 )
 
 _COMPACT = sql_squash("text")

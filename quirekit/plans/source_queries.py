@@ -8,9 +8,8 @@ from quirekit.functions import sinks
 from quirekit.functions.lines import content_lines
 from quirekit.functions.rewrite import squash
 from quirekit.plans.html_queries import DOC_HTML_SQL, doc_html
-from quirekit.plans.inputs import pick
 from quirekit.plans.line_queries import DOCX_LINES
-from quirekit.plans.registry import inject, query, quote, sql_inject, sql_squash, sql_strip, table, text_table
+from quirekit.plans.registry import inject, query, sql_inject, sql_squash, sql_strip, table, text_table
 from quirekit.sources import delimited, files, office
 
 _L = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {sql_strip('l')}), lambda l: l <> '')"

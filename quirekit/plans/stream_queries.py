@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirekit.functions import fixed, html, text
 from quirekit.operators.running import gaps
-from quirekit.plans.registry import query, quote, sql_replace, sql_rewrite, sql_squash, sql_strip, table
+from quirekit.plans.registry import query, sql_replace, sql_rewrite, sql_squash, table
 from quirekit.streaming import chunks, runs
 
 

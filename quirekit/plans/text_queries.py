@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirekit.functions import fixed, lines, text
+from quirekit.functions import fixed, text
 from quirekit.plans.registry import (
-    inject, query, quote, re2, sql_inject, sql_list, sql_replace, sql_rewrite, sql_squash, sql_strip, text_table,
+    inject, query, quote, re2, sql_inject, sql_replace, sql_rewrite, sql_squash, sql_strip, text_table,
 )
 
 # Fragments appended to the given texts, so that every rule has something to rewrite.
