@@ -67,14 +67,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
+def words_of(column: pa.Array, blank: np.ndarray = BLANK) -> Words:
+    """``blank`` tells which bytes part words."""
     data, offsets = text_bytes(column)
-    if lower:
-        data = LOWER[data]
+    data = LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    inside = ~BLANK[data]
+    inside = ~blank[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
