@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quirekit.llm.common import shuffle_partitions, texts_of
 
 #: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _WORDS = "block long, bucket int, words binary"
 _PARTS = "block long, bucket int, doc_ids array<long>, body binary"
 
@@ -129,8 +129,11 @@ def _bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(w) for w in words], np.int64) % buckets
 
 
-def encode_documents(docs: DataFrame, file: str, pattern: str) -> DataFrame:
-    """``doc_id, ids``: token ids of every text as packed unsigned 32-bit little-endian numbers."""
+def encode_documents(docs: DataFrame, file: str, pattern: str, decode: bool = False) -> DataFrame:
+    """``doc_id, ids``: token ids of every text as packed unsigned 32-bit little-endian numbers.
+
+    With ``decode`` also ``decoded``, read off the token-byte table while the ids are at hand.
+    """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     # Both branches cut the same rows into the same blocks. A block is named by its list of words, which fixes their
@@ -185,12 +188,13 @@ def encode_documents(docs: DataFrame, file: str, pattern: str) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Block | None = None
+        table = token_table(file) if decode else None
         for batch in batches:
             for row in range(batch.num_rows):
                 block, bucket, body = (batch.column(i)[row].as_py() for i in (0, 1, 3))
                 if held is None or block != held.name:
                     if held:
-                        yield from held.laid_out()
+                        yield from held.laid_out(table)
                     held = _Block(block)
                 # Positions come first (bucket -1); words of blocks with the same list come once for each of them.
                 if bucket < 0:
@@ -198,13 +202,13 @@ def encode_documents(docs: DataFrame, file: str, pattern: str) -> DataFrame:
                 elif bucket != held.last_bucket:
                     held.add_words(bucket, body)
         if held:
-            yield from held.laid_out()
+            yield from held.laid_out(table)
 
     words = rows.mapInArrow(to_words, _WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(to_ids, _PARTS)
     positions = rows.mapInArrow(to_positions, _PARTS)
     parts = ids.unionByName(positions).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
-    return parts.mapInArrow(assemble, "doc_id long, ids binary")
+    return parts.mapInArrow(assemble, "doc_id long, ids binary" + (", decoded binary" if decode else ""))
 
 
 class _Block:
@@ -228,26 +232,37 @@ class _Block:
         self.counts.append(np.frombuffer(counts, "<u4"))
         self.ids.append(_from_planes(ids))
 
-    def laid_out(self, step: int = 4096) -> Iterator[pa.RecordBatch]:
-        """Ids of the texts: the words' ids by number, then by position; a few thousand texts at a time."""
+    def laid_out(self, table: tuple[np.ndarray, np.ndarray] | None, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+        """Ids of the texts: the words' ids by number, then by position; about ``step`` words at a time."""
         places, counts = np.concatenate(self.places).astype(np.int64), np.concatenate(self.counts).astype(np.int64)
         if len(places) != self.words:
             raise ValueError("positions and words of a block do not fit: its rows came in another order the second time")
         source = np.concatenate(self.ids)
-        begin, run_of = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-        begin[places], run_of[places] = np.cumsum(counts) - counts, counts
+        # Words in order of number: where the ids of each begin, as in a table of runs.
+        order = np.argsort(places)
+        runs = np.r_[0, np.cumsum(counts[order])]
+        source, _ = gathered(source, np.r_[0, np.cumsum(counts)], order)
         for docs, lengths, numbers in self.texts:
             ends = np.cumsum(lengths.astype(np.int64))
-            for first in range(0, len(ends), step):
-                low, some = int(ends[first - 1]) if first else 0, ends[first : first + step]
-                here = numbers[low : int(some[-1])].astype(np.int64)
-                run = run_of[here]
-                stop = np.cumsum(run)
-                total = int(stop[-1]) if len(stop) else 0
-                ids = source[np.arange(total) + np.repeat(begin[here] - (stop - run), run)].astype("<u4").tobytes()
-                marks = np.r_[0, np.r_[0, stop][some - low]] * 4
-                bodies = [ids[a:b] for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
-                yield pa.record_batch([docs.slice(first, step), pa.array(bodies, pa.binary())], ["doc_id", "ids"])
+            first = 0
+            while first < len(ends):
+                low = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, low + step, "right")))
+                some = ends[first:last]
+                ids, stop = gathered(source, runs, numbers[low : int(some[-1])].astype(np.int64))
+                marks = np.r_[0, np.r_[0, stop][some - low]]
+                columns = [docs.slice(first, last - first), _parts(ids.astype("<u4").view(np.uint8), marks * 4)]
+                if table:
+                    text, close = gathered(*table, ids.astype(np.int64))
+                    columns.append(_parts(text, np.r_[0, close][marks]))
+                yield pa.record_batch(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+                first = last
+
+
+def _parts(data: np.ndarray, marks: np.ndarray) -> pa.Array:
+    """A binary column whose values lie end to end in ``data``."""
+    buffers = [None, pa.py_buffer(marks.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.binary(), len(marks) - 1, buffers)
 
 
 def decode_documents(encoded: DataFrame, file: str) -> DataFrame:
@@ -263,7 +278,7 @@ def decode_documents(encoded: DataFrame, file: str) -> DataFrame:
 
 def digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     """Per document: how many ids, and digests of the ids and of the bytes they decode to."""
-    both = decode_documents(encode_documents(docs, file, pattern), file)
+    both = encode_documents(docs, file, pattern, decode=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -60,3 +60,11 @@ def range_bucket(key: Column, bounds: list) -> Column:
 def seed_of(name: str) -> int:
     """A fixed odd 64-bit number for a name."""
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") | 1
+
+
+def unused(name: str, frame: DataFrame) -> str:
+    """The name, lengthened until no column has it (column names ignore case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ import datetime
 import hashlib
 import re
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -39,23 +39,42 @@ def _round(key: bytes, tweak: str, turn: int, half: tuple[int, ...], modulus: in
     return int.from_bytes(hashlib.blake2b(text, key=key, digest_size=32).digest(), "big") % modulus
 
 
-def permute(values: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of mixed-radix numbers: halves are added to in turn, each by a hash of the other."""
+def _number(values: Iterable[int], radices: list[int]) -> tuple[int, int]:
+    """Mixed-radix digits as a number, and how many numbers there are."""
+    number, count = 0, 1
+    for value, radix in zip(values, radices, strict=True):
+        number, count = number * radix + value, count * radix
+    return number, count
+
+
+def _values(number: int, radices: list[int]) -> tuple[int, ...]:
+    out = []
+    for radix in reversed(radices):
+        number, value = divmod(number, radix)
+        out.append(value)
+    return tuple(reversed(out))
+
+
+def _network(values: tuple[int, ...], radices: list[int], key: bytes, tweak: str, turns: Iterable[int], sign: int) -> tuple[int, ...]:
     cut = len(values) // 2
-    halves, sizes = [tuple(values[:cut]), tuple(values[cut:])], [radices[:cut], radices[cut:]]
-    tweak = f"{tweak}|{','.join(map(str, radices))}"
-    for turn in range(ROUNDS):
+    halves, sizes = [values[:cut], values[cut:]], [radices[:cut], radices[cut:]]
+    for turn in turns:
         side = (turn + 1) % 2
-        modulus, number = 1, 0
-        for value, radix in zip(halves[side], sizes[side], strict=True):
-            modulus, number = modulus * radix, number * radix + value
-        number = (number + _round(key, tweak, turn, halves[1 - side], modulus)) % modulus
-        out = []
-        for radix in reversed(sizes[side]):
-            number, value = divmod(number, radix)
-            out.append(value)
-        halves[side] = tuple(reversed(out))
-    return [*halves[0], *halves[1]]
+        number, count = _number(halves[side], sizes[side])
+        halves[side] = _values((number + sign * _round(key, tweak, turn, halves[1 - side], count)) % count, sizes[side])
+    return halves[0] + halves[1]
+
+
+def permute(values: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of mixed-radix numbers that leaves none of them in place (if there are two or more).
+
+    The Feistel network adds to each half in turn a hash of the other. Its result is moved on by one and taken back
+    through the network, which makes all numbers one cycle: a value never becomes itself, also where few are possible.
+    """
+    tweak = f"{tweak}|{','.join(map(str, radices))}"
+    there = _network(tuple(values), radices, key, tweak, range(ROUNDS), 1)
+    number, count = _number(there, radices)
+    return list(_network(_values((number + 1) % count, radices), radices, key, tweak, range(ROUNDS - 1, -1, -1), -1))
 
 
 def permute_text(text: str, key: bytes, tweak: str, alphabet: str | None = None) -> str:
@@ -232,7 +251,7 @@ KINDS: list[tuple[str, str, Callable[[str], bool], Callable[[str, bytes], str]]]
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn_valid, ssn),
     ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", ip_valid, ip),
     ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)", card_valid, card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)", phone_valid, phone),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,8}){1,5}(?!\w)", phone_valid, phone),
 ]
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern.replace(chr(92) + '1', '(?P=mark)').replace('([/.-])', '(?P<mark>[/.-])')})" for kind, pattern, _, _ in KINDS))
 _BY_KIND = {kind: (test, change) for kind, _, test, change in KINDS}

@@ -49,9 +49,11 @@ _ROLES = {"navigation": "menu", "banner": "frame", "contentinfo": "frame", "comp
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Weights before any page is counted, and the counts they stand for.
-WORD_PRIOR, TAG_PRIOR, PRIOR_COUNT = 1.0, -1.0, 2.0
-#: Tags never score above this, wherever they were seen.
-TAG_MOST = -0.05
+WORD_PRIOR, BOILERPLATE_PRIOR, TAG_PRIOR, PRIOR_COUNT = 1.0, -1.0, -0.1, 2.0
+#: Tags never score above this, wherever they were seen; no weight is farther from zero than the limit.
+TAG_MOST, LIMIT = -0.05, 3.0
+#: What elements of boilerplate count for: they are dropped in any case, and should hardly part content around them.
+DROPPED_SHARE = 0.1
 
 
 class Event:
@@ -190,12 +192,13 @@ def prior(feature: str) -> float:
     if feature.startswith("tag:"):
         return TAG_PRIOR
     kind = feature.split(":")[1]
-    return TAG_PRIOR if kind in KINDS or kind in ("nav", "aside", "footer", "form", "head", "title", "header", "raw", "hidden") else WORD_PRIOR
+    return BOILERPLATE_PRIOR if kind in KINDS or kind in ("nav", "aside", "footer", "form", "head", "title", "header", "raw", "hidden") else WORD_PRIOR
 
 
 def weight(feature: str, inside: int, outside: int) -> float:
     half = 1 / (1 + math.exp(-prior(feature)))
     odds = math.log((inside + PRIOR_COUNT * half) / (outside + PRIOR_COUNT * (1 - half)))
+    odds = max(-LIMIT, min(LIMIT, odds))
     return min(odds, TAG_MOST) if feature.startswith("tag:") else odds
 
 
@@ -214,7 +217,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the best region, a line a block."""
     events, _ = read_page(page)
-    scores = [e.n * (weights[e.feature] if e.feature in weights else prior(e.feature)) for e in events]
+    scores = [e.n * (weights[e.feature] if e.feature in weights else prior(e.feature)) * (DROPPED_SHARE if e.banned else 1) for e in events]
     start, end = best_region(scores)
     # Text next to the region in the same block belongs to it.
     blocks: dict[int, list[str]] = {}

@@ -40,6 +40,10 @@ _ORDER = _sequences()
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
 
 
+#: Added to a bin's value before its low bits are taken, so that one value in many bins is not one draw of chance.
+_OWN_BITS = np.arange(BINS, dtype=np.uint64) * np.uint64(seed_of("low bits"))
+
+
 def densify(table: np.ndarray) -> np.ndarray:
     """Give each empty bin the value of the first full bin in its own order; rows without a full bin stay empty."""
     full = table != _NONE
@@ -68,7 +72,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     row = np.repeat(np.arange(len(column)), np.diff(begin))
     place = row * BINS + (hashes >> _SHIFT).astype(np.int64)
     np.minimum.at(table.reshape(-1), place, hashes & ((np.uint64(1) << _SHIFT) - np.uint64(1)))
-    low = (densify(table) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    low = (mix(densify(table) + _OWN_BITS) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     low[np.diff(begin) == 0] = 0
     return low[:, 0::2] << 4 | low[:, 1::2]
 

@@ -28,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import checkpointed, seed_of, texts_of
+from quirekit.llm.common import checkpointed, seed_of, texts_of, unused
 from quirekit.llm.wordhash import shingle_starts, slices, words_of
 
 SHINGLE, SEED, RADIUS, BLOCKS, PIVOTS, CHUNK = 4, 42, 4, 6, 16, 4096
@@ -81,14 +81,19 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit number."""
+    """``doc_id``, ``mark`` (a hash of the text) and ``fp``, the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", _WORK_BYTES):
-                yield pa.record_batch([batch.column(0).cast(pa.int64()), _signed(fingerprints(batch.column(1)))], ["doc_id", "fp"])
+                yield pa.record_batch([batch.column(0), batch.column(1), _signed(fingerprints(batch.column(2)))], ["doc_id", "mark", "fp"])
 
-    return texts_of(docs, "doc_id").mapInArrow(run, "doc_id long, fp long")
+    marked = docs.select(F.col("doc_id").cast("long"), mark_of("text").alias("mark"), "text")
+    return texts_of(marked, "doc_id", "mark").mapInArrow(run, "doc_id long, mark long, fp long")
+
+
+def mark_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def block_values(fps: np.ndarray) -> list[np.ndarray]:
@@ -221,12 +226,41 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
-    prints = checkpointed(fingerprint_documents(docs))
+def named_components(prints: DataFrame) -> DataFrame:
+    """``fp, component_id`` of every distinct fingerprint."""
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct))
     member = distinct.join(roots, distinct.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(names, "root").select("fp", "component_id")
+    return member.join(names, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row."""
+    prints = checkpointed(fingerprint_documents(docs))
+    named = named_components(prints)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns: the least id's (nulls last), of equal ids the least text hash's.
+
+    Rows are chosen by id and text hash, narrow columns only; the rows to drop, a minority in most corpora, are then taken
+    out of the documents. Rows alike in id and text are one key; of a kept key one row stays.
+    """
+    prints = checkpointed(fingerprint_documents(docs))
+    keys = prints.groupBy("doc_id", "mark", "fp").agg(F.count("*").alias("n")).join(named_components(prints).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    mark = unused("text_mark", docs)
+    key_id, key_mark = unused("kept_id", docs), unused("kept_mark", docs)
+    kept = checkpointed(keys.join(first, "root").select(
+        F.col("doc_id").alias(key_id), F.col("mark").alias(key_mark), "n", (order == F.col("first")).alias("keep")))
+    marked = docs.withColumn(mark, mark_of("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (F.col(mark) == F.col(key_mark))
+    left = marked.join(kept.where(~F.col("keep")).select(key_id, key_mark), same, "left_anti")
+    repeated = kept.where(F.col("keep") & (F.col("n") > 1)).select(key_id, key_mark)
+    if not repeated.isEmpty():
+        alike = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mark])
+        left = left.join(repeated, same, "left_anti").unionByName(alike)
+    return left.select(*docs.columns)

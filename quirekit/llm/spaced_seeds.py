@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import checkpointed, seed_of, texts_of
+from quirekit.llm.common import checkpointed, seed_of, texts_of, unused
 from quirekit.llm.wordhash import Words, mix, slices, words_of
 
 #: Masks: 1 is looked at, 0 ignored.
@@ -156,15 +156,15 @@ def best_stretch(text: np.ndarray, item: np.ndarray, offset: int) -> tuple[int,
     """``(first token in the text, tokens, equal tokens)`` of the longest shared stretch with the item at ``offset``.
 
     The longest run of places of which ``IDENTITY`` or more are equal, without swapped tokens at its ends; it must have
-    ``STRETCH`` tokens, or be the whole of an item that has no more.
+    ``STRETCH`` tokens, or be the whole of an item that has no more (all equal if it is shorter than a mask).
     """
     low, high = max(0, offset), min(len(text), offset + len(item))
     if high <= low:
         return None
     same = text[low:high] == item[low - offset : high - offset]
     if len(item) <= STRETCH:
-        equal = int(same.sum())
-        return (low, high - low, equal) if high - low == len(item) and equal >= IDENTITY * len(item) - 1e-9 else None
+        equal, least = int(same.sum()), len(item) if len(item) < SPAN else IDENTITY * len(item) - 1e-9
+        return (low, high - low, equal) if high - low == len(item) and equal >= least else None
     totals = np.r_[0, np.cumsum(np.where(same, 1000, 0) - round(1000 * IDENTITY))]
     # From each start the farthest end whose running total is not lower: later maxima never rise from left to right.
     later = np.maximum.accumulate(totals[::-1])[::-1]
@@ -212,7 +212,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that share no stretch with any item; rows without an id are judged by their text alone."""
     # A key of id and text, so that one contaminated row does not take others with its id along.
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    own = "__row_key"
+    own = unused("row_key", docs)
     keyed = docs.withColumn(own, key)
     dirty = overlaps(keyed.select(F.col(own).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(own)).distinct()
     return keyed.join(dirty, own, "left_anti").drop(own)
