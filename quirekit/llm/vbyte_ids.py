@@ -97,7 +97,7 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import json
 
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(file)
     with open(file, encoding="utf-8") as f:
@@ -109,6 +109,10 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     suffix = settings["model"]["end_of_word_suffix"]
     ends_word = np.zeros(1 << 16, bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    # Words are lower case and split already, and the plain set has one normal form.
+    of_words = Tokenizer.from_file(file)
+    of_words.normalizer = normalizers.Sequence([])
+    of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     known: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
@@ -116,7 +120,7 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
 
     def learn(words: list[str]) -> None:
         """Encode words as one text: each ends with its one id of a word's end."""
-        ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
+        ids = np.array(of_words.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
         ends = np.flatnonzero(ends_word[ids]) + 1
         if len(ends) == len(words) and (not len(ends) or ends[-1] == len(ids)):
             raw, marks = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
