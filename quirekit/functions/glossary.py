@@ -1,139 +1,125 @@
-"""Abbreviation expansion (STR-30, JOI-06) from per-profile glossaries."""
+"""Abbreviation expansion (STR-30, JOI-06) from glossaries.
+
+A glossary is a table of ``(abbreviation, wording)``. Its small built-in lists hold common English abbreviations; a
+run adds or replaces entries with ``extra``. An abbreviation of capitals alone is read as initials: with or without
+dots, in capitals only. Others match in any case. Both may end with a full stop.
+"""
 
 from __future__ import annotations
 
-import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed
-from quirekit.functions.rewrite import java_replacement, let, map_between
-
-# Fixed glossary entries. Initials ("A.D.C") match with or without dots and keep their
-# case; words match in any case. Both may end with a full stop.
-MILITARY_WORDS = {
-    "Coy": "Company", "Bn": "Battalion", "Bde": "Brigade", "Div": "Division", "Det": "Detachment", "Sqn": "Squadron",
-    "Bty": "Battery", "Adjt": "Adjutant", "Lieut": "Lieutenant", "Lt": "Lieutenant", "Capt": "Captain", "Maj": "Major",
-    "Col": "Colonel", "Brig": "Brigadier", "Gen": "General", "Sgt": "Sergeant", "Cpl": "Corporal", "Pte": "Private",
-    "Gnr": "Gunner", "Dvr": "Driver", "Spr": "Sapper", "Tpr": "Trooper", "Bdr": "Bombardier",
-    "NCOs": "Non-Commissioned Officers", "NCO": "Non-Commissioned Officer", "Arty": "Artillery", "Cav": "Cavalry",
-    "Inf": "Infantry", "Engrs": "Engineers", "Pfc": "Private First Class", "Pvt": "Private",
-}
-MILITARY_INITIALS = {
-    "HQ": "Headquarters", "G.H.Q": "General Headquarters", "W.O": "Warrant Officer", "R.S.M": "Regimental Sergeant Major",
-    "C.S.M": "Company Sergeant Major", "O.C": "Officer Commanding", "C.O": "Commanding Officer",
-    "G.O.C": "General Officer Commanding", "A.D.C": "Aide-de-Camp", "Q.M": "Quartermaster", "T.O.S": "Taken on Strength",
-    "S.O.S": "Struck off Strength", "A.W.L": "Absent Without Leave", "K.I.A": "Killed in Action",
-    "W.I.A": "Wounded in Action", "M.I.A": "Missing in Action", "P.O.W": "Prisoner of War",
-    "A.I.F": "Australian Imperial Force", "B.E.F": "British Expeditionary Force", "R.E": "Royal Engineers",
-    "R.A": "Royal Artillery", "R.F.A": "Royal Field Artillery", "M.G.C": "Machine Gun Corps", "C.C.S": "Casualty Clearing Station",
-    "M.O": "Medical Officer", "C.P": "Command Post", "M.P": "Military Police", "X.O": "Executive Officer",
-    "R.A.A.F": "Royal Australian Air Force", "R.A.F": "Royal Air Force", "R.N": "Royal Navy", "H.M.S": "His Majesty's Ship",
-}
-HISTORICAL_WORDS = {
-    "inst": "this month", "ult": "last month", "prox": "next month", "acct": "account", "bal": "balance", "doz": "dozen",
-    "cwt": "hundredweight", "qr": "quarter", "lb": "pound", "oz": "ounce", "gent": "gentleman", "furn": "furnished",
-    "unfurn": "unfurnished", "refs": "references", "immed": "immediately", "bd": "board", "lodg": "lodging",
-    "str": "steamer", "schr": "schooner", "bk": "barque", "arr": "arrived", "dep": "departed", "Rd": "Road",
-    "Ave": "Avenue", "Mt": "Mount", "Ft": "Fort", "Qld": "Queensland", "Vic": "Victoria", "Tas": "Tasmania",
-}
-HISTORICAL_INITIALS = {
-    "S.S": "Steamship", "R.M.S": "Royal Mail Ship", "N.S.W": "New South Wales", "S.A": "South Australia",
-    "W.A": "Western Australia", "N.Z": "New Zealand", "U.K": "United Kingdom", "U.S": "United States",
-}
-MODERN_INITIALS = {
-    "A.P": "Associated Press", "A.F.P": "Agence France-Presse", "U.N": "United Nations", "E.U": "European Union",
-    "W.H.O": "World Health Organization", "I.M.F": "International Monetary Fund", "G.D.P": "Gross Domestic Product",
-    "C.P.I": "Consumer Price Index", "I.P.O": "Initial Public Offering", "C.E.O": "Chief Executive Officer",
-    "C.F.O": "Chief Financial Officer", "D.N.A": "deoxyribonucleic acid", "C.C.T.V": "closed-circuit television",
-}
-MEDICAL_INITIALS = {
-    "B.P": "blood pressure", "E.C.G": "electrocardiogram", "E.E.G": "electroencephalogram", "I.C.U": "intensive care unit",
-    "E.R": "emergency room", "E.D": "emergency department", "G.P": "general practitioner", "C.T": "computed tomography",
-    "M.R.I": "magnetic resonance imaging", "D.N.A": "deoxyribonucleic acid", "R.N.A": "ribonucleic acid",
-    "W.H.O": "World Health Organization",
-}
-CIVIL_WORDS = {
-    "Gov": "Governor", "Hon": "Honourable", "Bros": "Brothers", "Rev": "Reverend", "Sen": "Senator", "Rep": "Representative",
-}
-CIVIL_INITIALS = {
-    "J.P": "Justice of the Peace", "M.P": "Member of Parliament", "M.L.A": "Member of the Legislative Assembly",
-    "M.L.C": "Member of the Legislative Council",
-}
-GLOSSARIES = {
-    "military": (MILITARY_WORDS, MILITARY_INITIALS),
-    "historical_newspaper": (HISTORICAL_WORDS, HISTORICAL_INITIALS),
-    "modern_newspaper": ({}, MODERN_INITIALS),
-    "medical": ({}, MEDICAL_INITIALS),
-    "civil_titles": (CIVIL_WORDS, CIVIL_INITIALS),
-}
-SAINTS = (r"(?i)\bSt\.\s+(John|George)\b", r"Saint \1")
+from quirekit.functions.models import literal_map
+from quirekit.functions.rewrite import let, map_between, map_matches
 
 Entry = tuple[str, str]
 
-
-def word_pattern(word: str) -> str:
-    return rf"(?i)\b{word}\b\.?"
+# Common English abbreviations, by field and in order of the alphabet.
+GLOSSARIES: dict[str, list[Entry]] = {
+    "civil_titles": [
+        ("Bros", "Brothers"), ("Cllr", "Councillor"), ("Esq", "Esquire"), ("Gov", "Governor"), ("Hon", "Honourable"),
+        ("JP", "Justice of the Peace"), ("Jnr", "Junior"), ("MP", "Member of Parliament"), ("Messrs", "Messieurs"),
+        ("Prof", "Professor"), ("Rev", "Reverend"), ("Sen", "Senator"), ("Snr", "Senior"),
+    ],
+    "historical_newspaper": [
+        ("Ald", "Alderman"), ("Ave", "Avenue"), ("Bldg", "Building"), ("Cnr", "Corner"), ("Cr", "Creditor"),
+        ("Dept", "Department"), ("Govt", "Government"), ("NSW", "New South Wales"), ("NZ", "New Zealand"), ("Qld", "Queensland"),
+        ("Rd", "Road"), ("SS", "Steamship"), ("Sq", "Square"), ("Tce", "Terrace"), ("UK", "United Kingdom"), ("US", "United States"),
+        ("approx", "approximately"), ("cwt", "hundredweight"), ("doz", "dozen"), ("inst", "this month"), ("lb", "pound"),
+        ("oz", "ounce"), ("pd", "paid"), ("prox", "next month"), ("recd", "received"), ("ult", "last month"), ("wk", "week"), ("yr", "year"),
+    ],
+    "medical": [
+        ("BP", "blood pressure"), ("BMI", "body mass index"), ("CPR", "cardiopulmonary resuscitation"), ("CT", "computed tomography"),
+        ("DNA", "deoxyribonucleic acid"), ("ECG", "electrocardiogram"), ("GP", "general practitioner"), ("ICU", "intensive care unit"),
+        ("IV", "intravenous"), ("MRI", "magnetic resonance imaging"), ("PRN", "as needed"), ("RNA", "ribonucleic acid"),
+        ("WHO", "World Health Organization"),
+    ],
+    "military": [
+        ("ADC", "aide-de-camp"), ("Adjt", "Adjutant"), ("Adm", "Admiral"), ("Bde", "Brigade"), ("Bn", "Battalion"),
+        ("CO", "Commanding Officer"), ("Capt", "Captain"), ("Cdr", "Commander"), ("Cmdre", "Commodore"), ("Col", "Colonel"),
+        ("Coy", "Company"), ("Cpl", "Corporal"), ("FM", "Field Marshal"), ("Fus", "Fusilier"), ("Gen", "General"),
+        ("HMS", "Her Majesty's Ship"), ("HQ", "Headquarters"), ("KIA", "killed in action"), ("LCpl", "Lance Corporal"), ("Lt", "Lieutenant"),
+        ("Maj", "Major"), ("Mne", "Marine"), ("NCO", "non-commissioned officer"), ("OC", "Officer Commanding"), ("POW", "prisoner of war"),
+        ("Pl", "Platoon"), ("Pte", "Private"), ("QM", "Quartermaster"), ("RAAF", "Royal Australian Air Force"), ("RAF", "Royal Air Force"),
+        ("RN", "Royal Navy"), ("Regt", "Regiment"), ("Sgt", "Sergeant"), ("Sqn", "Squadron"), ("Tp", "Troop"), ("USN", "United States Navy"),
+        ("WO", "Warrant Officer"),
+    ],
+    "modern_newspaper": [
+        ("AP", "Associated Press"), ("ASAP", "as soon as possible"), ("BBC", "British Broadcasting Corporation"), ("CEO", "chief executive officer"),
+        ("EU", "European Union"), ("FAQ", "frequently asked questions"), ("GDP", "gross domestic product"), ("IMF", "International Monetary Fund"),
+        ("NATO", "North Atlantic Treaty Organization"), ("UN", "United Nations"), ("VAT", "value-added tax"), ("WHO", "World Health Organization"),
+    ],
+}
 
 
-def initials_pattern(initials: str) -> str:
-    return r"\b" + r"\.?".join(initials.replace(".", "")) + r"\b\.?"
+def is_initials(abbreviation: str) -> bool:
+    return abbreviation.isupper()
 
 
-def glossary(name: str) -> list[Entry]:
-    words, initials = GLOSSARIES[name]
-    return [(word_pattern(w), full) for w, full in words.items()] + [(initials_pattern(i), full) for i, full in initials.items()]
+def pattern_of(abbreviation: str) -> str:
+    """The pattern of one abbreviation, its final full stop included."""
+    if is_initials(abbreviation):
+        return r"\b" + r"\.?".join(abbreviation) + r"\b\.?"
+    return rf"(?i)\b{re.escape(abbreviation)}\b\.?"
 
 
 def entries_for(profile: str | None, extra: list[Entry] = ()) -> list[Entry]:
-    """JOI-06: a profile's entries in glossary order, each (pattern, wording) once, own additions last."""
+    """JOI-06: a profile's entries in glossary order, each once, own additions first so that they win."""
     names = fixed.PROFILE_GLOSSARIES.get((profile or "military").lower(), fixed.DEFAULT_GLOSSARIES)
-    return list(dict.fromkeys([entry for name in names for entry in glossary(name)] + list(extra)))
-
+    entries: dict[str, str] = {}
+    for abbreviation, wording in [*extra, *(entry for name in names for entry in GLOSSARIES[name])]:
+        entries.setdefault(abbreviation, wording)
+    return list(entries.items())
 
-def _needle(entry: Entry, rules: list[Entry]) -> str:
-    """Letters a text must hold, dots aside and in lower case, before the entry can match; empty when unknown.
 
-    An entry that the wording of another can bring about has no needle either.
-    """
-    pattern, _ = entry
-    letters = re.sub(r"\(\?i\)|\\b|\\\.\??", "", pattern)
-    brought_about = any(re.search(pattern, wording) for _, wording in rules)
-    return letters.lower() if letters.isalpha() and not brought_about else ""
+def glossary_table(spark: SparkSession) -> DataFrame:
+    """``glossary, place, abbreviation, wording``: the built-in entries as a table."""
+    rows = [(name, i, *entry) for name, entries in GLOSSARIES.items() for i, entry in enumerate(entries)]
+    return spark.createDataFrame(rows, "glossary string, place int, abbreviation string, wording string")
 
 
-def rule_table(entries: list[Entry]) -> Column:
-    """Entries as one constant ``array<struct(needle, pattern, wording)>``."""
-    rules = [*entries, SAINTS]
-    rows = [{"needle": _needle(r, rules), "pattern": r[0], "wording": java_replacement(r[1])} for r in rules]
-    return F.from_json(F.lit(json.dumps(rows)), F.lit("array<struct<needle:string,pattern:string,wording:string>>"))
+def profile_table(spark: SparkSession) -> DataFrame:
+    """``profile, rank, glossary``: which glossaries a profile uses; the null profile stands for any other."""
+    named = [*fixed.PROFILE_GLOSSARIES.items(), (None, fixed.DEFAULT_GLOSSARIES)]
+    rows = [(profile, i, name) for profile, names in named for i, name in enumerate(names)]
+    return spark.createDataFrame(rows, "profile string, rank int, glossary string")
 
 
-def expand_with(col: Column, table: Column) -> Column:
-    """STR-30: rewrite the text between tags, entry by entry; tags stay untouched.
+def expand_with(col: Column, entries: list[Entry]) -> Column:
+    """STR-30: expand the text between tags in one pass; tags stay untouched.
 
-    Plain substring tests leave the few entries a text can hold, and only those run as
-    patterns, in glossary order.
+    All abbreviations are one literal pattern, and a map gives the wording of what it finds: initials by their letters,
+    other abbreviations by their lower-case form.
     """
+    initials = sorted((a for a, _ in entries if is_initials(a)), key=lambda a: (-len(a), a))
+    words = sorted((a for a, _ in entries if not is_initials(a)), key=lambda a: (-len(a), a))
+    choices = [r"\.?".join(a) for a in initials] + ([f"(?i:{'|'.join(map(re.escape, words))})"] if words else [])
+    wording = literal_map({a if is_initials(a) else a.lower(): w for a, w in reversed(entries)})
+
+    def worded(match: Column) -> Column:
+        letters = F.translate(match, ".", "")
+        return F.coalesce(wording[letters], wording[F.lower(letters)], match)
 
     def expand(segment: Column) -> Column:
-        usable = let(
-            F.lower(F.translate(segment, ".", "")),
-            lambda letters: F.filter(table, lambda entry: F.contains(letters, entry["needle"])),
-        )
-        return F.aggregate(usable, segment, lambda acc, entry: F.regexp_replace(acc, entry["pattern"], entry["wording"]))
+        return map_matches(segment, rf"\b(?:{'|'.join(choices)})\b\.?", worded)
 
     return map_between(col, r"<[^>]+>", expand)
 
 
-def expand_abbreviations(col: Column, profile: Column) -> Column:
-    """STR-30 with the profile as data: profiles that share glossaries share one table."""
+def expand_abbreviations(col: Column, profile: Column, extra: list[Entry] = ()) -> Column:
+    """STR-30 with the profile as data: profiles that share glossaries share one pattern."""
     groups: dict[tuple[str, ...], list[str]] = {}
     for name, glossaries in fixed.PROFILE_GLOSSARIES.items():
         groups.setdefault(tuple(glossaries), []).append(name)
-    table = rule_table(entries_for(None))
+    return let(F.lower(profile), lambda name: _by_group(col, name, groups, list(extra)))
+
+
+def _by_group(col: Column, name: Column, groups: dict[tuple[str, ...], list[str]], extra: list[Entry]) -> Column:
+    result = expand_with(col, entries_for(None, extra))
     for members in groups.values():
-        table = F.when(F.lower(profile).isin(members), rule_table(entries_for(members[0]))).otherwise(table)
-    return let(table, lambda rules: expand_with(col, rules))
+        result = F.when(name.isin(members), expand_with(col, entries_for(members[0], extra))).otherwise(result)
+    return result

@@ -188,11 +188,13 @@ def scope_is_valid(scope: Column) -> Column:
 
 
 def fixed_slices(col: Column, size: int = fixed.TEXT_SLICE_CHARS) -> Column:
-    """Fixed-size slices of a text; the empty text has none."""
-    starts = F.sequence(F.lit(0), F.floor((F.length(col) - 1) / size).cast("int"))
-    return F.when(
-        F.length(col) > 0, F.transform(starts, lambda i: F.substring(col, i * size + 1, F.lit(size)))
-    ).otherwise(F.array().cast("array<string>"))
+    """Fixed-size slices of a text, cut in one pass; the empty text has none."""
+    return F.regexp_extract_all(col, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def slices_of(col: Column, size: int) -> Column:
+    """Fixed-size slices of a text; the empty text is one empty slice."""
+    return let(fixed_slices(col, size), lambda cut: F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit(""))))
 
 
 def greedy_batches(chunks: Column, target: int = fixed.TEXT_BATCH_CHARS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.functions import fixed, html, text
+from quirekit.functions import html, text
 from quirekit.functions.glossary import expand_abbreviations
 from quirekit.operators.pages import keep_unless_shrunk
 
@@ -39,14 +39,8 @@ def staged(frame: DataFrame, column: str, steps: list) -> DataFrame:
 
 
 def normalize_documents(frame: DataFrame, column: str = "html") -> DataFrame:
-    """HTM-01: the document clean-up chain; bodies over 200,000 characters only lose leaked wrappers."""
-    long = F.length(column) > fixed.NORMALIZE_MAX_CHARS
-
-    def unless_long(step):
-        return lambda body: F.when(F.col("_long"), body).otherwise(step(body))
-
-    marked = staged(frame.withColumn("_long", long), column, [html.collapse_nested_main])
-    return staged(marked, column, [unless_long(step) for step in NORMALIZE_PASSES]).drop("_long")
+    """HTM-01: the document clean-up chain, on bodies of every length."""
+    return staged(frame, column, [html.collapse_nested_main, *NORMALIZE_PASSES])
 
 
 def cleanup_output(frame: DataFrame, column: str, fmt: Column, profile: Column, flags: dict[str, Column]) -> DataFrame:

@@ -121,6 +121,13 @@ def echoes_log(message: Column, engine_event: Column) -> Column:
     return ~engine_event | ~noisy
 
 
+def humanize_log(message: Column, labels: dict[str, str]) -> Column:
+    """STR-32: a log line's bracketed label in a reader's words; lines with an unknown label or none stay."""
+    wording = literal_map(labels)[F.regexp_extract(message, r"\A\[([^\]]+)\]", 1)]
+    rest = F.ltrim(F.regexp_replace(message, r"\A\[[^\]]+\]", ""))
+    return F.coalesce(F.concat(wording, rest), message)
+
+
 def in_protected_dir(path: Column, root: str, names: list[str] | None = None) -> Column:
     """FLT-13."""
     folders = [f"{root}/{name}".lower() for name in names or fixed.PROTECTED_DIR_NAMES]

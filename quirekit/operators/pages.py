@@ -48,12 +48,35 @@ def is_strong_text(sampled: Column, textful: Column, strong: Column, chars: Colu
     )
 
 
-def text_layer_audit(source: Column, output: Column) -> Column:
+def missing_lines(source: Column, output: Column) -> Column:
+    """JOI-09: source lines of some length that the output does not contain, in order.
+
+    Most lines of a good output stand in it as lines, so they are looked up in the set
+    of output lines first; only the rest are searched for in the whole text.
+    """
+    candidates = F.filter(
+        F.transform(content_lines(source), lambda line: squash(line)),
+        lambda line: F.length(line) >= fixed.AUDIT_MIN_LINE_CHARS,
+    )
+    held = F.transform(content_lines(output), lambda line: squash(F.lower(line)))
+
+    def search(wanted: Column) -> Column:
+        absent = F.array_except(F.transform(wanted, lambda line: F.lower(line)), held)
+        lost = let(squash(F.lower(output)), lambda text: F.filter(absent, lambda line: ~F.contains(text, line)))
+        return let(lost, lambda gone: F.when(F.size(gone) == 0, F.slice(wanted, 1, 0)).otherwise(
+            F.filter(wanted, lambda line: F.array_contains(gone, F.lower(line)))
+        ))
+
+    return let(candidates, search)
+
+
+def text_layer_audit(source: Column, output: Column, max_listed: int | None = None) -> Column:
     """AGG-08: how much of a source text an output covers.
 
     ``length_coverage`` compares normalised lengths; ``missing_lines`` lists source
     lines of some length that the output does not contain (JOI-09). Both stay inside
-    the row. The 800-line list is the report's own limit; ``missing`` counts them all.
+    the row, and both sides are read whole. ``max_listed`` bounds the list only;
+    ``missing`` counts all lines.
     """
 
     def report(keys: Column) -> Column:
@@ -62,21 +85,13 @@ def text_layer_audit(source: Column, output: Column) -> Column:
             keys["source"].cast("bigint").alias("source_chars"),
             keys["output"].cast("bigint").alias("output_chars"),
             F.size(keys["missing"]).cast("bigint").alias("missing"),
-            F.slice(keys["missing"], 1, fixed.AUDIT_MAX_MISSING).alias("missing_lines"),
+            (keys["missing"] if max_listed is None else F.slice(keys["missing"], 1, max_listed)).alias("missing_lines"),
         )
 
-    held = F.substring(output, 1, fixed.AUDIT_MAX_CHARS)
-    candidates = F.filter(
-        F.transform(content_lines(source), lambda line: squash(line)),
-        lambda line: F.length(line) >= fixed.AUDIT_MIN_LINE_CHARS,
-    )
-    missing = let(
-        squash(F.lower(held)), lambda haystack: F.filter(candidates, lambda line: ~F.contains(haystack, F.lower(line)))
-    )
     measured = F.struct(
-        F.length(audit_key(F.substring(source, 1, fixed.AUDIT_MAX_CHARS))).alias("source"),
-        F.length(audit_key(held)).alias("output"),
-        missing.alias("missing"),
+        F.length(audit_key(source)).alias("source"),
+        F.length(audit_key(output)).alias("output"),
+        missing_lines(source, output).alias("missing"),
     )
     return let(measured, report)
 
@@ -106,9 +121,23 @@ def render_appendix(fmt: Column, heading: Column, body: Column) -> Column:
     return F.when(squash(body) == "", "").when(fmt == "html", markup).when(fmt == "md", marked).otherwise(plain)
 
 
-def keep_unless_shrunk(raw: Column, cleaned: Column, raw_visible: Column, cleaned_visible: Column) -> Column:
-    """FLT-21: a clean-up that loses too much visible text is not taken."""
-    lost = (F.length(raw_visible) >= fixed.SHRINK_MIN_CHARS) & (
+def keep_unless_shrunk(
+    raw: Column, cleaned: Column, raw_visible: Column, cleaned_visible: Column, min_chars: int = 1
+) -> Column:
+    """FLT-21: a clean-up that loses too much visible text is not taken; ``min_chars`` exempts short texts."""
+    lost = (F.length(raw_visible) >= min_chars) & (
         F.length(cleaned_visible) < fixed.SHRINK_MIN_RATIO * F.length(raw_visible)
     )
     return F.when(lost, raw).otherwise(cleaned)
+
+
+def has_archive_marker(text: Column) -> Column:
+    """FLT-15: the text names the newspaper archive it comes from."""
+    held = F.lower(text)
+    return F.exists(F.array(*map(F.lit, fixed.ARCHIVE_MARKERS)), lambda marker: F.contains(held, marker))
+
+
+def skips_cleanup(profile: Column, html: Column, min_chars: int = 0) -> Column:
+    """FLT-17: outputs of two profiles that already carry their wrapper are left alone; ``min_chars`` limits it to large ones."""
+    held = F.lower(html)
+    return profile.isin("archival", "military") & (F.length(html) >= min_chars) & held.contains("<html") & held.contains("<main")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed
+from quirekit.functions.lines import slices_of
 from quirekit.functions.models import literal_array
 from quirekit.plans.registry import quote, table, text_table
 
@@ -112,7 +113,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into pages of fixed length, with the file's profile and size."""
     docs = text_table(spark, sf_dir, "documents", "doc_id")
     last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PAGE_CHARS).cast("int")
-    pages = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * PAGE_CHARS + 1, F.lit(PAGE_CHARS)))
+    pages = slices_of(F.col("text"), PAGE_CHARS)
     return docs.select(
         "doc_id",
         pick(fixed.PROFILES, F.col("doc_id")).alias("profile"),

@@ -167,7 +167,7 @@ ABBREVIATIONS = [
 
 def _expand_sql(profile):
     """Letters beyond ASCII are fenced with ASCII letters, so that word boundaries agree; fences go afterwards."""
-    rules = [(re2(p), r) for p, r in [*glossary.entries_for(profile), glossary.SAINTS]]
+    rules = [(re2(glossary.pattern_of(a)), w) for a, w in glossary.entries_for(profile)]
     pieces = "string_split_regex(fenced, '<[^>]+>')"
     tags = "list_append(regexp_extract_all(fenced, '<[^>]+>'), '')"
     return f"array_to_string(list_transform({pieces}, lambda x, i: {sql_rewrite('x', rules)} || ({tags})[i]), '')"
@@ -187,24 +187,26 @@ def abbreviations(spark, sf_dir):
     return docs.select("doc_id", "profile", glossary.expand_abbreviations(F.col("text"), F.col("profile")).alias("result"))
 
 
-_GLOSSARY_ROWS = ", ".join(
-    f"({quote(name)}, {i}, {quote(p)}, {quote(r)})" for name in glossary.GLOSSARIES for i, (p, r) in enumerate(glossary.glossary(name))
-)
+_GLOSSARY_ROWS = ", ".join(f"({quote(name)}, {quote(a)}, {quote(w)})" for name, entries in glossary.GLOSSARIES.items() for a, w in entries)
 _PROFILE_ROWS = ", ".join(f"({quote(p)}, {i}, {quote(n)})" for p, names in fixed.PROFILE_GLOSSARIES.items() for i, n in enumerate(names))
 _DEFAULT_ROWS = ", ".join(f"({i}, {quote(n)})" for i, n in enumerate(fixed.DEFAULT_GLOSSARIES))
 
 
 @query(
     "joi_06_profile_glossaries",
-    f"""WITH g(name, ord, pattern, wording) AS (VALUES {_GLOSSARY_ROWS}), pg(profile, rank, name) AS (VALUES {_PROFILE_ROWS}), dg(rank, name) AS (VALUES {_DEFAULT_ROWS}),
+    f"""WITH g(name, abbreviation, wording) AS (VALUES {_GLOSSARY_ROWS}), pg(profile, rank, name) AS (VALUES {_PROFILE_ROWS}), dg(rank, name) AS (VALUES {_DEFAULT_ROWS}),
     j AS (SELECT profile, count(*) AS jobs FROM {JOBS_SQL} GROUP BY profile),
-    u AS (SELECT j.profile, jobs, pg.name FROM j JOIN pg ON pg.profile = j.profile UNION ALL SELECT j.profile, jobs, dg.name FROM j, dg WHERE j.profile NOT IN (SELECT profile FROM pg))
-    SELECT profile, jobs, count(DISTINCT (pattern, wording)) AS entries FROM u JOIN g USING (name) GROUP BY ALL""",
+    u AS (SELECT j.profile, jobs, rank, pg.name FROM j JOIN pg ON pg.profile = j.profile UNION ALL SELECT j.profile, jobs, rank, dg.name FROM j, dg WHERE j.profile NOT IN (SELECT profile FROM pg))
+    SELECT profile, jobs, abbreviation, arg_min(wording, rank) AS wording FROM u JOIN g USING (name) GROUP BY ALL""",
 )
 def profile_glossaries(spark, sf_dir):
-    sizes = {p: str(len(glossary.entries_for(p))) for p in fixed.PROFILES}
+    """Jobs per profile joined to the entries of the profile's glossaries, each abbreviation once, by the first glossary that has it."""
     counts = jobs(spark, sf_dir).groupBy("profile").agg(F.count("*").alias("jobs"))
-    return counts.withColumn("entries", models.literal_map(sizes)[F.col("profile")].cast("bigint"))
+    known = F.when(F.col("profile").isin(list(fixed.PROFILE_GLOSSARIES)), F.col("profile"))
+    used = glossary.profile_table(spark).withColumnRenamed("profile", "known")
+    listed = counts.withColumn("asked", known).join(used, F.col("asked").eqNullSafe(F.col("known")))
+    entries = listed.join(glossary.glossary_table(spark), "glossary")
+    return entries.groupBy("profile", "jobs", "abbreviation").agg(F.min_by("wording", "rank").alias("wording"))
 
 
 _RULE_ROWS = ", ".join(
@@ -442,13 +444,13 @@ def strip_geometry(spark, sf_dir):
 @query(
     "stm_06_cache_reuse",
     """WITH k AS (SELECT doc_id, sha256(text) AS key, length(text) AS size FROM documents), f AS (SELECT key, min(doc_id) AS first, count(*) AS uses, max(size) AS size FROM k GROUP BY key)
-    SELECT count(*) AS requests, sum(uses)::BIGINT AS uses, sum(uses - 1) FILTER (size BETWEEN 1 AND 250000)::BIGINT AS hits FROM f""",
+    SELECT count(*) AS requests, sum(uses)::BIGINT AS uses, sum(uses - 1) FILTER (size >= 1)::BIGINT AS hits FROM f""",
 )
 def cache_reuse(spark, sf_dir):
     """Requests, uses and cache hits. Digests are counted per task first, so a text that makes up a third of all rows costs one row per task."""
     keyed = text_table(spark, sf_dir, "documents", "doc_id").select(text.sha256_key(F.col("text")).alias("key"), F.length("text").alias("size"))
     used = keyed.groupBy("key").agg(F.count("*").alias("uses"), F.max("size").alias("size"))
-    stored = F.col("size").between(1, fixed.CACHE_MAX_TEXT_CHARS)
+    stored = F.col("size") >= 1
     return used.agg(F.count("*").alias("requests"), F.sum("uses").alias("uses"), F.sum(F.when(stored, F.col("uses") - 1)).alias("hits"))
 
 

@@ -52,11 +52,11 @@ def sampled_pages(spark, sf_dir):
 
 _DOC_METRICS = f"""d AS (SELECT doc_id, any_value(profile) AS profile, any_value(size_mb) AS size_mb, any_value(total_pages) AS total_pages,
   count(*) AS sampled, count_if(chars > 0)::BIGINT AS textful, count_if(chars >= 1200 AND alpha_chars >= 500)::BIGINT AS strong, sum(chars)::BIGINT AS chars
-  FROM pages_m WHERE list_contains({_POSITIONS}, page_no - 1) GROUP BY doc_id)"""
+  FROM pages_m GROUP BY doc_id)"""
 
 
 def _document_metrics(spark, sf_dir):
-    return ops.document_metrics(ops.sampled(page_text(spark, sf_dir)), "doc_id", "profile", "size_mb", "total_pages")
+    return ops.document_metrics(page_text(spark, sf_dir), "doc_id", "profile", "size_mb", "total_pages")
 
 
 @query("agg_06_document_metrics", _with_pages(f", {_DOC_METRICS} SELECT doc_id, sampled, textful, strong, chars FROM d"))
@@ -399,14 +399,9 @@ def text_layer_audit(spark, sf_dir):
     WHERE length({sql_squash('line')}) >= {fixed.AUDIT_MIN_LINE_CHARS} AND NOT contains(haystack, lower({sql_squash('line')})) GROUP BY ALL""",
 )
 def missing_lines(spark, sf_dir):
-    haystack = squash(F.lower("output"))
-    audited = _audited(spark, sf_dir).withColumn("haystack", haystack)
     # The row's own lines are tested against the row's own output: a filter, never a join.
-    lost = F.filter(
-        F.transform(lines.content_lines(F.col("text")), lambda line: squash(line)),
-        lambda line: (F.length(line) >= fixed.AUDIT_MIN_LINE_CHARS) & ~F.contains(F.col("haystack"), F.lower(line)),
-    )
-    return audited.select("doc_id", F.explode(lost).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("copies"))
+    lost = ops.missing_lines(F.col("text"), F.col("output"))
+    return _audited(spark, sf_dir).select("doc_id", F.explode(lost).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("copies"))
 
 
 @query(
@@ -448,7 +443,7 @@ def audit_appendix(spark, sf_dir):
     "flt_21_shrink_guard",
     f"""WITH r AS (SELECT doc_id, repeat(text || ' ', 12) AS raw, substring(repeat(text || ' ', 12), 1, CAST(floor(length(text || ' ') * 12 * ({sql_pick(['0.5', '0.71', '0.73', '0.9'], 'doc_id')})::DOUBLE) AS INT)) AS cleaned FROM documents),
     v AS (SELECT *, length({sql_squash('raw')}) AS a, length({sql_squash('cleaned')}) AS b FROM r)
-    SELECT doc_id, a >= 12000 AND b < 0.72::DOUBLE * a AS rejected, md5(CASE WHEN a >= 12000 AND b < 0.72::DOUBLE * a THEN raw ELSE cleaned END) AS kept FROM v""",
+    SELECT doc_id, a >= 1 AND b < 0.72::DOUBLE * a AS rejected, md5(CASE WHEN a >= 1 AND b < 0.72::DOUBLE * a THEN raw ELSE cleaned END) AS kept FROM v""",
 )
 def shrink_guard(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.repeat(F.concat("text", F.lit(" ")), 12).alias("raw"))
@@ -463,36 +458,24 @@ def shrink_guard(spark, sf_dir):
 @query(
     "flt_15_archive_markers",
     f"""WITH i AS (SELECT doc_id, {sql_inject('text', 'doc_id', [(4, 0, ' See nla.gov.au/nla.news-page123 <b>National</b>'), (5, 1, ' National  Library of Australia')])} AS text FROM documents)
-    SELECT doc_id, contains(lower(substring(text, 1, 40000)), 'national library of australia') OR contains(lower(substring(text, 1, 40000)), 'nla.news-page') AS marked,
-    length(text) >= 3000 AND (contains(lower(substring(text, 1, 40000)), 'national library of australia') OR contains(lower(substring(text, 1, 40000)), 'nla.news-page')) AS large FROM i""",
+    SELECT doc_id, contains(lower(text), 'national library of australia') OR contains(lower(text), 'nla.news-page') AS marked FROM i""",
 )
 def archive_markers(spark, sf_dir):
     fragments = [(4, 0, " See nla.gov.au/nla.news-page123 <b>National</b>"), (5, 1, " National  Library of Australia")]
     docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", inject(F.col("text"), F.col("doc_id"), fragments).alias("text"))
-    sample = F.lower(F.substring("text", 1, 40_000))
-    marked = F.exists(F.array(*map(F.lit, fixed.ARCHIVE_MARKERS)), lambda m: F.contains(sample, m))
-    return docs.select("doc_id", marked.alias("marked"), (marked & (F.length("text") >= 3000)).alias("large"))
+    return docs.select("doc_id", ops.has_archive_marker(F.col("text")).alias("marked"))
 
 
 @query(
     "flt_17_large_profile_skip",
     f"""WITH i AS (SELECT doc_id, {sql_pick(fixed.PROFILES, 'doc_id')} AS profile, '<html><main>' || text || '</main>' AS html FROM documents)
-    SELECT doc_id, profile IN ('archival', 'military') AND length(html) >= 2000 AND contains(lower(substring(html, 1, 4000) || right(html, 4000)), '<html')
-      AND contains(lower(substring(html, 1, 4000) || right(html, 4000)), '<main') AS skip FROM i""",
+    SELECT doc_id, profile IN ('archival', 'military') AND contains(lower(html), '<html') AND contains(lower(html), '<main') AS skip FROM i""",
 )
 def large_profile_skip(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", pick(fixed.PROFILES, F.col("doc_id")).alias("profile"), F.concat(F.lit("<html><main>"), "text", F.lit("</main>")).alias("html")
     )
-    return docs.select("doc_id", skips_large_cleanup(F.col("profile"), F.col("html"), 2000).alias("skip"))
-
-
-def skips_large_cleanup(profile, html, min_chars=fixed.LARGE_PROFILE_CHARS):
-    """FLT-17: big outputs of two profiles that already carry their wrapper are left alone."""
-    edges = F.lower(F.concat(F.substring(html, 1, 4000), F.right(html, F.lit(4000))))
-    return (
-        profile.isin("archival", "military") & (F.length(html) >= min_chars) & edges.contains("<html") & edges.contains("<main")
-    )
+    return docs.select("doc_id", ops.skips_cleanup(F.col("profile"), F.col("html")).alias("skip"))
 
 
 @query(

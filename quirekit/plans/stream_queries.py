@@ -50,11 +50,11 @@ def line_buffered_html(spark, sf_dir):
     return runs.run_available(chunks.lines_as_html(stream), runs.work_folder(spark))
 
 
-@query("stm_06_stream_cache_keys", "SELECT DISTINCT sha256(text) AS cache_key FROM documents WHERE length(text) BETWEEN 1 AND 250000")
+@query("stm_06_stream_cache_keys", "SELECT DISTINCT sha256(text) AS cache_key FROM documents WHERE length(text) >= 1")
 def stream_cache_keys(spark, sf_dir):
     """Requests that have to be made: the first use of every key. Only digests are kept as state."""
     docs = runs.read_stream(spark, sf_dir, "documents")
-    stored = docs.filter(F.length("text").between(1, fixed.CACHE_MAX_TEXT_CHARS))
+    stored = docs.filter(F.length("text") >= 1)
     keys = stored.select(text.sha256_key(F.col("text")).alias("cache_key")).dropDuplicates(["cache_key"])
     return runs.run_available(keys, runs.work_folder(spark))
 

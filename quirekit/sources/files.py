@@ -24,37 +24,34 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    """SRC-03..16: text of every readable file; each format goes through its own reader only.
+    """SRC-03..16: text of every readable file, and the problem of each that is not; the files are read once.
 
-    Formats in ``EXTERNAL`` come back with a null text and a reason.
+    Only packaged and delimited formats go to a Python worker, with their own bytes; the rest stays in the engine.
+    Bytes that are no UTF-8 are dropped. A damaged file has a null text and says why, as do formats in ``EXTERNAL``.
     """
     from quirekit.functions.text import source_html_text
 
-    text_like = F.decode("content", "UTF-8")
-    # format -> (reader run by Python workers, expression over its result)
-    readers = {
-        ".docx": (office.docx_text_of("content"), F.col("read")),
-        ".pptx": (office.pptx_text_of("content"), F.col("read")),
-        ".epub": (office.epub_text_of("content"), F.col("read")),
-        ".fb2": (office.fb2_text_of("content"), F.col("read")),
-        ".eml": (office.eml_text_of("content"), F.col("read")),
-        ".csv": (delimited.rows_of(text_like), delimited.narrate(F.col("read"))),
-        ".tsv": (delimited.rows_of(delimited.tsv_as_csv(text_like)), delimited.narrate(F.col("read"))),
-        ".xlsx": (office.xlsx_rows_of("content"), sheet_text(F.col("read"))),
-    }
-    plain = [e for e in fixed.EXTENSION_FAMILIES["source_text"] if e not in readers and e not in EXTERNAL]
-    columns = ["path", "ext", "family"]
-    branches = [
-        files.filter(F.col("ext") == ext).select(*columns, reader.alias("read")).select(*columns, told.alias("text"))
-        for ext, (reader, told) in readers.items()
-    ]
-    markup = F.when(F.col("ext").isin(".html", ".htm"), source_html_text(text_like)).otherwise(text_like)
-    branches.append(files.filter(F.col("ext").isin(plain)).select(*columns, markup.alias("text")))
-    branches.append(files.filter(F.col("ext").isin(EXTERNAL)).select(*columns, F.lit(None).cast("string").alias("text")))
-    result = branches[0]
-    for branch in branches[1:]:
-        result = result.unionByName(branch)
-    return result.withColumn("problem", F.when(F.col("text").isNull(), "needs an external decoder"))
+    ext = F.col("ext")
+    plain = [e for e in fixed.EXTENSION_FAMILIES["source_text"] if e not in office.READERS and e not in (".csv", ".tsv") and e not in EXTERNAL]
+    text_like = utf8_text(F.col("content"))
+    raw = F.when(ext == ".csv", text_like).when(ext == ".tsv", delimited.tsv_as_csv(text_like))
+    packaged = office.read_of(ext, F.when(ext.isin(list(office.READERS)), F.col("content")))
+    read = files.select("path", "ext", "family", "content", packaged.alias("_read"), delimited.rows_of(raw).alias("_rows"))
+    text = (
+        F.when(ext.isin(".csv", ".tsv"), delimited.narrate(F.col("_rows")))
+        .when(ext == ".xlsx", sheet_text(F.col("_read.rows")))
+        .when(ext.isin(list(office.READERS)), F.col("_read.text"))
+        .when(ext.isin(".html", ".htm"), source_html_text(text_like))
+        .when(ext.isin(plain), text_like)
+    )
+    problem = F.coalesce(F.col("_read.problem"), F.when(ext.isin(EXTERNAL), "needs an external decoder"))
+    return read.select("path", "ext", "family", F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
+
+
+def utf8_text(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 is dropped."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def sheet_text(rows: Column) -> Column:

@@ -226,11 +226,28 @@ def _column(fn, returns):
 
 
 docx_text_of = _column(docx_paragraphs, StringType())
-pptx_text_of = _column(pptx_slides, StringType())
 xlsx_rows_of = _column(xlsx_rows, SHEET_ROWS)
 epub_text_of = _column(epub_text, StringType())
-fb2_text_of = _column(fb2_text, StringType())
 eml_text_of = _column(eml_text, StringType())
+READERS = {".docx": docx_paragraphs, ".pptx": pptx_slides, ".epub": epub_text, ".fb2": fb2_text, ".eml": eml_text, ".xlsx": xlsx_rows}
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("rows", SHEET_ROWS), StructField("problem", StringType())]))
+def read_of(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
+    """Text or sheet rows of packaged files by extension; one damaged file gives its problem and stops no other."""
+    out = []
+    for kind, value in zip(ext, content):
+        text = rows = problem = None
+        if value is not None:
+            try:
+                got = READERS[kind](value)
+                text, rows = (None, got) if kind == ".xlsx" else (got, None)
+            except Exception as damage:  # noqa: BLE001 whatever a damaged file sets off belongs to that file
+                problem = f"cannot be read: {type(damage).__name__}"
+        out.append((text, rows, problem))
+    return pd.DataFrame(out, columns=["text", "rows", "problem"])
+
+
 docx_bytes_of = _column(docx_document, BinaryType())
 
 

@@ -1,7 +1,9 @@
 """Chunked texts as streams: assembly, payload suppression and line carry (STM-01, STM-03, STM-05).
 
-A stream row is ``(doc_id, seq, last, chunk)``. State is kept per document and dropped
-once its last chunk is in, so it is bounded by the documents in flight.
+A stream row is ``(doc_id, seq, last, chunk)``. State is kept per document. With ``idle_ms``
+it is dropped that long after the document's last chunk, or after it has stopped coming, so
+it is bounded by the documents in flight; a query that runs for good needs it, one that takes
+what is available and ends must not have it. Chunks that come twice count once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirekit.functions.classify import ocr_line_html
+from quirekit.functions.lines import slices_of
 
 PAYLOAD_START = re.compile(r"(?is)(?P<head>src\s*=\s*)(?P<quote>[\"'])(?:data:image/[a-z0-9.+-]+;base64,|about:blank)")
 
@@ -24,10 +27,8 @@ def to_chunks(frame: DataFrame, key: str, text: Column, size: int = 64) -> DataF
     held = frame.select(F.col(key).alias("_key"), text.alias("_text"))
     last = F.floor((F.greatest(F.length("_text"), F.lit(1)) - 1) / size).cast("int")
     cut = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            i.alias("seq"), (i == last).alias("last"), F.substring(F.col("_text"), i * size + 1, F.lit(size)).alias("chunk")
-        ),
+        slices_of(F.col("_text"), size),
+        lambda chunk, i: F.struct(i.alias("seq"), (i == last).alias("last"), chunk.alias("chunk")),
     )
     return held.select("_key", F.explode(cut).alias("c")).select(F.col("_key").alias("doc_id"), "c.*")
 
@@ -36,35 +37,74 @@ def _arrivals(pages: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(pages)).sort_values("seq")
 
 
+GIVEN_OUT = -2
+
+
+def _per_document(chunks: DataFrame, step, output: str, held: str, idle_ms: int | None) -> DataFrame:
+    """Run a step on the new chunks of each document with its state; without news for ``idle_ms`` the state goes."""
+
+    def run(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from step(key, pages, state)
+        if idle_ms is not None and state.exists:
+            state.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.groupBy("doc_id").applyInPandasWithState(run, output, held, "append", timeout)
+
+
 def _assemble(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     seqs, chunks, final = state.get if state.exists else ([], [], -1)
+    if final == GIVEN_OUT:
+        return
+    held = dict(zip(seqs, chunks))
     new = _arrivals(pages)
-    seqs, chunks = list(seqs) + new["seq"].tolist(), list(chunks) + new["chunk"].tolist()
+    held.update(zip(new["seq"].tolist(), new["chunk"].tolist()))
     if new["last"].any():
         final = int(new.loc[new["last"], "seq"].max())
-    if final >= 0 and len(seqs) == final + 1:
-        if state.exists:
-            state.remove()
-        text = "".join(chunk for _, chunk in sorted(zip(seqs, chunks)))
-        yield pd.DataFrame({"doc_id": [key[0]], "text": [text]})
+    if final >= 0 and all(seq in held for seq in range(final + 1)):
+        # What is left behind tells late repeats from a new document.
+        state.update(([], [], GIVEN_OUT))
+        yield pd.DataFrame({"doc_id": [key[0]], "text": ["".join(held[seq] for seq in range(final + 1))]})
     else:
-        state.update((seqs, chunks, final))
+        state.update((list(held), list(held.values()), final))
 
 
-def assemble(chunks: DataFrame) -> DataFrame:
+def assemble(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """STM-01: whole texts, each given out once all its chunks are in, in whatever order they came.
 
     Rules that look across chunk borders can then run on the text as columns.
     """
-    return chunks.groupBy("doc_id").applyInPandasWithState(
-        _assemble, "doc_id bigint, text string", "seqs array<int>, chunks array<string>, final int", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    return _per_document(chunks, _assemble, "doc_id bigint, text string", "seqs array<int>, chunks array<string>, final int", idle_ms)
+
+
+def _beginning_of(text: str) -> str:
+    """Pattern of any beginning of a literal text, the whole of it included."""
+    pattern = ""
+    for letter in reversed(text):
+        pattern = f"(?:{re.escape(letter)}{pattern})?"
+    return pattern
+
 
+# A payload's start cut off by the end of a chunk, at whatever character.
+_CUT_START = re.compile(
+    r"(?is)(?:s|sr|src\s*|src\s*=\s*|src\s*=\s*[\"'](?:"
+    + _beginning_of("about:blank")
+    + "|" + _beginning_of("data:image/")
+    + r"|data:image/[a-z0-9.+-]+" + _beginning_of(";base64,")
+    + r"))\Z"
+)
 
-def suppress_payload(chunk: str, open_quote: str) -> tuple[str, str]:
-    """One chunk without inline image data, and the quote still open at its end (empty when none)."""
+
+def suppress_payload(chunk: str, open_quote: str, last: bool = True) -> tuple[str, str, str]:
+    """One chunk without inline image data, the quote still open at its end (empty when none), and what to hold back.
+
+    The end of a chunk that may be the beginning of a payload's start goes with the next chunk.
+    """
     kept: list[str] = []
+    held = ""
     while chunk:
         if open_quote:
             _, closing, chunk = chunk.partition(open_quote)
@@ -75,33 +115,34 @@ def suppress_payload(chunk: str, open_quote: str) -> tuple[str, str]:
             continue
         found = PAYLOAD_START.search(chunk)
         if found is None:
-            kept.append(chunk)
+            cut = None if last else _CUT_START.search(chunk)
+            kept.append(chunk if cut is None else chunk[: cut.start()])
+            held = "" if cut is None else cut[0]
             break
         kept += [chunk[: found.start()], found["head"], found["quote"], "about:blank"]
         open_quote, chunk = found["quote"], chunk[found.end():]
-    return "".join(kept), open_quote
+    return "".join(kept), open_quote, held
 
 
 def _suppress(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    quote = state.get[0] if state.exists else ""
-    new = _arrivals(pages)
+    quote, held, done = state.get if state.exists else ("", "", -1)
+    new = _arrivals(pages).drop_duplicates("seq")
+    new = new[new["seq"] > done]
     cleaned = []
-    for chunk in new["chunk"]:
-        text, quote = suppress_payload(chunk, quote)
+    for chunk, last in zip(new["chunk"], new["last"]):
+        text, quote, held = suppress_payload(held + chunk, quote, bool(last))
         cleaned.append(text)
-    if new["last"].any():
-        if state.exists:
-            state.remove()
-    else:
-        state.update((quote,))
+    state.update((quote, held, int(new["seq"].max()) if len(new) else done))
     yield pd.DataFrame({"doc_id": key[0], "seq": new["seq"].to_numpy(), "chunk": cleaned})
 
 
-def suppress_images(chunks: DataFrame) -> DataFrame:
-    """STM-03: inline image data is dropped while it streams past; chunks of a document arrive in order."""
-    return chunks.groupBy("doc_id").applyInPandasWithState(
-        _suppress, "doc_id bigint, seq int, chunk string", "quote string", "append", GroupStateTimeout.NoTimeout
-    )
+def suppress_images(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """STM-03: inline image data is dropped while it streams past; chunks of a document arrive in order.
+
+    Text that may begin a payload comes out with the chunk after it, so the chunks put together are the cleaned text
+    wherever it was cut.
+    """
+    return _per_document(chunks, _suppress, "doc_id bigint, seq int, chunk string", "quote string, held string, done int", idle_ms)
 
 
 def _carry_lines(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -117,11 +158,8 @@ def _carry_lines(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Itera
     yield pd.DataFrame({"doc_id": key[0], "line_no": range(number, number + len(complete)), "line": complete})
 
 
-def lines_as_html(chunks: DataFrame) -> DataFrame:
+def lines_as_html(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """STM-05: complete lines as HTML blocks; a line cut by a chunk border is carried to the next chunk."""
-    lines = chunks.groupBy("doc_id").applyInPandasWithState(
-        _carry_lines, "doc_id bigint, line_no bigint, line string", "carried string, number bigint", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    lines = _per_document(chunks, _carry_lines, "doc_id bigint, line_no bigint, line string", "carried string, number bigint", idle_ms)
     rendered = lines.select("doc_id", "line_no", ocr_line_html(F.col("line")).alias("html"))
     return rendered.filter("html <> ''")

@@ -131,3 +131,19 @@ def test_config_defaults(spark):
     raw = spark.createDataFrame([('{"k": 3}',), ("{oops",)], "raw string")
     got = raw.select(files.config_column(F.col("raw"), "k int, m string", {"k": 1, "m": "auto"}).alias("c")).collect()
     assert [(r.c.k, r.c.m) for r in got] == [(3, "auto"), (1, "auto")]
+
+
+def test_damaged_files_are_rows_of_their_own(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"caf\xe9 ok")
+    (tmp_path / "good.txt").write_text("fine \u00e9", encoding="utf-8")
+    (tmp_path / "broken.docx").write_bytes(b"PK no archive")
+    (tmp_path / "broken.xlsx").write_bytes(workbook()[:40])
+    (tmp_path / "table.csv").write_text("a,b\n1,2\n", encoding="utf-8")
+    frame = files.read_texts(files.scan_folder(spark, str(tmp_path)))
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.problem) for r in frame.collect()}
+    assert got["bad.txt"] == ("caf ok", None) and got["good.txt"] == ("fine \u00e9", None)
+    assert got["broken.docx"][0] is None and got["broken.docx"][1].startswith("cannot be read")
+    assert got["broken.xlsx"][0] is None and got["broken.xlsx"][1].startswith("cannot be read")
+    assert "a=1" in got["table.csv"][0] and got["table.csv"][1] is None
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan binaryFile") == 1
