@@ -202,21 +202,21 @@ def oracle() -> str:
     """The same result by joins over unnested segments and bigrams, without the bounds."""
     rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(_ALL, 1))
 
-    def bigrams(column: str) -> str:
-        words = f"string_split(trim(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g')), ' ')"
-        return f"CASE WHEN len({words}) > 1 THEN list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])) ELSE [] END"
+    def words(column: str) -> str:
+        return f"string_split(trim(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g')), ' ') AS w"
 
+    pairs = "list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) AS b"
     return f"""
 WITH template(t, licence, wording) AS (VALUES {rows}),
-tb AS (SELECT t, licence, {bigrams('wording')} AS b FROM template),
+tb AS (SELECT t, licence, {pairs} FROM (SELECT t, licence, {words('wording')} FROM template)),
 doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 piece AS (
   SELECT r, unnest(string_split(text, chr(10))) AS s FROM doc
   UNION ALL
   SELECT r, s FROM (SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS s FROM doc)
   WHERE contains(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), chr(10))),
-kept AS (SELECT r, row_number() OVER () AS p, s FROM piece WHERE length(s) < 20000),
-pb AS (SELECT r, p, {bigrams('s')} AS b FROM kept),
+kept AS MATERIALIZED (SELECT r, row_number() OVER () AS p, {words('s')} FROM piece),
+pb AS MATERIALIZED (SELECT r, p, {pairs} FROM kept WHERE len(w) > 1),
 hit AS (
   SELECT p, any_value(r) AS r, t, count(*) AS shared FROM (SELECT r, p, unnest(b) AS g FROM pb) JOIN (SELECT t, unnest(b) AS g FROM tb) USING (g) GROUP BY p, t),
 scored AS (
