@@ -518,7 +518,7 @@ def source_footer(spark, sf_dir):
 @query(
     "str_39_ocr_lines",
     f"""WITH l AS (SELECT doc_id, trim({sql_squash('line')}, '*# ') AS line, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE {sql_squash('line')} <> '')
-    SELECT doc_id, pos, CASE WHEN len(string_split(line, ' ')) <= 8 AND regexp_matches(line, '\\p{{L}}') AND (NOT regexp_matches(line, '[\\p{{Ll}}]') OR ends_with(line, ':') OR line IN ('The', 'Age'))
+    SELECT doc_id, pos, CASE WHEN len(string_split(line, ' ')) <= 8 AND regexp_matches(line, '\\p{{L}}') AND (NOT regexp_matches(line, '[\\p{{Ll}}]') OR ends_with(line, ':'))
       THEN '<h3>' || rtrim({sql_replace('line', fixed.HTML_ESCAPES)}, ':') || '</h3>' ELSE '<p>' || {sql_replace('line', fixed.HTML_ESCAPES)} || '</p>' END AS html FROM l""",
 )
 def ocr_lines(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirekit.functions import classify, fixed, legal, text
+from quirekit.functions import classify, fixed, labels as label_rules, legal, text
 from quirekit.functions.html import tag
 from quirekit.functions.lines import content_lines
 from quirekit.functions.rewrite import squash
@@ -45,21 +45,15 @@ def _label_sql(chars):
 
 
 LABELS_SQL = f"""WITH l0 AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) - 1 AS pos FROM documents),
-  l AS (SELECT *, {_label_sql(' -|:')} AS plain, {_label_sql(' -|')} AS bare FROM l0)"""
+  l1 AS (SELECT *, {_label_sql(' -|:')} AS plain, {_label_sql(' -|')} AS bare FROM l0),
+  l2 AS (SELECT *, {label_rules.sql_columns('plain')[0]}, {label_rules.sql_columns('bare')[0]} FROM l1),
+  l AS MATERIALIZED (SELECT *, {label_rules.sql_columns('plain')[1]}, {label_rules.sql_columns('bare')[1]} FROM l2)"""
 
 
 def rx(expr, pattern):
     return f"regexp_matches({expr}, {quote(re2(pattern))})"
 
 
-def any_rx(expr, patterns):
-    return "(" + " OR ".join(rx(expr, p) for p in patterns) + ")"
-
-
-def count_rx(expr, pattern):
-    return f"len(regexp_extract_all({expr}, {quote(re2(pattern))}))"
-
-
 def _on_labels(name, tests, sql):
     columns = ", ".join(f"{expr} AS {alias}" for alias, expr in sql.items())
 
@@ -86,31 +80,27 @@ _on_labels(
     {"title": lambda c: classify.running_header_parts(c)["title"], "rest": lambda c: classify.running_header_parts(c)["rest"]},
     {"title": _title()[0], "rest": _title()[1]},
 )
-_RUNNING_SQL = f"(bare <> '' AND length(bare) <= 120 AND NOT {rx('bare', classify.ORIGINAL_PAGE)} AND {rx('bare', classify.RUNNING_TITLE)})"
+_BARE, _PLAIN = label_rules.sql_rules("bare"), label_rules.sql_rules("plain")
+_RUNNING_SQL = f"(bare <> '' AND length(bare) <= 120 AND NOT {rx('bare', classify.ORIGINAL_PAGE)} AND {_BARE['title']})"
 _on_labels(
     "cls_03_page_furniture",
     {"furniture": classify.is_page_furniture},
     {
         "furniture": f"(bare <> '' AND length(bare) <= 180 AND ({rx('bare', classify.PAGE_NUMBER_ONLY)} OR {rx('bare', classify.SERIES_NUMBER)}"
-        f" OR {any_rx('bare', classify.LEGAL_RUNNING_HEADS[:2])} OR {_RUNNING_SQL}))"
+        f" OR {_RUNNING_SQL}))"
     },
 )
 _on_labels(
     "cls_04_running_heads",
     {"title": classify.is_running_title, "legal": classify.is_legal_running_head},
-    {"title": _RUNNING_SQL, "legal": f"(bare <> '' AND {any_rx('bare', classify.LEGAL_RUNNING_HEADS)})"},
+    {"title": _RUNNING_SQL, "legal": f"(bare <> '' AND ({_BARE['series']} OR {_BARE['paged']}))"},
 )
 _PREFIX = f"trim(regexp_extract(plain, {quote(re2(classify.REORDERED_HEAD))}, 1))"
 _REORDERED = f"(length(plain) <= 180 AND {_PREFIX} <> '' AND NOT {rx(_PREFIX, classify.STRUCTURE_WORD)} AND NOT {rx(_PREFIX, classify.PUNCTUATION_ONLY)})"
 _on_labels("cls_05_reordered_heads", {"reordered": classify.is_reordered_head}, {"reordered": _REORDERED})
-_SPLIT = f"(plain <> '' AND length(plain) <= 180 AND {any_rx('plain', classify.SPLIT_FRAGMENTS)})"
-_INCOMPLETE = (
-    f"(plain <> '' AND length(plain) <= 220 AND ({any_rx('plain', classify.INCOMPLETE_HEADINGS)} OR"
-    f" (NOT {rx('plain', classify.STRUCTURE_OR_CLAUSE_START)} AND {count_rx('plain', classify.STRUCTURE_REFERENCE)} >= 2)))"
-)
-_CONTINUES = f"""(plain <> '' AND length(plain) <= 140 AND NOT contains(line, '<') AND NOT regexp_matches(plain, '^\\(?[0-9]+[A-Za-z]?([.)]|\\b)')
-  AND NOT regexp_matches(plain, '(?i)^(Note|Example|Civil penalty)\\b') AND NOT regexp_matches(plain, '[.?!;:]$') AND NOT {rx('plain', classify.OPERATIVE_VERB)}
-  AND (regexp_matches(plain, '^[a-z]') OR {rx('plain', classify.CONTINUATION_STARTS)}))"""
+_SPLIT = f"(plain <> '' AND {_PLAIN['loose']})"
+_INCOMPLETE = f"(plain <> '' AND {_PLAIN['unfinished']})"
+_CONTINUES = f"(plain <> '' AND NOT contains(line, '<') AND {_PLAIN['carries']})"
 _on_labels(
     "cls_06_fragments",
     {
@@ -123,7 +113,7 @@ _on_labels(
     {
         "split_fragment": _SPLIT,
         "breadcrumb": f"(plain <> '' AND ({rx('plain', classify.BREADCRUMB)} OR {_REORDERED}))",
-        "complete": f"(plain <> '' AND length(plain) <= 180 AND {rx('plain', classify.COMPLETE_REFERENCE)})",
+        "complete": f"(plain <> '' AND {_PLAIN['cited']})",
         "incomplete": _INCOMPLETE,
         "continuation": _CONTINUES,
     },
@@ -146,7 +136,7 @@ def heading_candidates(spark, sf_dir):
     return labels(spark, sf_dir).select("doc_id", "pos", classify.legal_heading(F.col("line")).alias("head"))
 
 
-@query("leg_04_heading_levels", f"{LABELS_SQL}, {_NORMAL_SQL}, m AS (SELECT doc_id, pos, head AS plain FROM n) SELECT doc_id, pos, {_TAG_SQL} AS level FROM m")
+@query("leg_04_heading_levels", f"""{LABELS_SQL}, {_NORMAL_SQL}, m AS (SELECT doc_id, pos, head AS plain FROM n), m2 AS (SELECT *, {label_rules.sql_columns('plain')[0]} FROM m), m3 AS MATERIALIZED (SELECT *, {label_rules.sql_columns('plain')[1]} FROM m2) SELECT doc_id, pos, {_TAG_SQL} AS level FROM m3""")
 def heading_levels(spark, sf_dir):
     return labels(spark, sf_dir).select("doc_id", "pos", classify.legal_heading_tag(F.col("line")).alias("level"))
 

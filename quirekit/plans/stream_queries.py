@@ -42,7 +42,7 @@ _LINE = f"trim({sql_squash('line')}, '*# ')"
     "stm_05_line_buffered_html",
     f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
     c AS (SELECT doc_id, line_no, {_LINE} AS line FROM l)
-    SELECT doc_id, line_no, CASE WHEN len(string_split(line, ' ')) <= 8 AND regexp_matches(line, '\\p{{L}}') AND (NOT regexp_matches(line, '[\\p{{Ll}}]') OR ends_with(line, ':') OR line IN ('The', 'Age'))
+    SELECT doc_id, line_no, CASE WHEN len(string_split(line, ' ')) <= 8 AND regexp_matches(line, '\\p{{L}}') AND (NOT regexp_matches(line, '[\\p{{Ll}}]') OR ends_with(line, ':'))
       THEN '<h3>' || rtrim({sql_replace('line', fixed.HTML_ESCAPES)}, ':') || '</h3>' ELSE '<p>' || {sql_replace('line', fixed.HTML_ESCAPES)} || '</p>' END AS html FROM c WHERE line <> ''""",
 )
 def line_buffered_html(spark, sf_dir):
