@@ -89,7 +89,8 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
 def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids as bytes, equal to the tokenizers library on whole texts.
 
-    A text is lower-cased and split here, and its words are looked up; new words of a batch are encoded in one call.
+    No token crosses white space, so a text is lower-cased and parted there, and its words are looked up with all their
+    split parts; new words of a batch are encoded in one call.
     Texts with a special token's string or with characters outside the plain set are given to the library whole.
     """
     import os
@@ -97,7 +98,7 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import json
 
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    from tokenizers import Tokenizer, normalizers
 
     tokenizer = Tokenizer.from_file(file)
     with open(file, encoding="utf-8") as f:
@@ -109,21 +110,20 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     suffix = settings["model"]["end_of_word_suffix"]
     ends_word = np.zeros(1 << 16, bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-    # Words are lower case and split already, and the plain set has one normal form.
+    # Words are lower case already, and the plain set has one normal form.
     of_words = Tokenizer.from_file(file)
     of_words.normalizer = normalizers.Sequence([])
-    of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     known: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(words: list[str]) -> None:
-        """Encode words as one text: each ends with its one id of a word's end."""
+        """Encode words as one text; each split part of a word ends with its one id of a part's end."""
         ids = np.array(of_words.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
-        ends = np.flatnonzero(ends_word[ids]) + 1
-        if len(ends) == len(words) and (not len(ends) or ends[-1] == len(ids)):
-            raw, marks = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
+        ends, parts = np.flatnonzero(ends_word[ids]) + 1, np.cumsum([len(_SPLIT.findall(w)) for w in words])
+        if len(ends) == parts[-1] and ends[-1] == len(ids):
+            raw, marks = ids.tobytes(), (2 * np.r_[0, ends[parts - 1]]).tolist()
             known.update(zip(words, [raw[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)], strict=True))
         else:
             known.update(zip(words, whole(words), strict=True))
@@ -131,7 +131,7 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     def run(texts: list[str]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
-        parts = [None if _PLAIN.search(t) or _SPECIAL in t else _SPLIT.findall(t.lower()) for t in texts]
+        parts = [None if _PLAIN.search(t) or _SPECIAL in t else t.lower().split() for t in texts]
         new = set().union(*(p for p in parts if p)).difference(known)
         if new:
             learn(list(new))
