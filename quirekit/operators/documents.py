@@ -5,20 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.functions import html, text
+from quirekit.functions import html, legal, text
+from quirekit.functions.classify import looks_legal
 from quirekit.functions.glossary import expand_abbreviations
 from quirekit.operators.pages import keep_unless_shrunk
 
-NORMALIZE_PASSES = [
+# What leaks into a body goes first, then furniture, so that the rules for headings see content only.
+CLEANING_PASSES = [
+    html.drop_presentation,
+    html.strip_leaked_wrappers,
+    html.collapse_nested_main,
+    html.flatten_heading_breaks,
+    legal.unwrap_footer_markers,
+    html.strip_page_furniture,
+]
+HEADING_PASSES = [
     html.form_semantics,
     html.promote_sparse_blocks,
     html.promote_leading_paragraphs,
     html.promote_list_section,
     html.promote_numbered_instructions,
+    html.promote_bare_instruction,
+    html.promote_ordered_list,
+    html.promote_definition_list,
+    html.promote_numbered_clauses,
+    html.promote_strong_paragraphs,
     html.promote_context_paragraph,
     html.promote_index,
-    html.promote_strong_paragraphs,
+    html.promote_war_diary,
+    html.promote_figure_followup,
     html.promote_short_h2,
+    html.promote_bold_followup,
     html.promote_bold_after_h1,
     html.heading_hierarchy,
     html.dedupe_paragraphs,
@@ -39,8 +56,15 @@ def staged(frame: DataFrame, column: str, steps: list) -> DataFrame:
 
 
 def normalize_documents(frame: DataFrame, column: str = "html") -> DataFrame:
-    """HTM-01: the document clean-up chain, on bodies of every length."""
-    return staged(frame, column, [html.collapse_nested_main, *NORMALIZE_PASSES])
+    """HTM-01: the document clean-up chain, on bodies of every length; legal documents also go through the contract."""
+    legal_body = "_legal_body"
+
+    def if_legal(step):
+        return lambda body: F.when(F.col(legal_body), step(body)).otherwise(body)
+
+    cleaned = staged(frame, column, CLEANING_PASSES)
+    marked = cleaned.withColumn(legal_body, looks_legal(text.visible_text(F.col(column))))
+    return staged(marked, column, [*map(if_legal, legal.CONTRACT), *HEADING_PASSES]).drop(legal_body)
 
 
 def cleanup_output(frame: DataFrame, column: str, fmt: Column, profile: Column, flags: dict[str, Column]) -> DataFrame:

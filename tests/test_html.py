@@ -120,12 +120,19 @@ def test_title_cover(spark):
 
 
 def test_normalize_takes_bodies_of_any_length(spark):
-    bodies = ["x", "y" * 300_000]
+    bodies = ["some words", "y" * 300_000]
     given = [(main(f"<p>SECTION ONE</p><p>{body}</p>"),) for body in bodies]
     got = [r.html for r in normalize_documents(spark.createDataFrame(given, "html string")).collect()]
     assert got == [main(f"<h1>SECTION ONE</h1><p>{body}</p>") for body in bodies]
 
 
+def test_normalize_cleans_what_leaked(spark):
+    page = '<main><style>p{}</style><div style="x"><h2>One<br>two</h2><p>Some text here.</p></div></main>'
+    got = normalize_documents(spark.createDataFrame([(page,)], "html string")).first().html
+    assert "One two</h" in got and "<p>Some text here.</p>" in got
+    assert not any(left in got for left in ("<style", "style=", "<div", "<br"))
+
+
 def test_sanitize_html(apply):
     given = "```html\n<html><body><h2 class='a'>A<br>b</h2><p>x</p><p>x</p><script>1</script></body></html>\n```"
     assert apply(html.sanitize_html, [given]) == ["<h2>A b</h2><p>x</p>"]
