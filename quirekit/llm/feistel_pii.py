@@ -242,7 +242,7 @@ def _always(text: str) -> bool:
 
 #: Kind, pattern, test, pseudonym; tried at each place in this order.
 KINDS: list[tuple[str, str, Callable[[str], bool], Callable[[str, bytes], str]]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9_][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", _always, email),
+    ("email", r"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", _always, email),
     ("access_key", r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)", _always, _after("[A-Z]{4}")),
     ("secret", r"(?<!\w)(?:gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{10,})(?![\w-])", _always, _after(r"gh\w_|sk-|xox\w-")),
     ("hex_token", r"(?<!\w)(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w)", _always, hex_token),

@@ -177,9 +177,11 @@ class TokenScores(dict):
 def distinct_texts(texts: list[str], labels: list[int]) -> tuple[list[list[str]], list[int]]:
     """Tokens of texts, near copies once: texts that share both of two least hashes of word triples."""
     seen: set[tuple[int, int, int]] = set()
+    pool: dict[str, str] = {}
     kept, own = [], []
     for text, label in zip(texts, labels, strict=True):
-        words = _TOKEN.findall(text.lower())
+        # Equal words are one object: a sample repeats few words often.
+        words = [pool.setdefault(w, w) for w in _TOKEN.findall(text.lower())]
         triples = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
         mark = (label, min(map(zlib.crc32, triples)), min(zlib.crc32(t, 1) for t in triples))
         if mark not in seen:
