@@ -122,14 +122,15 @@ def table_rows(distinct: DataFrame) -> DataFrame:
 
 
 def split_buckets(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``(bucket, cell, fp)``: buckets of one row go, large ones are cut into cells that hold two chunks each."""
+    """``(bucket, cell, fp)`` and further columns: buckets of one row go, large ones are cut into cells that hold two chunks each."""
+    rest = [c for c in rows.columns if c != "bucket"]
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    rows = rows.join(counts, "bucket").select("bucket", "fp", parts.alias("parts"))
+    rows = rows.join(counts, "bucket").select("bucket", *rest, parts.alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(own, other) * F.col("parts") + F.greatest(own, other))
-    return rows.select("bucket", F.explode(cells).alias("cell"), "fp")
+    return rows.select("bucket", F.explode(cells).alias("cell"), *rest)
 
 
 def close_pairs(groups: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,19 +171,12 @@ def stars(n: int, left: np.ndarray, right: np.ndarray, fps: np.ndarray) -> np.nd
     return label
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of rows sorted by their first two columns, bucket and cell, none of them ending within a cell."""
     kept: pa.Table | None = None
-
-    def found(table: pa.Table) -> pa.RecordBatch:
-        bucket, cell = (table.column(i).to_numpy() for i in (0, 1))
-        fps = table.column(2).to_numpy().view(np.uint64)
-        change = np.r_[False, (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]
-        left, right = close_pairs(np.cumsum(change), fps)
-        label, own = stars(len(fps), left, right, fps), fps.view(np.int64)
-        linked = label != own
-        return pa.record_batch([pa.array(own[linked]), pa.array(label[linked])], ["u", "v"])
-
     for batch in batches:
+        if not batch.num_rows:
+            continue
         table = pa.Table.from_batches([batch])
         table = table if kept is None else pa.concat_tables([kept, table])
         # Rows of the last cell may go on in the next batch.
@@ -190,10 +184,21 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield found(table.slice(0, cut).combine_chunks())
+            yield table.slice(0, cut).combine_chunks()
         kept = table.slice(cut)
     if kept is not None:
-        yield found(kept.combine_chunks())
+        yield kept.combine_chunks()
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in whole_cells(batches):
+        bucket, cell = (table.column(i).to_numpy() for i in (0, 1))
+        fps = table.column(2).to_numpy().view(np.uint64)
+        change = np.r_[False, (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]
+        left, right = close_pairs(np.cumsum(change), fps)
+        label, own = stars(len(fps), left, right, fps), fps.view(np.int64)
+        linked = label != own
+        yield pa.record_batch([pa.array(own[linked]), pa.array(label[linked])], ["u", "v"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -242,14 +247,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, prints: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """One row of each component, with all columns: the least id's (nulls last), of equal ids the least text hash's.
 
+    ``prints`` and ``named`` give other components than those of the fingerprints: ``doc_id, mark, fp`` and ``fp, root``.
+
     Rows are chosen by id and text hash, narrow columns only; the rows to drop, a minority in most corpora, are then taken
     out of the documents. Rows alike in id and text are one key; of a kept key one row stays.
     """
-    prints = checkpointed(fingerprint_documents(docs))
-    keys = prints.groupBy("doc_id", "mark", "fp").agg(F.count("*").alias("n")).join(named_components(prints).select("fp", "root"), "fp")
+    if prints is None:
+        prints = checkpointed(fingerprint_documents(docs))
+    named = named_components(prints) if named is None else named
+    keys = prints.groupBy("doc_id", "mark", "fp").agg(F.count("*").alias("n")).join(named.select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = keys.groupBy("root").agg(F.min(order).alias("first"))
     mark = unused("text_mark", docs)
