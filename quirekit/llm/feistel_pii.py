@@ -7,7 +7,9 @@ kind alone, so equal values get equal pseudonyms in every document and different
 table or shuffle. A result that fails its test is permuted again until it passes (cycle walking), which stays one to one.
 
 ``KINDS`` lists what is found. An e-mail address keeps its domain; a card its first digit; a phone number its country
-code; keys and tokens keep their marker. Values that fail validation are left as they are.
+code; keys and tokens keep their marker. Of a card, IBAN or phone number followed by more digits or words the longest
+part that is valid and ends at a gap is taken (of an IBAN first the one of its country's length). Values that fail
+validation are left as they are.
 
 Defined cases: a null text stays null, an empty one empty; texts are scanned whole; overlapping values are taken from the
 left, longest kind first; repeated rows get equal results.
@@ -196,7 +198,7 @@ def _date(text: str) -> tuple[datetime.date, Callable[[datetime.date], str]] | N
         except ValueError:
             continue
         if 0 <= day.toordinal() - _FIRST_DAY < _DAYS:
-            return day, lambda d, order=order: marks[0].join(f"{getattr(d, {'y': 'year', 'm': 'month', 'd': 'day'}[o]):0{4 if o == 'y' else 2}d}" for o in order)
+            return day, lambda d, order=order: marks[0].join(f"{getattr(d, {'y': 'year', 'm': 'month', 'd': 'day'}[o]):0{len(p)}d}" for o, p in zip(order, parts, strict=True))
     return None
 
 
@@ -205,9 +207,10 @@ def date_valid(text: str) -> bool:
 
 
 def date(text: str, key: bytes) -> str:
-    """Dates of 1900 to 2099 permuted among themselves; an ambiguous result keeps the order it is read in."""
+    """Dates of 1900 to 2099 permuted among those written with as many digits; an ambiguous result keeps the order it is read in."""
     day, write = _date(text)
-    order = "ymd" if len(re.split(r"[-/.]", text)[0]) == 4 else write(datetime.date(2000, 1, 31))[:2]
+    widths = [len(p) for p in re.split(r"[-/.]", text)]
+    order = "ymd" if widths[0] == 4 else write(datetime.date(2000, 1, 31)).split(text[widths[0]])[0].zfill(2)
     rows, place = -(-_DAYS // 256), day.toordinal() - _FIRST_DAY
     while True:
         high, low = permute([place // 256, place % 256], [rows, 256], key, f"date {order}")
@@ -215,7 +218,7 @@ def date(text: str, key: bytes) -> str:
         if place < _DAYS:
             new = write(datetime.date.fromordinal(_FIRST_DAY + place))
             again = _date(new)
-            if again and again[1](again[0]) == new and write(again[0]) == new:
+            if again and write(again[0]) == new and [len(p) for p in re.split(r"[-/.]", new)] == widths:
                 return new
 
 
@@ -247,15 +250,30 @@ KINDS: list[tuple[str, str, Callable[[str], bool], Callable[[str, bytes], str]]]
     ("secret", r"(?<!\w)(?:gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{10,})(?![\w-])", _always, _after(r"gh\w_|sk-|xox\w-")),
     ("hex_token", r"(?<!\w)(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?!\w)", _always, hex_token),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", iban_valid, iban),
-    ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}([/.-])\d{2}\1\d{4})(?!\w|[./-]\d)", date_valid, date),
+    ("date", r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([/.-])\d{1,2}\1\d{4})(?=[Tt]\d{2}|(?!\w|[./-]\d))", date_valid, date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn_valid, ssn),
     ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", ip_valid, ip),
-    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)", card_valid, card),
+    ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)", card_valid, card),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,8}){1,5}(?!\w)", phone_valid, phone),
 ]
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern.replace(chr(92) + '1', '(?P=mark)').replace('([/.-])', '(?P<mark>[/.-])')})" for kind, pattern, _, _ in KINDS))
 _BY_KIND = {kind: (test, change) for kind, _, test, change in KINDS}
-_HINT = re.compile(r"[0-9@]|gh[pousr]_|sk-|xox")
+#: Kinds of varying length, without what may not stand beside them: shorter values are tried where the longest is not valid.
+_SHORTER = {
+    "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"),
+    "card": re.compile(r"\d(?:[ -]?\d){12,18}"),
+    "phone": re.compile(r"\+\d{1,3}(?:[ .-]\d{2,8}){1,5}"),
+}
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+_HINT = re.compile(r"[0-9@]|A[KS]IA|gh[pousr]_|sk-|xox")
 
 
 @lru_cache(maxsize=100_000)
@@ -263,6 +281,23 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
     return _BY_KIND[kind][1](value, key)
 
 
+def _end(kind: str, text: str, start: int) -> int | None:
+    """Where the value of the kind that begins at ``start`` ends: an IBAN of its country's length, else the longest that is valid."""
+    found, test = _PATTERNS[kind].match(text, start), _BY_KIND[kind][0]
+    if not found:
+        return None
+    if kind not in _SHORTER:
+        return found.end() if test(found[0]) else None
+    if kind == "card" and text[start] not in "23456":
+        return None
+    ends, usual = [found.end()], _IBAN_LENGTHS.get(text[start : start + 2]) if kind == "iban" else None
+    if usual or not test(found[0]):
+        ends += [e for e in range(found.end() - 1, start + 7, -1) if text[e - 1].isalnum() and not (text[e].isalnum() or text[e] == "_")]
+    if usual:
+        ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != usual)
+    return next((e for e in ends if (e == found.end() or _SHORTER[kind].fullmatch(text, start, e)) and test(text[start:e])), None)
+
+
 def spans(text: str) -> Iterator[tuple[int, int, str]]:
     """``(start, end, kind)`` of the validated values of a text, in order."""
     at = 0
@@ -270,20 +305,16 @@ def spans(text: str) -> Iterator[tuple[int, int, str]]:
         found = _ANY.search(text, at)
         if not found:
             return
-        kind = found.lastgroup if found.lastgroup != "mark" else "date"
-        if _BY_KIND[kind][0](found[0]):
-            yield found.start(), found.end(), kind
-            at = found.end()
-            continue
+        first, start = found.lastgroup if found.lastgroup != "mark" else "date", found.start()
         # Another kind may fit the same place; else go on behind the next character.
-        for other, pattern, test, _ in KINDS:
-            again = _PATTERNS[other].match(text, found.start())
-            if other != kind and again and test(again[0]):
-                yield again.start(), again.end(), other
-                at = again.end()
+        for kind in (first, *(k for k in _BY_KIND if k != first)):
+            end = _end(kind, text, start)
+            if end is not None:
+                yield start, end, kind
+                at = end
                 break
         else:
-            at = found.start() + 1
+            at = start + 1
 
 
 _PATTERNS = {kind: re.compile(pattern) for kind, pattern, _, _ in KINDS}
