@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from quirekit.llm import byte_bpe, feistel_pii, license_scan, main_content, minhash_oph, simhash_pivots, slot_shards, spaced_seeds, toxicity_crf, vbyte_ids
+from quirekit.llm import (
+    byte_bpe,
+    cross_align,
+    feistel_pii,
+    license_scan,
+    main_content,
+    minhash_oph,
+    ranked_search,
+    repetition_rules,
+    simhash_pivots,
+    slot_shards,
+    spaced_seeds,
+    toxicity_crf,
+    vbyte_ids,
+)
 from quirekit.sources.tables import read_table
 
 QUERIES = {}
@@ -71,3 +85,21 @@ def op8(spark, sf_dir):
 @query("op1_crf_toxicity")
 def op1(spark, sf_dir):
     return toxicity_crf.predict_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op11_repetition_coverage", repetition_rules.oracle())
+def op11(spark, sf_dir):
+    return repetition_rules.judge_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_identity_map_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    return cross_align.align_documents(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_accumulator_limited_search", ranked_search.oracle())
+def op13(spark, sf_dir):
+    return ranked_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -67,10 +67,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, blank: np.ndarray = BLANK) -> Words:
-    """``blank`` tells which bytes part words."""
+def words_of(column: pa.Array, blank: np.ndarray = BLANK, lower: bool = True) -> Words:
+    """``blank`` tells which bytes part words; without ``lower``, A-Z stay as they are."""
     data, offsets = text_bytes(column)
-    data = LOWER[data]
+    data = LOWER[data] if lower else data
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
@@ -91,6 +91,18 @@ def words_of(column: pa.Array, blank: np.ndarray = BLANK) -> Words:
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets).astype(np.int64))
 
 
+def window_keys(values: np.ndarray, at: np.ndarray, n: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hashes of the windows of ``n`` values that begin at ``at``, and the running sums they are read off.
+
+    A window's hash is a difference of two running sums of ``value * base ** place``, brought back to place 0.
+    """
+    powers, inverse = _power_tables(1 << max(16, int(len(values)).bit_length()))
+    if sums is None:
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers[: len(values)], out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * inverse[at] + np.uint64(n * int(_LENGTH) % (1 << 64))), sums
+
+
 def shingle_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Word index of each shingle's first word, and the n + 1 places where each text's shingles begin."""
     counts = np.diff(first)

@@ -73,6 +73,6 @@ def test_names_are_registered():
     import __spark_entry__
 
     queries = __spark_entry__.queries()
-    assert "pipeline" in queries and {int(re.match(r"op(\d+)_", q)[1]) for q in queries if re.match(r"op\d+_", q)} == set(range(1, 11))
+    assert "pipeline" in queries and {int(re.match(r"op(\d+)_", q)[1]) for q in queries if re.match(r"op\d+_", q)} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
     assert byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
