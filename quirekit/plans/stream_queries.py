@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirekit.functions import fixed, html, text
 from quirekit.operators.running import gaps
 from quirekit.plans.registry import query, sql_replace, sql_rewrite, sql_squash, table
-from quirekit.streaming import chunks, runs
+from quirekit.streaming import chunks, requests, runs
 
 
 @query(
@@ -35,6 +35,16 @@ def suppressed_images(spark, sf_dir):
     return runs.run_available(chunks.suppress_images(stream), runs.work_folder(spark))
 
 
+@query(
+    "stm_03_suppressed_texts",
+    """SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN ' <img src="about:blank" alt="x"> after' ELSE '' END) AS text_md5 FROM documents""",
+)
+def suppressed_texts(spark, sf_dir):
+    """The suppressed chunks put together again: payloads cut by many chunk borders are gone, all else is there."""
+    parts = suppressed_images(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("parts"))
+    return parts.select("doc_id", F.md5(F.array_join(F.col("parts.chunk"), "")).alias("text_md5"))
+
+
 _LINE = f"trim({sql_squash('line')}, '*# ')"
 
 
@@ -75,3 +85,33 @@ def stalls(spark, sf_dir):
     """Waits of 120 seconds or more between a user's events."""
     waited = gaps(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "gap")
     return waited.filter("gap >= 120").groupBy("user_id").agg(F.count("*").alias("stalls"), F.max("gap").alias("longest_sec"))
+
+
+@query(
+    "stm_09_given_up_requests",
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM e),
+    s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= 120000) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM g),
+    r AS (SELECT user_id, n, min(t) AS started, max(t) AS last, count(*) AS chunks FROM s GROUP BY user_id, n)
+    SELECT user_id, started::BIGINT AS started_ms, (last + 120000)::BIGINT AS given_up_ms, chunks FROM r WHERE last + 120000 <= (SELECT max(t) FROM e)""",
+)
+def given_up_requests(spark, sf_dir):
+    """Each user's runs of events that ended with 120 seconds of silence, by timers in event time."""
+    events = runs.read_stream(spark, sf_dir, "events").select("user_id", "ts")
+    ended = runs.run_available(requests.given_up(events, "user_id", "ts", wall_ms=None), runs.work_folder(spark), settle=True)
+    return ended.select(
+        F.col("key").cast("bigint").alias("user_id"), F.unix_millis("started").alias("started_ms"), F.unix_millis("at").alias("given_up_ms"), "chunks")
+
+
+@query(
+    "stm_06_lru_cache",
+    """WITH k AS (SELECT doc_id, sha256(text) AS key, substring(sha256(text), 1, 1) AS shard FROM documents WHERE length(text) BETWEEN 1 AND 2000),
+    p AS (SELECT *, lag(doc_id) OVER (PARTITION BY key ORDER BY doc_id) AS before FROM k),
+    h AS (SELECT p.doc_id, p.before IS NOT NULL AND (SELECT count(DISTINCT o.key) FROM k AS o WHERE o.shard = p.shard AND o.doc_id > p.before AND o.doc_id < p.doc_id) < 20 AS hit FROM p)
+    SELECT d.doc_id, coalesce(h.hit, false) AS hit FROM documents AS d LEFT JOIN h USING (doc_id)""",
+)
+def lru_cache(spark, sf_dir):
+    """Whether a document's answer is still in a cache of 20 entries a shard; answers over 2,000 characters are not kept."""
+    docs = runs.read_stream(spark, sf_dir, "documents")
+    asked = docs.select("doc_id", text.sha256_key(F.col("text")).alias("key"), F.length("text").alias("size"))
+    answered = requests.cached(asked, F.col("doc_id"), F.col("key"), F.col("size"), entries=20, longest=2000, shard=F.substring("key", 1, 1))
+    return runs.run_available(answered, runs.work_folder(spark)).select(F.col("place").alias("doc_id"), "hit")

@@ -1,9 +1,10 @@
 """Chunked texts as streams: assembly, payload suppression and line carry (STM-01, STM-03, STM-05).
 
-A stream row is ``(doc_id, seq, last, chunk)``. State is kept per document. With ``idle_ms``
-it is dropped that long after the document's last chunk, or after it has stopped coming, so
-it is bounded by the documents in flight; a query that runs for good needs it, one that takes
-what is available and ends must not have it. Chunks that come twice count once.
+A stream row is ``(doc_id, seq, last, chunk)``. Chunks may come in any order and more than once; each counts once, in its
+turn. State is kept per document in separate variables: whose turn it is with what is carried along, the chunks that came
+before their turn, and for assembly the parts so far, each written once. A finished document leaves only its turn behind,
+which tells late repeats from a new document. All of it goes ``idle_ms`` after it was last written, so state is bounded by
+the documents of that time. The stream needs the RocksDB state store, which ``runs`` switches on.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quirekit.functions.classify import ocr_line_html
 from quirekit.functions.lines import slices_of
@@ -33,51 +34,99 @@ def to_chunks(frame: DataFrame, key: str, text: Column, size: int = 64) -> DataF
     return held.select("_key", F.explode(cut).alias("c")).select(F.col("_key").alias("doc_id"), "c.*")
 
 
-def _arrivals(pages: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(pages)).sort_values("seq")
+DAY_MS = 86_400_000
+TURN = "next int, done boolean"
 
 
-GIVEN_OUT = -2
-
-
-def _per_document(chunks: DataFrame, step, output: str, held: str, idle_ms: int | None) -> DataFrame:
-    """Run a step on the new chunks of each document with its state; without news for ``idle_ms`` the state goes."""
-
-    def run(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        yield from step(key, pages, state)
-        if idle_ms is not None and state.exists:
-            state.setTimeoutDuration(idle_ms)
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return chunks.groupBy("doc_id").applyInPandasWithState(run, output, held, "append", timeout)
-
-
-def _assemble(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seqs, chunks, final = state.get if state.exists else ([], [], -1)
-    if final == GIVEN_OUT:
-        return
-    held = dict(zip(seqs, chunks))
-    new = _arrivals(pages)
-    held.update(zip(new["seq"].tolist(), new["chunk"].tolist()))
-    if new["last"].any():
-        final = int(new.loc[new["last"], "seq"].max())
-    if final >= 0 and all(seq in held for seq in range(final + 1)):
-        # What is left behind tells late repeats from a new document.
-        state.update(([], [], GIVEN_OUT))
-        yield pd.DataFrame({"doc_id": [key[0]], "text": ["".join(held[seq] for seq in range(final + 1))]})
-    else:
-        state.update((list(held), list(held.values()), final))
+class InTurn(StatefulProcessor):
+    """Takes each document's chunks in turn; subclasses say what a chunk gives.
 
+    ``carry`` is the schema of what goes from chunk to chunk, ``nothing`` its value at the beginning, ``columns`` those of
+    the rows that come out, without ``doc_id``.
+    """
 
-def assemble(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    carry, nothing, columns = "", (), ()
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turn = handle.getValueState("turn", ", ".join(filter(None, [TURN, self.carry])), self.idle_ms)
+        self.waiting = handle.getMapState("waiting", "seq int", "chunk string, last boolean", self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        turn, done, *carried = self.turn.get() if self.turn.exists() else (0, False, *self.nothing)
+        came = {}
+        for page in rows:
+            came.update(zip(page["seq"].tolist(), zip(page["chunk"].tolist(), page["last"].tolist(), strict=True), strict=True))
+        out: list[tuple] = []
+        while not done:
+            if turn in came:
+                chunk, last = came.pop(turn)
+            elif self.waiting.containsKey((turn,)):
+                chunk, last = self.waiting.getValue((turn,))
+                self.waiting.removeKey((turn,))
+            else:
+                break
+            carried, given = self.take(turn, chunk, bool(last), carried)
+            out += given
+            turn, done = turn + 1, bool(last)
+        if done:
+            self.waiting.clear()
+            carried = list(self.nothing)
+        else:
+            for seq, held in came.items():
+                if seq > turn and not self.waiting.containsKey((seq,)):
+                    self.waiting.updateValue((seq,), held)
+        self.turn.update((turn, done, *carried))
+        out = self.finish(out, done)
+        if out:
+            yield pd.DataFrame([(key[0], *row) for row in out], columns=["doc_id", *self.columns])
+
+    def take(self, seq: int, chunk: str, last: bool, carried: list) -> tuple[list, list[tuple]]:
+        """What is carried on after a chunk, and the rows it gives."""
+        raise NotImplementedError
+
+    def finish(self, out: list[tuple], done: bool) -> list[tuple]:
+        """The rows that come out of one call."""
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def _per_document(chunks: DataFrame, step: InTurn, output: str) -> DataFrame:
+    return chunks.groupBy("doc_id").transformWithStateInPandas(step, output, "Append", "ProcessingTime")
+
+
+class _Assemble(InTurn):
+    columns = ("text",)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.parts = handle.getListState("parts", "chunk string", self.idle_ms)
+
+    def take(self, seq, chunk, last, carried):
+        return carried, [(chunk,)]
+
+    def finish(self, out, done):
+        if not done:
+            if out:
+                self.parts.appendList(out)
+            return []
+        if not out:
+            return []
+        before = [part[0] for part in self.parts.get()] if self.parts.exists() else []
+        self.parts.clear()
+        return [("".join(before + [part[0] for part in out]),)]
+
+
+def assemble(chunks: DataFrame, idle_ms: int = DAY_MS) -> DataFrame:
     """STM-01: whole texts, each given out once all its chunks are in, in whatever order they came.
 
     Rules that look across chunk borders can then run on the text as columns.
     """
-    return _per_document(chunks, _assemble, "doc_id bigint, text string", "seqs array<int>, chunks array<string>, final int", idle_ms)
+    return _per_document(chunks, _Assemble(idle_ms), "doc_id bigint, text string")
 
 
 def _beginning_of(text: str) -> str:
@@ -124,42 +173,36 @@ def suppress_payload(chunk: str, open_quote: str, last: bool = True) -> tuple[st
     return "".join(kept), open_quote, held
 
 
-def _suppress(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    quote, held, done = state.get if state.exists else ("", "", -1)
-    new = _arrivals(pages).drop_duplicates("seq")
-    new = new[new["seq"] > done]
-    cleaned = []
-    for chunk, last in zip(new["chunk"], new["last"]):
-        text, quote, held = suppress_payload(held + chunk, quote, bool(last))
-        cleaned.append(text)
-    state.update((quote, held, int(new["seq"].max()) if len(new) else done))
-    yield pd.DataFrame({"doc_id": key[0], "seq": new["seq"].to_numpy(), "chunk": cleaned})
+class _Suppress(InTurn):
+    carry, nothing, columns = "quote string, held string", ("", ""), ("seq", "chunk")
 
+    def take(self, seq, chunk, last, carried):
+        text, quote, held = suppress_payload(carried[1] + chunk, carried[0], last)
+        return [quote, held], [(seq, text)]
 
-def suppress_images(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """STM-03: inline image data is dropped while it streams past; chunks of a document arrive in order.
+
+def suppress_images(chunks: DataFrame, idle_ms: int = DAY_MS) -> DataFrame:
+    """STM-03: inline image data is dropped while it streams past; a chunk that comes early waits for its turn.
 
     Text that may begin a payload comes out with the chunk after it, so the chunks put together are the cleaned text
     wherever it was cut.
     """
-    return _per_document(chunks, _suppress, "doc_id bigint, seq int, chunk string", "quote string, held string, done int", idle_ms)
+    return _per_document(chunks, _Suppress(idle_ms), "doc_id bigint, seq int, chunk string")
+
 
+class _CarryLines(InTurn):
+    carry, nothing, columns = "rest string, lines bigint", ("", 0), ("line_no", "line")
 
-def _carry_lines(key, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    carried, number = state.get if state.exists else ("", 0)
-    new = _arrivals(pages)
-    *complete, rest = (carried + "".join(new["chunk"])).split("\n")
-    if new["last"].any():
-        complete.append(rest)
-        if state.exists:
-            state.remove()
-    else:
-        state.update((rest, number + len(complete)))
-    yield pd.DataFrame({"doc_id": key[0], "line_no": range(number, number + len(complete)), "line": complete})
+    def take(self, seq, chunk, last, carried):
+        *complete, rest = (carried[0] + chunk).split("\n")
+        if last:
+            complete.append(rest)
+        number = carried[1]
+        return [rest, number + len(complete)], list(enumerate(complete, number))
 
 
-def lines_as_html(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def lines_as_html(chunks: DataFrame, idle_ms: int = DAY_MS) -> DataFrame:
     """STM-05: complete lines as HTML blocks; a line cut by a chunk border is carried to the next chunk."""
-    lines = _per_document(chunks, _carry_lines, "doc_id bigint, line_no bigint, line string", "carried string, number bigint", idle_ms)
+    lines = _per_document(chunks, _CarryLines(idle_ms), "doc_id bigint, line_no bigint, line string")
     rendered = lines.select("doc_id", "line_no", ocr_line_html(F.col("line")).alias("html"))
     return rendered.filter("html <> ''")

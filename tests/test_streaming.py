@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from quirekit.streaming import chunks, runs
+from quirekit.streaming.requests import cached, given_up
 
 
 def write(spark, rows, folder, name):
@@ -98,3 +101,107 @@ def test_totals_survive_replay(spark, tmp_path):
     totals = spark.readStream.schema("k string").parquet(source).groupBy("k").count()
     got = runs.run_totals(totals, str(tmp_path / "work"))
     assert sorted((r.k, r["count"]) for r in got.collect()) == [("a", 2), ("b", 1)]
+
+
+def state_rows(spark, folder, name):
+    """Rows of a state variable that a finished stream has left behind."""
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/checkpoint").count()
+
+
+def test_orders_and_repeats_of_chunks(spark, tmp_path):
+    """Whatever the order and the repeats, each operator gives what it gives for the whole text; only turns stay in state."""
+    rng = random.Random(11)
+    texts = {i: "".join(rng.choice(["ab ", "\n", 'src="data:image/png;base64,QUJD" ', "X: "]) for _ in range(rng.randint(1, 12))) for i in range(8)}
+    rows = [row for doc, text in texts.items() for row in cut(doc, text, 6)]
+    rows += rng.choices(rows, k=len(rows) // 2)
+    rng.shuffle(rows)
+    batches = [rows[i::4] for i in range(4)]
+    for fn in (chunks.assemble, chunks.suppress_images, chunks.lines_as_html):
+        work = tmp_path / fn.__name__
+        work.mkdir()
+        got = runs.run_available(fn(stream_of(spark, batches, str(work))), str(work / "work")).collect()
+        for doc, text in texts.items():
+            own = [r for r in got if r.doc_id == doc]
+            if fn is chunks.assemble:
+                assert [r.text for r in own] == [text]
+            elif fn is chunks.suppress_images:
+                own.sort(key=lambda r: r.seq)
+                assert [r.seq for r in own] == list(range(len(own))) and "".join(r.chunk for r in own) == chunks.suppress_payload(text, "", True)[0]
+            else:
+                assert sorted(r.line_no for r in own) == [i for i, line in enumerate(text.split("\n")) if line.strip()]
+        assert state_rows(spark, f"{work}/work", "turn") == len(texts) and state_rows(spark, f"{work}/work", "waiting") == 0
+    assert state_rows(spark, f"{tmp_path}/assemble/work", "parts") == 0
+
+
+def timed_stream(spark, batches, folder):
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "key string, sec bigint").selectExpr("key", "timestamp_seconds(sec) AS time")
+        frame.coalesce(1).write.parquet(f"{folder}/raw{number}")
+    return spark.readStream.schema("key string, time timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/raw*")
+
+
+def waits(rows, stall, wall, end):
+    """Given-up requests of each key by hand; ``end`` is the last watermark."""
+    out = []
+    for key in {k for k, _ in rows}:
+        started = None
+        for time in [*sorted(t for k, t in rows if k == key), None]:
+            if started is not None:
+                due, kind = (last + stall, "stall") if wall is None or last + stall <= started + wall else (started + wall, "wall")
+                if (time is not None and time >= due) or (time is None and due <= end):
+                    out.append((key, kind, started, last, due, count))
+                    started = None
+            if time is not None and started is None:
+                started, last, count = time, time, 0
+            if time is not None:
+                last, count = time, count + 1
+    return sorted(out)
+
+
+def seconds(rows):
+    return sorted((r.key, r.kind, *(int(t.timestamp()) for t in (r.started, r["last"], r["at"])), r.chunks) for r in rows)
+
+
+def test_silent_key_is_given_up(spark, tmp_path):
+    """A key that never sends again is given out when others move the time on, and leaves no state."""
+    batches = [[("quiet", 1000), ("busy", 1000)], [("busy", 1060)], [("busy", 1110), ("busy", 1150)], [("busy", 1200)]]
+    got = runs.run_available(given_up(timed_stream(spark, batches, str(tmp_path)), "key", "time"), str(tmp_path / "work"), settle=True)
+    assert seconds(got.collect()) == [("busy", "wall", 1000, 1150, 1180, 4), ("quiet", "stall", 1000, 1000, 1120, 1)]
+    assert state_rows(spark, f"{tmp_path}/work", "open") == 1  # the request that "busy" began at 1200
+
+
+def test_waits_equal_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    time, rows = 10_000, []
+    for _ in range(120):
+        time += rng.choice([1, 5, 20, 60])
+        rows.append((rng.choice("abcd"), time))
+    for number, wall in enumerate((180, None)):
+        work = tmp_path / str(number)
+        work.mkdir()
+        stream = timed_stream(spark, [rows[i : i + 30] for i in range(0, 120, 30)], str(work))
+        got = runs.run_available(given_up(stream, "key", "time", stall_ms=120_000, wall_ms=wall and wall * 1000), str(work / "work"), settle=True)
+        assert seconds(got.collect()) == waits(rows, 120, wall, time)
+
+
+def test_cache_evicts_the_least_recently_used(spark, tmp_path):
+    rng = random.Random(8)
+    asked = [(i, f"k{min(int(rng.expovariate(0.12)), 40)}", rng.choice([0, 5, 5, 5, 900])) for i in range(300)]
+    for number in range(3):
+        spark.createDataFrame(asked[number::3], "place bigint, cache_key string, size bigint").coalesce(1).write.parquet(f"{tmp_path}/raw{number}")
+    stream = spark.readStream.schema("place bigint, cache_key string, size bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/raw*")
+    got = runs.run_available(cached(stream, F.col("place"), F.col("cache_key"), F.col("size"), shards=1, entries=7, longest=100), str(tmp_path / "work")).collect()
+    order, held, want = [r for number in range(3) for r in asked[number::3]], [], {}
+    for place, key, size in order:
+        hit, gone = key in held, 0
+        if hit:
+            held.remove(key)
+        if hit or 0 < size <= 100:
+            held.append(key)
+        if len(held) > 7:
+            held.pop(0)
+            gone = 1
+        want[place] = (hit, gone)
+    assert {r.place: (r.hit, r.evicted) for r in got} == want
+    assert any(hit for hit, _ in want.values()) and any(gone for _, gone in want.values())
+    assert state_rows(spark, f"{tmp_path}/work", "kept") == 7 == state_rows(spark, f"{tmp_path}/work", "order")
