@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -89,3 +90,40 @@ def test_odd_rows(spark, docs, no_docs):
     assert seeds.overlaps(no_docs, items).count() == 0
     assert seeds.overlaps(docs, items.limit(0)).count() == 0
     assert seeds.clean_documents(docs, items.limit(0)).count() == docs.count()
+
+
+def test_longest_stretch_is_not_hidden_by_a_longer_run_with_bad_ends():
+    """12 equal tokens at 4-15 extend to a longer run that shrinks below the least; the stretch at 30-42 counts."""
+    item = np.arange(60)
+    text = item.copy()
+    text[[*range(4), *range(16, 30), *range(43, 60)]] = -1
+    assert seeds.best_stretch(text, item, 0) == (30, 13, 13)
+
+
+def test_stretch_equals_all_pairs_of_ends():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        item = np.arange(int(rng.integers(14, 60)))
+        text = np.where(rng.random(len(item)) < rng.choice([0.6, 0.75, 0.85]), item, -1)
+        same = text == item
+        sums = np.r_[0, np.cumsum(same)]
+        sizes = [e - s for s in range(len(item)) for e in range(s + seeds.STRETCH, len(item) + 1) if same[s] and same[e - 1] and 5 * (sums[e] - sums[s]) >= 4 * (e - s)]
+        got = seeds.best_stretch(text, item, 0)
+        assert (got[1] if got else None) == (max(sizes) if sizes else None)
+
+
+def test_masks_miss_no_placement_of_swaps():
+    """All ways to swap as many tokens as the rule allows leave a window of some mask whole."""
+    for size in range(seeds.SPAN, 21):
+        swaps = size // 5
+        windows = [sum(1 << at + i for i, c in enumerate(mask) if c == "1") for mask in seeds.masks_for(size) for at in range(size - len(mask) + 1)]
+        for places in itertools.combinations(range(size), swaps):
+            lost = sum(1 << p for p in places)
+            assert any(not w & lost for w in windows), (size, places)
+
+
+def test_short_items_with_one_token_swapped(spark):
+    item = [f"w{i}" for i in range(8)]
+    docs = [(i, " ".join(["pre", *item[:i], "other", *item[i + 1 :], "post"])) for i in range(8)]
+    got = seeds.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_equal) for r in got} == {(i, 8, 7) for i in range(8)}
