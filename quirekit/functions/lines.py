@@ -47,15 +47,18 @@ def consecutive_pairs(items: Column, test) -> Column:
     )
 
 
-def fill_page_markers(col: Column) -> Column:
-    """WIN-03: collapse repeated page markers, then insert the missing numbers between two."""
+def fill_page_markers(col: Column, widest: int = 10_000) -> Column:
+    """WIN-03: collapse repeated page markers, then insert the missing numbers between two.
+
+    A step of over ``widest`` numbers is a misread number, not that many missing pages, and is left open.
+    """
 
     def marker(number: Column) -> Column:
         return F.concat(F.lit("[Original Page Number: "), number.cast("string"), F.lit("]"))
 
     def filled(cur: Column, prev: Column) -> Column:
         gap = F.transform(F.sequence(prev + 1, cur - 1), marker)
-        missing = F.when(cur - prev > 1, F.concat(F.array_join(gap, "\n"), F.lit("\n"))).otherwise("")
+        missing = F.when((cur - prev > 1) & (cur - prev <= widest), F.concat(F.array_join(gap, "\n"), F.lit("\n"))).otherwise("")
         return F.coalesce(missing, F.lit(""))
 
     def run(text: Column) -> Column:
@@ -71,32 +74,14 @@ def fill_page_markers(col: Column) -> Column:
 
 
 def compact_scope(pages: Column) -> Column:
-    """WIN-04: ascending page numbers as ``1-3,5`` (row-local form)."""
-    state = "struct<first:int,last:int,done:array<string>>"
-    zero = F.struct(
-        F.lit(None).cast("int").alias("first"),
-        F.lit(None).cast("int").alias("last"),
-        F.array().cast("array<string>").alias("done"),
-    ).cast(state)
-
-    def span(acc: Column) -> Column:
-        return F.when(
-            acc["first"] != acc["last"], F.concat_ws("-", acc["first"].cast("string"), acc["last"].cast("string"))
-        ).otherwise(acc["first"].cast("string"))
+    """WIN-04: ascending page numbers as ``1-3,5``: first and last pages of spans side by side."""
 
-    def step(acc: Column, page: Column) -> Column:
-        grows = acc["last"].isNull() | (page == acc["last"] + 1)
-        return F.when(
-            grows,
-            F.struct(F.coalesce(acc["first"], page).alias("first"), page.alias("last"), acc["done"].alias("done")),
-        ).otherwise(
-            F.struct(page.alias("first"), page.alias("last"), F.array_append(acc["done"], span(acc)).alias("done"))
-        ).cast(state)
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["first"].isNull(), "").otherwise(F.array_join(F.array_append(acc["done"], span(acc)), ","))
+    def spans(held: Column) -> Column:
+        first = F.array_compact(with_previous(held, lambda cur, prev: F.when(prev.isNull() | (cur != prev + 1), cur)))
+        last = F.reverse(F.array_compact(with_previous(F.reverse(held), lambda cur, after: F.when(after.isNull() | (after != cur + 1), cur))))
+        return F.array_join(F.zip_with(first, last, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string")))), ",")
 
-    return F.aggregate(pages.cast("array<int>"), zero, step, finish)
+    return let(pages.cast("array<int>"), spans)
 
 
 def scope_pages(scope: Column, total: Column) -> Column:

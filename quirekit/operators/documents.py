@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirekit.functions import html, legal, text
 from quirekit.functions.classify import looks_legal
 from quirekit.functions.glossary import expand_abbreviations
+from quirekit.functions.rewrite import let
 from quirekit.operators.pages import keep_unless_shrunk
 
 # What leaks into a body goes first, then furniture, so that the rules for headings see content only.
@@ -55,20 +56,64 @@ def staged(frame: DataFrame, column: str, steps: list) -> DataFrame:
     return frame
 
 
-def normalize_documents(frame: DataFrame, column: str = "html") -> DataFrame:
-    """HTM-01: the document clean-up chain, on bodies of every length; legal documents also go through the contract."""
-    legal_body = "_legal_body"
+def apply_contract(frame: DataFrame, column: str, only: Column | None = None) -> DataFrame:
+    """LEG-01: the legal contract on a column, for rows where ``only`` holds; other rows are not cut."""
+    held = "_blocks"
+    before, rules = legal.CONTRACT[: len(legal.BEFORE_CUT)], legal.CONTRACT[len(legal.BEFORE_CUT) + 1 : -1]
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    frame = frame.withColumn("_wanted", wanted)
+    frame = staged(frame, column, [lambda body, step=step: F.when(F.col("_wanted"), step(body)).otherwise(body) for step in before])
+    # Rows without blocks have a null array, which every rule passes on.
+    cut = frame.withColumn(held, F.when(F.col("_wanted"), legal.cut(F.col(column))))
+    ruled = staged(cut, held, rules)
+    return ruled.withColumn(column, F.coalesce(legal.render(F.col(held)), F.col(column))).drop(held, "_wanted").select(*frame.drop("_wanted").columns)
 
-    def if_legal(step):
-        return lambda body: F.when(F.col(legal_body), step(body)).otherwise(body)
 
+def with_contents(body: Column) -> Column:
+    return let(html.toc_rows(body), lambda rows: html.inject_toc(body, rows))
+
+
+def normalize_documents(frame: DataFrame, column: str = "html", title: Column | None = None, contents: bool = False) -> DataFrame:
+    """HTM-01: the document clean-up chain, on bodies of every length; legal documents also go through the contract.
+
+    With ``title``, a cover without a heading gets one of it; with ``contents``, main gets a table of contents.
+    """
     cleaned = staged(frame, column, CLEANING_PASSES)
-    marked = cleaned.withColumn(legal_body, looks_legal(text.visible_text(F.col(column))))
-    return staged(marked, column, [*map(if_legal, legal.CONTRACT), *HEADING_PASSES]).drop(legal_body)
+    legal_body = looks_legal(text.visible_text(F.col(column)))
+    done = staged(apply_contract(cleaned, column, legal_body), column, [*HEADING_PASSES[:-2]])
+    if title is not None:
+        done = staged(done, column, [lambda body: html.title_cover(body, title)])
+    late = [*HEADING_PASSES[-2:], html.strip_running_head_h1s, *([with_contents] if contents else [])]
+    return staged(done, column, late)
 
 
-def cleanup_output(frame: DataFrame, column: str, fmt: Column, profile: Column, flags: dict[str, Column]) -> DataFrame:
-    """STR-43: clean-up by format and settings: punctuation, currency, then abbreviations."""
+def sanitize_output(frame: DataFrame, column: str, fmt: Column, profile: Column, preserve_pages: Column | None = None, pages: bool = True) -> DataFrame:
+    """STR-16: a model's output cleaned by format and profile.
+
+    HTML and EPUB keep their structure and, for legal documents, go through the contract; other formats lose all tags, and
+    books get the plain-text pass. ``pages`` says whether the frame holds HTML or EPUB at all; without, the plan is short.
+    """
+    markup = F.lower(fmt).isin("html", "epub")
+    kept = F.coalesce(preserve_pages, F.lit(False)) if preserve_pages is not None else F.lit(False)
+    plain = lambda body: text.sanitize_plain(body, fmt)
+    cleaned = staged(frame, column, [(lambda body: F.when(markup, html.sanitize_html(body)).otherwise(plain(body))) if pages else plain])
+    ruled = apply_contract(cleaned, column, markup & (F.lower(profile) == "legal")) if pages else cleaned
+    book = ~markup & (F.lower(profile) == "book")
+    return staged(ruled, column, [lambda body: F.when(book & kept, text.book_text(body, True)).when(book, text.book_text(body)).otherwise(body)])
+
+
+def cleanup_output(frame: DataFrame, column: str, fmt: Column, profile: Column, flags: dict[str, Column], pages: bool = True) -> DataFrame:
+    """STR-43: clean-up by format and settings.
+
+    HTML is normalised first and gets its profile's headings last; HTML and plain formats have punctuation, currency and
+    abbreviations brought up to date if the settings say so. Other formats pass. ``pages`` as in ``sanitize_output``.
+    """
+    markup = fmt == "html"
+    done = frame
+    if pages:
+        # Rows of other formats would only lose by the chain, so it runs on a column that is null for them.
+        page = frame.withColumn("_page", F.when(markup, F.col(column)))
+        done = normalize_documents(page, "_page").withColumn(column, F.coalesce(F.col("_page"), F.col(column))).drop("_page")
     steps = [
         ("modernize_punctuation", text.modernize_punctuation),
         ("unit_conversion", text.modernize_currency),
@@ -78,17 +123,21 @@ def cleanup_output(frame: DataFrame, column: str, fmt: Column, profile: Column,
     def when_on(flag: Column, step):
         return lambda body: F.when(flag & fmt.isin("html", "txt", "md"), step(body)).otherwise(body)
 
-    return staged(frame, column, [when_on(flags[name], step) for name, step in steps])
+    headed = lambda body: F.when(markup, html.enforce_profile_headings(body, profile)).otherwise(body)
+    return staged(done, column, [*(when_on(flags[name], step) for name, step in steps), *([headed] if pages else [])])
 
 
-def prepare_save(frame: DataFrame, column: str, fmt: Column, profile: Column, flags: dict[str, Column]) -> DataFrame:
-    """SNK-07: sanitise and clean a text for saving; a result that lost too much is not taken."""
+def prepare_save(frame: DataFrame, column: str, fmt: Column, profile: Column, flags: dict[str, Column], pages: bool = True) -> DataFrame:
+    """SNK-07: sanitise and bring up to date a text for saving, HTML its own way; a result that lost too much is not taken."""
     raw = frame.withColumn("_raw", F.col(column))
-    plain = staged(raw, column, [lambda body: text.sanitize_plain(body, fmt)])
-    cleaned = cleanup_output(plain, column, fmt, profile, flags)
-    merged = staged(
-        cleaned, column, [lambda body: F.when(flags["merge_files"], text.strip_synthetic_headings(body, fmt)).otherwise(body)]
-    )
+    clean = sanitize_output(raw, column, fmt, profile, flags.get("preserve_pages"), pages)
+    steps = [
+        lambda body: F.when(flags["modernize_punctuation"], text.modernize_punctuation(body)).otherwise(body),
+        lambda body: F.when(flags["unit_conversion"], text.modernize_currency(body)).otherwise(body),
+        lambda body: F.when(flags["abbrev_expansion"], expand_abbreviations(body, profile)).otherwise(body),
+        lambda body: F.when(flags["merge_files"], text.strip_synthetic_headings(body, fmt)).otherwise(body),
+    ]
+    merged = staged(clean, column, steps)
     kept = keep_unless_shrunk(
         F.col("_raw"), F.col(column), text.visible_text(F.col("_raw")), text.visible_text(F.col(column))
     )

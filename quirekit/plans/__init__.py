@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["html_queries", "text_queries", "job_queries", "page_queries", "legal_queries", "line_queries", "source_queries", "stream_queries"]
+MODULES = ["html_queries", "text_queries", "job_queries", "page_queries", "legal_queries", "contract_queries", "line_queries", "source_queries", "stream_queries"]
 
 
 def load_all():

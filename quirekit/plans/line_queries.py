@@ -244,7 +244,7 @@ def cleanup_by_format(spark, sf_dir):
     flags = {
         "modernize_punctuation": F.col("doc_id") % 2 == 0, "unit_conversion": F.lit(True), "abbrev_expansion": F.lit(False),
     }
-    return doc_ops.cleanup_output(docs, "text", F.col("fmt"), F.lit("book"), flags).select("doc_id", "fmt", F.col("text").alias("result"))
+    return doc_ops.cleanup_output(docs, "text", F.col("fmt"), F.lit("book"), flags, pages=False).select("doc_id", "fmt", F.col("text").alias("result"))
 
 
 @query("snk_07_prepared_saves")
@@ -252,7 +252,20 @@ def prepared_saves(spark, sf_dir):
     docs = _docs(spark, sf_dir, CLEANUP + ABBREVIATIONS).withColumn("fmt", pick(["txt", "md"], F.col("doc_id")))
     on = F.lit(True)
     flags = {"modernize_punctuation": on, "unit_conversion": on, "abbrev_expansion": on, "merge_files": F.col("doc_id") % 2 == 0}
-    return doc_ops.prepare_save(docs, "text", F.col("fmt"), F.lit("military"), flags).select("doc_id", F.col("text").alias("result"))
+    return doc_ops.prepare_save(docs, "text", F.col("fmt"), F.lit("military"), flags, pages=False).select("doc_id", F.col("text").alias("result"))
+
+
+@query("snk_07_saved_pages")
+def saved_pages(spark, sf_dir):
+    """HTML saved its own way: structure stays, legal documents go through the contract, wrappers and styles go."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id")
+    body = F.concat(
+        F.lit('```html\n<html><body><main style="x">'), F.lit("<p>"), F.replace(text.escape_html(F.col("text")), F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p>"),
+        F.lit("<h2>Chapter 1 Orders</h2><h4>1 Fees</h4><p>Section 1 (a) £3 at Main-road.- Then.</p></main></body></html>\n```"))
+    pages = docs.select("doc_id", body.alias("page"), F.when(F.col("doc_id") % 2 == 0, "legal").otherwise("standard").alias("profile"))
+    on = F.lit(True)
+    flags = {"modernize_punctuation": on, "unit_conversion": on, "abbrev_expansion": F.lit(False), "merge_files": F.lit(False)}
+    return doc_ops.prepare_save(pages, "page", F.lit("html"), F.col("profile"), flags).select("doc_id", F.col("page").alias("result"))
 
 
 # --- Outputs -----------------------------------------------------------------------------------
