@@ -73,8 +73,8 @@ def changed(b: Column, raw: Column) -> Column:
 
 
 def pruned(blocks: Column) -> Column:
-    """Dropped blocks go; for rules that change none."""
-    return F.filter(blocks, lambda b: b["name"].isNotNull())
+    """Dropped blocks go; changed ones stay without facts, out of reach of later rules."""
+    return F.filter(blocks, lambda b: b["name"].isNotNull() | (b["raw"] != ""))
 
 
 def refreshed(blocks: Column) -> Column:

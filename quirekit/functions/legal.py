@@ -75,8 +75,8 @@ def continuations(blocks: Column) -> Column:
 
     def joined(head: Column, more: Column) -> Column:
         text = canonical_heading(F.concat(head["label"], F.lit(" "), more["label"]))
-        agrees = lambda whole: let(heading_level(whole), lambda level: let(
-            heading_level(head["head"]), lambda own: level.isNotNull() & (own.isNull() | (own == level))))
+        agrees = lambda whole: let(
+            F.transform(F.array(whole, head["head"]), heading_level), lambda levels: levels[0].isNotNull() & (levels[1].isNull() | (levels[1] == levels[0])))
         return F.when(
             (head["kind"] != "") & plain_inside(head) & plain_inside(more) & (more["label"] != "") & labels.carries_on(more["label"]),
             let(text, lambda whole: F.when((F.length(whole) > F.length(head["label"])) & agrees(whole), whole)))
@@ -116,7 +116,7 @@ def same_structure(blocks: Column) -> Column:
         size = lambda x: F.length(x["head"])
         return (
             F.when((alike(p, b) & (size(p) >= size(b))) | (alike(b, n) & (size(n) > size(b))), changed(b, F.lit("")))
-            .when(alike(p, b) | alike(b, n), changed(b, element(b["name"], b["head"])))
+            .when(alike(p, b) | alike(b, n), b.withField("raw", element(b["name"], b["head"])))
             .otherwise(b)
         )
 
@@ -189,9 +189,9 @@ def known_sections(blocks: Column, reach: int = 6) -> Column:
         events = F.sort_array(F.filter(
             F.transform(held, lambda b, i: F.struct(number(b).alias("number"), (b["clause"] == "").alias("bare"), i.alias("at"))),
             lambda e: e["number"].isNotNull()))
-        heads = let(events, lambda es: scan.last_known(with_previous(es, lambda cur, prev: F.when(
-            prev.isNull() | (prev["number"] != cur["number"]), F.struct(F.when(~cur["bare"], cur["at"]).alias("at"))))))
-        behind = F.array_compact(F.zip_with(events, heads, lambda e, h: F.when(e["bare"] & (h["at"] < e["at"]), e["at"])))
+        heads = scan.last_known(with_previous(events, lambda cur, prev: F.when(
+            prev.isNull() | (prev["number"] != cur["number"]), F.when(cur["bare"], -1).otherwise(cur["at"]))), "int")
+        behind = F.array_compact(F.zip_with(events, heads, lambda e, h: F.when(e["bare"] & (h >= 0) & (h < e["at"]), e["at"])))
 
         def near(b: Column, i: Column) -> Column:
             around = F.slice(held, F.greatest(i + 1 - reach, F.lit(1)), F.least(i, F.lit(reach)) + reach + 1)
@@ -214,7 +214,7 @@ def breadcrumb_runs(blocks: Column) -> Column:
     def run(held: Column) -> Column:
         crumbs = F.transform(held, lambda b: is_crumb(b))
         # What stands in front of a run of labels.
-        opened = scan.shifted(scan.last_known(F.zip_with(held, crumbs, lambda b, crumb: F.when(~crumb, b["marker"]))), -1)
+        opened = scan.shifted(scan.last_known(F.zip_with(held, crumbs, lambda b, crumb: F.when(~crumb, b["marker"])), "boolean"), -1)
         beside = F.zip_with(scan.shifted(crumbs, -1), scan.shifted(crumbs, 1), lambda p, n: F.coalesce(p, F.lit(False)) | F.coalesce(n, F.lit(False)))
         gone = F.zip_with(F.zip_with(crumbs, opened, lambda c, o: c & F.coalesce(o, F.lit(False))), beside, lambda a, b: a & b)
         return F.zip_with(held, gone, lambda b, drop: F.when(drop, changed(b, F.lit(""))).otherwise(b))
@@ -230,7 +230,7 @@ def clause_trails(blocks: Column) -> Column:
 
     def run(held: Column) -> Column:
         trail = F.transform(held, lambda b: is_crumb(b) & ~b["inner"].rlike(r"(?i)<br\b"))
-        ahead = scan.shifted(scan.next_known(F.zip_with(held, trail, lambda b, t: F.when(~t, is_heading(b) & (b["clause"] != "")))), 1)
+        ahead = scan.shifted(scan.next_known(F.zip_with(held, trail, lambda b, t: F.when(~t, is_heading(b) & (b["clause"] != ""))), "boolean"), 1)
         beside = F.zip_with(scan.shifted(trail, -1), scan.shifted(trail, 1), lambda p, n: F.coalesce(p, F.lit(False)) | F.coalesce(n, F.lit(False)))
         listed = F.transform(held, lambda b: is_paragraph(b) & b["inner"].rlike(r"(?i)<br\b") & let(
             lines_of(b), lambda ls: (F.size(ls) > 1) & F.forall(ls, lambda x: breadcrumb(x))))
@@ -284,12 +284,12 @@ def typed_headings(blocks: Column) -> Column:
 
     def parts_of(b: Column) -> Column:
         """Labels that may be headings: the lines of a paragraph with breaks, its bold beginning and rest, or the whole."""
-        clean = lambda x: squash(strip_tags(x), " -|:")
-        return (
-            F.when(is_paragraph(b) & b["inner"].rlike(r"(?i)<br\b"), F.filter(F.transform(F.split(b["inner"], r"(?i)<br\s*/?>"), clean), lambda x: x != ""))
-            .when(is_paragraph(b) & b["inner"].rlike(bold), F.filter(F.array(clean(F.regexp_extract(b["inner"], bold, 2)), clean(F.regexp_extract(b["inner"], bold, 3))), lambda x: x != ""))
-            .otherwise(F.array(b["label"]))
+        pieces = (
+            F.when(is_paragraph(b) & b["inner"].rlike(r"(?i)<br\b"), F.split(b["inner"], r"(?i)<br\s*/?>"))
+            .when(is_paragraph(b) & b["inner"].rlike(bold), F.array(F.regexp_extract(b["inner"], bold, 2), F.regexp_extract(b["inner"], bold, 3)))
+            .otherwise(F.array(b["inner"]))
         )
+        return F.filter(F.transform(pieces, lambda x: squash(strip_tags(x), " -|:")), lambda x: x != "")
 
     def rule(b: Column) -> Column:
         leveled = F.transform(parts_of(b), lambda x: F.when(x.rlike(HEADING_START), let(canonical_heading(x), lambda head: F.struct(
@@ -360,8 +360,8 @@ strip_breadcrumb_runs = on_blocks(breadcrumb_runs)
 strip_fused_prefixes = on_blocks(prefixed_sections)
 strip_numeric_headings = on_blocks(numeric_headings)
 
-#: Rules that change blocks; the others only drop some.
-REWRITING = [split_references, continuations, fragments, same_structure, spliced_subsections, prefixed_sections, typed_headings]
+#: Rules whose changed blocks later rules look at again.
+REWRITING = [continuations, spliced_subsections, prefixed_sections, typed_headings]
 #: Steps on the text before it is cut, then the rules of the contract in their order.
 BEFORE_CUT = [unwrap_footer_markers, strip_front_contents]
 RULES = [

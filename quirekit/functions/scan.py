@@ -1,8 +1,8 @@
-"""Scans over an array inside one row, in n log n steps.
+"""Scans over an array inside one row, linear in its length.
 
-A fold that appends to an array copies it at every step. Here each round looks twice as far back as the one before, so a
-value travels over the whole array in as many rounds as its length has binary digits; rounds longer than the array are
-skipped.
+A fold that appends to an array copies it at every step. A scan here writes the array as one text in which each known
+value opens a segment, cuts that text once, and repeats each segment's value over its length. Values are numbers, flags or
+other texts without control characters.
 """
 
 from __future__ import annotations
@@ -13,35 +13,26 @@ from pyspark.sql import functions as F
 from quirekit.functions.lines import with_previous
 from quirekit.functions.rewrite import let
 
-#: Rounds of a scan: enough for a million elements.
-ROUNDS = 20
+_OPEN, _VALUE, _PLACE = "\x1e", "\x1f", "\x1d"
 
 
-def _rounds(items: Column, combine, rounds: int) -> Column:
-    for k in range(rounds):
-        reach = 1 << k
+def last_known(items: Column, kind: str = "string") -> Column:
+    """For each place the last value at or before it that is not null, as ``array<kind>``."""
+    written = F.array_join(
+        F.transform(items, lambda x: F.when(x.isNull(), _PLACE).otherwise(F.concat(F.lit(_OPEN), x.cast("string"), F.lit(_VALUE + _PLACE)))), "")
 
-        def step(held: Column, reach: int = reach) -> Column:
-            further = F.transform(held, lambda x, i: F.when(i >= reach, combine(x, F.get(held, i - reach))).otherwise(x))
-            return F.when(F.size(held) > reach, further).otherwise(held)
+    def spread(segment: Column, i: Column) -> Column:
+        # The first segment lies before any known value.
+        parts = F.split(segment, _VALUE, 2)
+        return F.when(i == 0, F.array_repeat(F.lit(None).cast("string"), F.length(segment))).otherwise(
+            let(parts, lambda x: F.array_repeat(x[0], F.length(x[1]))))
 
-        items = let(items, step)
-    return items
+    return F.flatten(F.transform(F.split(written, _OPEN), spread)).cast(f"array<{kind}>")
 
 
-def last_known(items: Column, rounds: int = ROUNDS) -> Column:
-    """For each place the last value at or before it that is not null."""
-    return _rounds(items, lambda own, before: F.coalesce(own, before), rounds)
-
-
-def next_known(items: Column, rounds: int = ROUNDS) -> Column:
+def next_known(items: Column, kind: str = "string") -> Column:
     """For each place the first value at or behind it that is not null."""
-    return F.reverse(last_known(F.reverse(items), rounds))
-
-
-def running_sum(items: Column, rounds: int = ROUNDS) -> Column:
-    """Inclusive running totals."""
-    return _rounds(items, lambda own, before: own + before, rounds)
+    return F.reverse(last_known(F.reverse(items), kind))
 
 
 def shifted(items: Column, by: int) -> Column:

@@ -53,7 +53,7 @@ def test_scans(spark):
     draw = random.Random(1)
     rows = [[draw.choice([None, 1, 2, 3]) for _ in range(n)] for n in (0, 1, 2, 3, 7, 8, 9, 100)]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<int>")
-    got = frame.select("i", scan.last_known(F.col("v"), 8).alias("last"), scan.next_known(F.col("v"), 8).alias("next"), scan.first_of_each(F.col("v")).alias("first")).collect()
+    got = frame.select("i", scan.last_known(F.col("v"), "int").alias("last"), scan.next_known(F.col("v"), "int").alias("next"), scan.first_of_each(F.col("v")).alias("first")).collect()
     for r in got:
         row, held, last = rows[r.i], None, []
         for x in row:
