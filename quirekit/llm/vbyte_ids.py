@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from quirekit.session import ensure_checkpoint_dir
 
 END_ID = 2
 #: Ids of a block (a longer document makes a longer block); words a worker remembers.
-BLOCK_IDS, REMEMBERED = 1 << 18, 400_000
-_WORK_BYTES = 1 << 20
+BLOCK_IDS, REMEMBERED = 1 << 18, 800_000
+_WORK_BYTES = 2 << 20
 #: Characters whose splitting and lower case are the same in every Unicode version; other texts go to the tokenizer whole.
 #: Of numbers the plain set holds 0-9 alone.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ȳ‐-―‘-‧€™Ѐ-ҁぁ-ゖァ-ヺ一-龥]")
@@ -89,8 +90,9 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
 def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids as bytes, equal to the tokenizers library on whole texts.
 
-    No token crosses white space, so a text is lower-cased and parted there, and its words are looked up with all their
-    split parts; new words of a batch are encoded in one call.
+    No token crosses white space, so texts are lower-cased and parted there, the words of a batch are numbered, and each
+    different word is looked up once; its ids are gathered by number. Words not seen before are cut into split parts, and
+    parts not seen before are encoded in one call.
     Texts with a special token's string or with characters outside the plain set are given to the library whole.
     """
     import os
@@ -114,28 +116,51 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     of_words = Tokenizer.from_file(file)
     of_words.normalizer = normalizers.Sequence([])
     known: dict[str, bytes] = {}
+    pieces: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(words: list[str]) -> None:
-        """Encode words as one text; each split part of a word ends with its one id of a part's end."""
-        ids = np.array(of_words.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
-        ends, parts = np.flatnonzero(ends_word[ids]) + 1, np.cumsum([len(_SPLIT.findall(w)) for w in words])
-        if len(ends) == parts[-1] and ends[-1] == len(ids):
-            raw, marks = ids.tobytes(), (2 * np.r_[0, ends[parts - 1]]).tolist()
-            known.update(zip(words, [raw[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)], strict=True))
-        else:
-            known.update(zip(words, whole(words), strict=True))
+        """Encode new split parts as one text; each ends with its one id of a part's end."""
+        parts = [_SPLIT.findall(w) for w in words]
+        new = list({p for found in parts for p in found}.difference(pieces))
+        if new:
+            ids = np.array(of_words.encode(" ".join(new), add_special_tokens=False).ids, "<u2")
+            ends = np.flatnonzero(ends_word[ids]) + 1
+            if len(ends) == len(new) and ends[-1] == len(ids):
+                raw, marks = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
+                pieces.update(zip(new, [raw[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)], strict=True))
+            else:
+                pieces.update(zip(new, whole(new), strict=True))
+        for word, found in zip(words, parts, strict=True):
+            known[word] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+
+    def by_words(texts: list[str]) -> list[bytes]:
+        parted = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        coded = parted.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in known]
+        if new:
+            learn(new)
+        found = [known[w] for w in words]
+        table = np.frombuffer(b"".join(found), "<u2")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        numbers = coded.indices.to_numpy()
+        counts = sizes[numbers]
+        ends = np.r_[0, np.cumsum(counts)]
+        shift = (np.cumsum(sizes) - sizes)[numbers] - ends[:-1]
+        ids = table[np.repeat(shift, counts) + np.arange(ends[-1])].tobytes()
+        marks = (2 * ends[parted.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
     def run(texts: list[str]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
-        parts = [None if _PLAIN.search(t) or _SPECIAL in t else t.lower().split() for t in texts]
-        new = set().union(*(p for p in parts if p)).difference(known)
-        if new:
-            learn(list(new))
-        return [whole([t])[0] if p is None else b"".join([known[w] for w in p]) for t, p in zip(texts, parts, strict=True)]
+            pieces.clear()
+        plain = [not _PLAIN.search(t) and _SPECIAL not in t for t in texts]
+        parted = iter(by_words([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        return [next(parted) if p else whole([t])[0] for t, p in zip(texts, plain, strict=True)]
 
     return run
 
