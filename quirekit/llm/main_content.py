@@ -3,14 +3,20 @@
 A page is a sequence of words and tags. Every one has a weight: the log-odds that it lies inside the content rather than
 outside, learned from labelled pages (those with exactly one ``article`` element, whose extent is the label). Words of content score
 above zero, words of boilerplate and all tags below. One linear scan finds the region of the greatest
-sum; menus, forms, adverts and the like that lie inside it are dropped by their elements, and what is left is read as
-blocks of text.
+sum. Where most of its words lie in a page's one ``article``, the region is that article's whole extent. Menus, forms,
+adverts and the like that lie inside it are dropped by their elements, and what is left is read as blocks of text.
+
+An element is boilerplate by its name, or by a word of its class, id or role; ``html``, ``body`` and ``main`` never are
+by class, an ``article`` only by a class of that one word, and neither is an element that holds ``main`` or the page's
+one ``article``. Elements without words count nothing. A page is read in one pass with an open-element stack that knows
+what lies in force at its top, so time is linear in the page however deep or broken it is.
 
 Features are drawn from the fixed HTML tag names and a few kinds of boilerplate, so the weights stay a small table
 however many pages are counted; the counts are summed by Spark over all pages.
 
 Defined cases: null and empty pages give an empty text; a page without any words of positive weight too; pages that stop
-in the middle are read as far as they go; unclosed tags end with their parent; repeated rows give repeated rows.
+in the middle are read as far as they go; unclosed tags end with their parent; a value's quote that never closes runs to
+the end of the page; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +41,7 @@ RAW = set("script style noscript template textarea iframe svg math object xmp no
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 NEVER = {"nav", "aside", "footer", "form", "button", "select", "dialog", "head", "title", "menu", "header", "audio", "video", "canvas", "map", "fieldset"} | RAW
 #: Elements that close an open one of the same kind in the same parent.
-SELF_CLOSING = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
+SELF_CLOSING = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
 #: Kinds of boilerplate told by class, id or role.
 KINDS = {
     "advert": r"ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|outbrain|taboola",
@@ -44,10 +51,18 @@ KINDS = {
     "notice": r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall|disclaimer",
     "frame": r"header|masthead|footer\w*|copyright|social|share|sharing|search|searchbox|login",
 }
-_KIND_PATTERNS = {kind: re.compile(rf"(?:^|[\s_-])(?:{words})(?=$|[\s_-])", re.I) for kind, words in KINDS.items()}
+_KIND_PATTERNS = {kind: re.compile(rf"(?:^|[_-])(?:{words})(?=$|[_-])", re.I) for kind, words in KINDS.items()}
+_WHOLE_PATTERNS = {kind: re.compile(words, re.I) for kind, words in KINDS.items()}
+_ANY_KIND = re.compile("|".join(KINDS.values()), re.I)
+#: Class words that tell of a layout or a state of the page, and a title block's class words; neither is boilerplate.
+_STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|show|single)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off|allowed|active|left|right|none)", re.I)
+_TITLE_BLOCK = re.compile(r"(?:entry|post|article|story|content|blog|chapter|section)[_-]+header(?:[_-].*)?", re.I)
+#: Never boilerplate by class or id; an ``article`` is by a class of one whole word (a reader's comment, say).
+_UNBANNED = {"html", "body", "main"}
 _ROLES = {"navigation": "menu", "banner": "frame", "contentinfo": "frame", "complementary": "side", "search": "frame", "alert": "notice", "dialog": "notice", "menu": "menu"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s]*+)))?")
+_TOLD_BY = {"class", "id", "role", "hidden", "aria-hidden"}
 #: Weights before any page is counted, and the counts they stand for.
 WORD_PRIOR, BOILERPLATE_PRIOR, TAG_PRIOR, PRIOR_COUNT = 1.0, -1.0, -0.1, 2.0
 #: Tags never score above this, wherever they were seen; no weight is farther from zero than the limit.
@@ -65,48 +80,95 @@ class Event:
         self.feature, self.text, self.block, self.banned, self.n = feature, text, block, banned, n
 
 
+def _kind_of_words(name: str, value: str) -> str:
+    """The kind told by the words of a class or id."""
+    if name in _UNBANNED or not _ANY_KIND.search(value):
+        return ""
+    for word in value.split():
+        if name == "article":
+            kind = next((k for k, p in _WHOLE_PATTERNS.items() if p.fullmatch(word)), "")
+        elif _STATE.fullmatch(word) or _TITLE_BLOCK.fullmatch(word):
+            kind = ""
+        else:
+            kind = next((k for k, p in _KIND_PATTERNS.items() if p.search(word)), "")
+        if kind:
+            return kind
+    return ""
+
+
 def boilerplate_kind(name: str, attributes: str) -> str:
     """The kind of boilerplate an element is by name, class, id or role; ``""`` if none."""
     if name in NEVER:
         return name if name in ("nav", "aside", "footer", "form", "head", "title", "header") else "raw" if name in RAW else "form"
+    if not attributes:
+        return ""
     for key, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
         key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key not in _TOLD_BY:
+            continue
+        value = next((v for v in values if v), "")
+        if name not in _UNBANNED and (key == "hidden" or key == "aria-hidden" and value.lower() == "true"):
             return "hidden"
         if key == "role":
-            if value.lower() in _ROLES:
-                return _ROLES[value.lower()]
-            continue
-        for kind, pattern in _KIND_PATTERNS.items():
-            if pattern.search(value):
-                return kind
+            kind = _ROLES.get(value.lower(), "") if name not in _UNBANNED else ""
+        else:
+            kind = _kind_of_words(name, value) if key in ("class", "id") else ""
+        if kind:
+            return kind
     return ""
 
 
-def read_page(page: str) -> tuple[list[Event], tuple[int, int] | None]:
-    """The events of a page, and the span of its ``article`` if it has exactly one."""
+class Open:
+    """An open element, and what is in force inside it."""
+
+    __slots__ = ("blocks", "event", "holder", "kind", "links", "name", "own", "words")
+
+    def __init__(self, name: str, own: str, under: Open | None, event: int, words: int):
+        self.name, self.own, self.event, self.words = name, own, event, words
+        is_block = name in BLOCKS
+        self.kind = own or (under.kind if under else "")
+        self.holder = name if is_block else under.holder if under else "none"
+        self.links = (under.links if under else 0) + (name == "a")
+        self.blocks = (under.blocks if under else 0) + is_block
+
+
+def _parse(page: str, spared: set[int]) -> tuple[list[Event], list[tuple[int, int]], int, set[int]]:
+    """Events, spans of the articles, how many articles began, and starts of the elements banned by class round the content.
+
+    ``spared`` are such starts, which are no boilerplate.
+    """
     events: list[Event] = []
-    stack: list[tuple[str, str]] = []
-    block, at, articles, opened = 0, 0, [], None
+    stack: list[Open] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    block, at, articles, opened, words_seen = 0, 0, [], None, 0
+    round_main: set[int] = set()
+    round_article: set[int] = set()
 
     def words(raw: str) -> None:
+        nonlocal words_seen
         if not raw:
             return
         text = html_lib.unescape(raw)
-        kind = next((k for _, k in reversed(stack) if k), "")
-        holder = next((n for n, _ in reversed(stack) if n in BLOCKS), "none")
-        link = ":a" if any(n == "a" for n, _ in stack) else ""
-        events.append(Event(f"word:{kind or holder}{link}", text, block, bool(kind), len(text.split())))
+        top = stack[-1] if stack else None
+        kind, holder, link = (top.kind, top.holder, ":a" if top.links else "") if top else ("", "none", "")
+        n = len(text.split())
+        words_seen += n
+        events.append(Event(f"word:{kind or holder}{link}", text, block, bool(kind), n))
 
-    def close(name: str) -> None:
+    def close(name: str, event: Event | None = None) -> None:
         nonlocal block
-        if any(n == name for n, _ in stack):
-            while stack:
-                n, _ = stack.pop()
-                block += n in BLOCKS
-                if n == name:
-                    return
+        if not places[name]:
+            return
+        while stack:
+            last = stack.pop()
+            places[last.name].pop()
+            block += last.name in BLOCKS
+            if last.words == words_seen:
+                events[last.event].n = 0
+            if last.name == name:
+                if event and last.words == words_seen:
+                    event.n = 0
+                return
 
     position = 0
     while position < len(page):
@@ -123,25 +185,26 @@ def read_page(page: str) -> tuple[list[Event], tuple[int, int] | None]:
         if not found[4]:
             break
         if found[1]:
-            kind = next((k for _, k in reversed(stack) if k), "")
+            kind = stack[-1].kind if stack else ""
             events.append(Event(f"tag:/{known}:{kind}", None, block, bool(kind), 1))
             if name == "article" and opened is not None:
                 articles.append((opened, len(events) - 1))
                 opened = None
-            close(name)
+            close(name, events[-1])
             block += name in BLOCKS
             continue
-        for n in list(SELF_CLOSING):
-            if name in SELF_CLOSING[n] and any(m == n for m, _ in stack):
-                # An open element of this kind ends here unless another block was opened inside it since.
-                inner = [m for m, _ in stack[max(i for i, (m, _) in enumerate(stack) if m == n) + 1 :] if m in BLOCKS]
-                if not inner:
-                    close(n)
+        for n, enders in SELF_CLOSING.items():
+            # An open element of this kind ends here unless another block was opened inside it since.
+            if name in enders and places[n] and stack[-1].blocks == stack[places[n][-1]].blocks:
+                close(n)
         block += name in BLOCKS
-        kind = boilerplate_kind(name, found[3])
-        outer = next((k for _, k in reversed(stack) if k), "")
-        if name == "header" and not outer and any(n in ("article", "main") for n, _ in stack):
+        kind = "" if len(events) in spared else boilerplate_kind(name, found[3])
+        outer = stack[-1].kind if stack else ""
+        if name == "header" and not outer and (places["article"] or places["main"]):
             kind = ""
+        if name in ("main", "article") and outer:
+            (round_main if name == "main" else round_article).update(
+                e.event for e in stack if e.own and e.own != "hidden" and e.name not in NEVER and not (name == "article" and e.own == "comment"))
         events.append(Event(f"tag:{known}:{kind or outer}", " " if name == "br" else None, block, bool(kind or outer), 1))
         if name == "article":
             if opened is None:
@@ -150,12 +213,26 @@ def read_page(page: str) -> tuple[list[Event], tuple[int, int] | None]:
         if name in VOID or found[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, position)
+            end = _raw_end(name).search(page, position)
             position = end.end() if end else len(page)
             continue
-        stack.append((name, kind))
+        places[name].append(len(stack))
+        stack.append(Open(name, kind, stack[-1] if stack else None, len(events) - 1, words_seen))
     if opened is not None:
         articles.append((opened, len(events)))
+    return events, articles, at, round_main | (round_article if at == 1 else set())
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I)
+
+
+def read_page(page: str) -> tuple[list[Event], tuple[int, int] | None]:
+    """The events of a page, and the span of its ``article`` if it has exactly one."""
+    events, articles, at, spared = _parse(page, set())
+    if spared:
+        events, articles, at, _ = _parse(page, spared)
     return events, articles[0] if at == 1 and len(articles) == 1 else None
 
 
@@ -216,9 +293,13 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the best region, a line a block."""
-    events, _ = read_page(page)
+    events, article = read_page(page)
     scores = [e.n * (weights[e.feature] if e.feature in weights else prior(e.feature)) * (DROPPED_SHARE if e.banned else 1) for e in events]
     start, end = best_region(scores)
+    if article:
+        held = [sum(e.n for e in events[a:b] if e.text and not e.banned) for a, b in ((start, end), (max(start, article[0]), min(end, article[1])))]
+        if 2 * held[1] > held[0]:
+            start, end = article
     # Text next to the region in the same block belongs to it.
     blocks: dict[int, list[str]] = {}
     inside = {e.block for e in events[start:end] if e.text}

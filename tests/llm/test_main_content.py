@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 from quirekit.llm import main_content as main
 
@@ -50,6 +51,49 @@ def test_broken_pages():
     assert main.extract("<p>" + "<b>" * 3000 + "deep", {}) == "deep"
 
 
+def test_layout_words_are_no_boilerplate():
+    article = "<article{}><h1>Title</h1><p>Some words of the text.</p></article>"
+    text = "Title\nSome words of the text."
+    for page in (
+        "<body class='single no-sidebar'>" + article.format(""),
+        "<body class='search ads'>" + article.format(" class='post comments-open'"),
+        "<html class=nav><body><div class='row no-ads'>" + article.format(""),
+        "<div class='page with-sidebar'>" + article.format(" id=post-1") + "</div>",
+        "<div class='sidebar-wrapper widget'><main>" + article.format("") + "</main></div>",
+        "<div id=header-and-all class=header>" + article.format("") + "</div>",
+        "<article><div class='entry-header'><h1>Title</h1></div><p>Some words of the text.</p></article>",
+        "<article title='class=ad id=nav'><h1>Title</h1><p>Some words of the text.</p></article>",
+        "<article title=it's><h1>Title</h1><p>Some words of the text.</p></article>",
+    ):
+        assert main.extract(page, {}) == text, page
+
+
+def test_named_boilerplate_still_goes():
+    page = "<article><p>Kept words of the article.</p><div class='{}'>Left out</div></article>"
+    for name in ("ad", "post-comments", "sidebar", "sidebar-left widget", "cookie-notice", "site-header", "x related-posts"):
+        assert main.extract(page.format(name), {}) == ("Kept words of the article."), name
+    replies = "<article><p>Kept words of the article.</p></article><div class=comments><article class=comment><p>I disagree</p></article></div>"
+    assert main.extract(replies, {}) == "Kept words of the article."
+
+
+def test_whole_article_behind_empty_elements():
+    page = "<body><nav>Home</nav><article><p>First words here.</p>" + "<div></div>" * 60 + "<br>" * 200 + "<p>Last words here.</p></article><footer>End</footer>"
+    assert main.extract(page, {}) == "First words here.\nLast words here."
+    page = "<body><nav>Home</nav><div><p>First words here.</p>" + "<div><b></b></div>" * 60 + "<p>Last words here.</p></div><footer>End</footer>"
+    assert main.extract(page, {}) == "First words here.\nLast words here."
+
+
+def test_time_is_linear_on_broken_pages():
+    for part in ("<b>x", "<div class=ad>x", "<a b='x", "</i><p>x", "<li>x<td>", "<!-- x", "<x =\"", "<script>"):
+        times = []
+        for size in (100_000, 800_000):
+            page = part * (size // len(part)) + ("'" if "'" in part else "")
+            begun = time.process_time()
+            main.extract(page, {})
+            times.append(time.process_time() - begun)
+        assert times[1] < 24 * times[0] + 0.5, (part, times)
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>text</p>"), (3, "u", "<p>text</p>"), (None, None, "<article><p>" + "word " * 50_000 + "</article>")]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, n_chars int, text string")
