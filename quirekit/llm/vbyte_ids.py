@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +124,8 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
 
     def learn(words: list[str]) -> None:
         """Encode new split parts as one text; each ends with its one id of a part's end."""
-        parts = [_SPLIT.findall(w) for w in words]
-        new = list({p for found in parts for p in found}.difference(pieces))
+        parts = [[w] if w.isalpha() else _SPLIT.findall(w) for w in words]
+        new = list(set(chain.from_iterable(parts)).difference(pieces))
         if new:
             ids = np.array(of_words.encode(" ".join(new), add_special_tokens=False).ids, "<u2")
             ends = np.flatnonzero(ends_word[ids]) + 1
@@ -139,18 +140,20 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     def by_words(texts: list[str]) -> list[bytes]:
         parted = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
         coded = parted.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in known]
-        if new:
-            learn(new)
-        found = [known[w] for w in words]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, words))
+        if None in found:
+            learn([w for w, ids in zip(words, found, strict=True) if ids is None])
+            found = list(map(known.get, words))
         table = np.frombuffer(b"".join(found), "<u2")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
         numbers = coded.indices.to_numpy()
         counts = sizes[numbers]
         ends = np.r_[0, np.cumsum(counts)]
-        shift = (np.cumsum(sizes) - sizes)[numbers] - ends[:-1]
-        ids = table[np.repeat(shift, counts) + np.arange(ends[-1])].tobytes()
+        # A batch holds far fewer than 2^31 ids, so places fit 32 bits, unless one text is longer than that.
+        place = np.int32 if ends[-1] + len(table) < 1 << 31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[numbers] - ends[:-1]).astype(place)
+        ids = table[np.repeat(shift, counts) + np.arange(ends[-1], dtype=place)].tobytes()
         marks = (2 * ends[parted.offsets.to_numpy()]).tolist()
         return [ids[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
