@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirekit.functions import fixed, flow, glossary, lines, models, prompt, sinks, state, text
-from quirekit.functions.rewrite import count_chars
 from quirekit.operators import documents as doc_ops
 from quirekit.operators import jobs as job_ops
+from quirekit.operators import running
 from quirekit.operators.running import running_total
 from quirekit.plans.html_queries import DOC_HTML_SQL, doc_html
 from quirekit.plans.inputs import JOBS_SQL, SQL_STATUS, jobs, pick, sql_pick
@@ -99,18 +99,19 @@ def first_occurrence(spark, sf_dir):
 
 @query(
     "win_08_best_per_key",
-    f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line FROM documents),
-    k AS (SELECT line, lower(split_part(line, ' ', 1)) AS key, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, doc_id FROM l)
-    SELECT key, min(doc_id) AS first_doc, max(letters) AS letters, count(*) AS lines FROM k GROUP BY key""",
+    f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS pos FROM documents),
+    k AS (SELECT line, lower(split_part(line, ' ', 1)) AS key, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, doc_id, pos FROM l),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY letters DESC, length(line) DESC, doc_id, pos) AS place,
+      row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS seen, count(*) OVER (PARTITION BY key) AS lines FROM k)
+    SELECT b.key, b.line, b.letters, b.lines, b.doc_id AS best_doc_id, b.pos AS best_pos, f.doc_id AS first_doc_id, f.pos AS first_pos
+    FROM r b JOIN r f ON b.key = f.key WHERE b.place = 1 AND f.seen = 1""",
 )
 def best_per_key(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents", "doc_id")
     body = F.concat("text", F.lit("\n"), pick(LABELS, F.col("doc_id")), F.lit("\n"), pick(LABELS, F.col("doc_id") * 3 + 1))
-    found = docs.select("doc_id", F.explode(lines.content_lines(body)).alias("line"))
-    keyed = found.select(
-        "doc_id", F.lower(F.substring_index("line", " ", 1)).alias("key"), count_chars(F.col("line"), "A-Za-z").cast("bigint").alias("letters")
-    )
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("letters").alias("letters"), F.count("*").alias("lines"))
+    found = docs.select("doc_id", F.posexplode(lines.content_lines(body)).alias("at", "line"))
+    keyed = found.select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "line", F.lower(F.substring_index("line", " ", 1)).alias("key"))
+    return running.best_per_key(keyed, "key", "line", "doc_id", "pos")
 
 
 NEIGHBOURS = [
