@@ -129,12 +129,12 @@ def mail_texts(spark, sf_dir):
 
 @query(
     "src_25_changed_files",
-    """SELECT event_id FROM events WHERE event_id % 3 <> 0 OR ts >= (SELECT max(ts) FROM events WHERE event_id = 5000) - INTERVAL 1 SECOND""",
+    """SELECT event_id FROM events WHERE event_id % 3 <> 0 OR ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY - INTERVAL 1 SECOND""",
 )
 def changed_files(spark, sf_dir):
-    """Events stand in for files: a third is known from before, later ones were touched since."""
+    """Events stand in for files: a third is known from before, those of the last seven days were touched since."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("path"), F.col("ts").alias("modificationTime"))
-    started = events.filter("event_id = 5000").select(F.max("modificationTime")).scalar()
+    started = events.select(F.max("modificationTime") - F.expr("INTERVAL 7 DAYS")).scalar()
     listed = events.withColumn("started", started)
     known = events.filter(F.col("event_id") % 3 == 0)
     return files.changed_files(listed, known, F.col("started")).select("event_id")
