@@ -55,7 +55,7 @@ _KIND_PATTERNS = {kind: re.compile(rf"(?:^|[_-])(?:{words})(?=$|[_-])", re.I) fo
 _WHOLE_PATTERNS = {kind: re.compile(words, re.I) for kind, words in KINDS.items()}
 _ANY_KIND = re.compile("|".join(KINDS.values()), re.I)
 #: Class words that tell of a layout or a state of the page, and a title block's class words; neither is boilerplate.
-_STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|show|single)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off|allowed|active|left|right|none)", re.I)
+_STATE = re.compile(r"(?:no|not|has|have|with|without)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|allowed)", re.I)
 _TITLE_BLOCK = re.compile(r"(?:entry|post|article|story|content|blog|chapter|section)[_-]+header(?:[_-].*)?", re.I)
 #: Never boilerplate by class or id; an ``article`` is by a class of one whole word (a reader's comment, say).
 _UNBANNED = {"html", "body", "main"}

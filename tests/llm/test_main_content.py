@@ -70,7 +70,7 @@ def test_layout_words_are_no_boilerplate():
 
 def test_named_boilerplate_still_goes():
     page = "<article><p>Kept words of the article.</p><div class='{}'>Left out</div></article>"
-    for name in ("ad", "post-comments", "sidebar", "sidebar-left widget", "cookie-notice", "site-header", "x related-posts"):
+    for name in ("ad", "post-comments", "sidebar", "sidebar-left", "ad-right", "single-comment", "nav-active", "cookie-notice", "site-header", "x related-posts"):
         assert main.extract(page.format(name), {}) == ("Kept words of the article."), name
     replies = "<article><p>Kept words of the article.</p></article><div class=comments><article class=comment><p>I disagree</p></article></div>"
     assert main.extract(replies, {}) == "Kept words of the article."
