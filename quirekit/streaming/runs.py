@@ -12,13 +12,15 @@ from quirekit.session import ensure_checkpoint_dir
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files named ``name*.parquet`` in a folder as a stream; ``files_per_trigger`` paces it (STM-07)."""
-    pattern = f"{name}*.parquet"
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Tables named ``name*.parquet`` in a folder, files or folders of part files, as a stream.
+
+    ``files_per_trigger`` paces it (STM-07). A name filter would be held against the part files, so the path has the pattern.
+    """
+    pattern = f"{folder}/{name}*.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(pattern).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(pattern)
 
 
 def work_folder(spark: SparkSession) -> str:

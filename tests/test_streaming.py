@@ -205,3 +205,30 @@ def test_cache_evicts_the_least_recently_used(spark, tmp_path):
     assert {r.place: (r.hit, r.evicted) for r in got} == want
     assert any(hit for hit, _ in want.values()) and any(gone for _, gone in want.values())
     assert state_rows(spark, f"{tmp_path}/work", "kept") == 7 == state_rows(spark, f"{tmp_path}/work", "order")
+
+
+def test_tables_as_folders_of_part_files(spark, tmp_path):
+    """A table is one file or a folder of part files; a stream reads either, and later parts too, paced or not."""
+    rows = [(i, f"text {i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    frame.limit(0).write.parquet(f"{tmp_path}/pages.parquet")
+    read = lambda pace=None: runs.read_stream(spark, str(tmp_path), "documents", pace)
+    for pace in (None, 1):
+        got = runs.run_available(read(pace), f"{tmp_path}/work{pace}")
+        assert sorted(map(tuple, got.collect())) == rows
+    spark.createDataFrame([(30, "late")], frame.schema).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert runs.run_available(read(), f"{tmp_path}/workNone").count() == 31
+    whole = chunks.assemble(chunks.to_chunks(read(), "doc_id", F.col("text"), 3))
+    assert sorted(map(tuple, runs.run_available(whole, f"{tmp_path}/whole").collect())) == [*rows, (30, "late")]
+
+
+def test_stream_queries_read_folders_of_part_files(spark, tmp_path):
+    import __spark_entry__ as entry_module
+
+    sf = "/root/testdata/sf0.001"
+    for name, key in (("documents", "doc_id"), ("pages", "page_id")):
+        spark.read.parquet(f"{sf}/{name}.parquet").filter(F.col(key) % 10 == 3).repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    queries = entry_module.queries()
+    for name in ("stm_02_stateless_clean", "stm_06_stream_cache_keys", "stm_06_lru_cache"):
+        assert queries[name](spark, str(tmp_path)).count() > 0
