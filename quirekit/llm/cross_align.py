@@ -318,29 +318,34 @@ def _links(batch: pa.RecordBatch, row: int, kind) -> tuple[np.ndarray, np.ndarra
     return counts, a, b, same
 
 
+def _counted(batches: Iterator[pa.RecordBatch], kind, identity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``block, code, n`` of blocks."""
+    # Blocks are all that is needed from here on: the worker lets go of tokenizers and units.
+    aligner.cache_clear()
+    vector = np.zeros(len(identity), np.int64)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            counts, a, b, same = _links(batch, row, kind)
+            times = np.repeat(np.bincount(from_planes(batch.column("units")[row].as_py()), minlength=len(counts)), counts)
+            np.add.at(vector, a[same], times[same])
+            codes, inverse = np.unique(a[~same] << 32 | b[~same], return_inverse=True)
+            n = np.zeros(len(codes), np.int64)
+            np.add.at(n, inverse.ravel(), times[~same])
+            number = batch.column("block")[row].as_py()
+            yield pa.record_batch([pa.array(np.full(len(codes), number, np.int64)), pa.array(codes), pa.array(n)], ["block", "code", "n"])
+    held = np.flatnonzero(vector)
+    yield pa.record_batch([pa.nulls(len(held), pa.int64()), pa.array(held << 32 | identity[held]), pa.array(vector[held])], ["block", "code", "n"])
+
+
 def count_pairs(blocks: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``block, code, n``: pairs of irregular groups by block; pairs of the identity map by task, without a block.
 
     A code is the id of A times 2^32 and the id of B.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(a_path, b_path)
-        vector = np.zeros(len(known.a_bytes), np.int64)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                counts, a, b, same = _links(batch, row, known.kind)
-                times = np.repeat(np.bincount(from_planes(batch.column("units")[row].as_py()), minlength=len(counts)), counts)
-                np.add.at(vector, a[same], times[same])
-                codes, inverse = np.unique(a[~same] << 32 | b[~same], return_inverse=True)
-                n = np.zeros(len(codes), np.int64)
-                np.add.at(n, inverse.ravel(), times[~same])
-                number = batch.column("block")[row].as_py()
-                yield pa.record_batch([pa.array(np.full(len(codes), number, np.int64)), pa.array(codes), pa.array(n)], ["block", "code", "n"])
-        held = np.flatnonzero(vector)
-        yield pa.record_batch([pa.nulls(len(held), pa.int64()), pa.array(held << 32 | known.identity[held]), pa.array(vector[held])], ["block", "code", "n"])
-
-    return blocks.select("block", "units", "link_counts", "link_a", "link_b", "link_same").mapInArrow(run, "block long, code long, n long")
+    known = Aligner(a_path, b_path)
+    kind, identity = known.kind, known.identity
+    return blocks.select("block", "units", "link_counts", "link_a", "link_b", "link_same").mapInArrow(
+        lambda batches: _counted(batches, kind, identity), "block long, code long, n long")
 
 
 class Alignment:
@@ -371,15 +376,16 @@ class Alignment:
         codes = spark.createDataFrame([(int(c),) for c in mapped << 32 | known.identity[mapped]], "code long")
         for row in self.totals.join(F.broadcast(codes), "code").collect():
             vector[row.code >> 32] = row.n
+        kind = known.kind
         del known
         sizes = spark.sparkContext.broadcast((most, vector))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = aligner(*paths)
+            aligner.cache_clear()
             most, vector = sizes.value
             for batch in batches:
                 for row in range(batch.num_rows):
-                    counts, a, b, same = _links(batch, row, known.kind)
+                    counts, a, b, same = _links(batch, row, kind)
                     total = np.where(same, vector[a], 0)
                     got = batch.column("pairs")[row]
                     if got.is_valid:

@@ -129,3 +129,17 @@ def test_identity_map(libraries):
     for i in range(0, len(known.a_bytes), 97):
         j = known.identity[i]
         assert known.b_bytes[j] == known.a_bytes[i] if j >= 0 else known.a_bytes[i] not in known.b_bytes
+
+
+def test_counting_lets_go_of_the_tokenizers():
+    """A worker that has encoded keeps neither tokenizers nor units while it counts; blocks and the identity map suffice."""
+    import pyarrow as pa
+
+    known = cross_align.aligner(A, B)
+    block = cross_align.Block(known)
+    block.add(pa.array([1, 2]), ["some words, some unusual wordlings", "some more"])
+    rows = [block.row(0)]
+    assert cross_align.aligner.cache_info().currsize == 1
+    got = [r for batch in cross_align._counted(iter(rows), known.kind, known.identity) for r in batch.to_pylist()]
+    assert cross_align.aligner.cache_info().currsize == 0
+    assert sum(r["n"] for r in got) == sum(v.sum() for v in (s[3] for s in block.sums)) and {r["block"] for r in got} <= {0, None}
