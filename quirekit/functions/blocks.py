@@ -33,7 +33,8 @@ def _legal_facts(label: Column) -> Column:
 
 def block(before: Column, raw: Column) -> Column:
     """A block and its facts from its source; ``before`` is the white space in front of it."""
-    name = F.lower(F.regexp_extract(raw, r"\A<([A-Za-z0-9]+)", 1))
+    # Lower-casing costs more than a look-up, and most names are lower case.
+    name = let(F.regexp_extract(raw, r"\A<([A-Za-z0-9]+)", 1), lambda n: F.when(n.isin(*HELD, *FLOW), n).otherwise(F.lower(n)))
 
     def shape(x: Column) -> Column:
         inner = F.when(x.isin(FLOW), F.regexp_extract(raw, r"(?is)\A<[^>]*>(.*)</[^>]*>\z", 1)).otherwise("")

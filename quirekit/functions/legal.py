@@ -47,7 +47,8 @@ def wants_number(label: Column) -> Column:
             F.element_at(w, -1).rlike(r"\A[0-9a-z.()/-]*[0-9][0-9a-z.()/-]*\z") & F.coalesce(F.try_element_at(w, F.lit(-2)).isin(REFERRING), F.lit(False))
             & (F.size(bare) < F.size(words))))
 
-    return let(F.split(F.lower(label), " "), test)
+    # The last three words decide.
+    return let(F.split(F.lower(F.substring_index(label, " ", -3)), " "), test)
 
 
 def split_references(blocks: Column) -> Column:

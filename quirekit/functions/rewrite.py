@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 Rule = tuple[str, str]
 BLANKS = " \t\n\r\x0b\f"
-BLANK_RUN = r"[\s\x{A0}]+"  # no-break spaces count as blanks
+# No-break spaces count as blanks. A lone space is no match: it stays as it is, and most runs are one.
+BLANK_RUN = r"[\t\n\x0B\f\r\x{A0}][\s\x{A0}]*| [\s\x{A0}]+"
 
 
 def java_replacement(replacement: str) -> str:

@@ -153,3 +153,29 @@ def test_overlay_last_wins(spark):
     base, over = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))
     row = spark.range(1).select(state.canonical_json(state.overlay(base, over)).alias("r")).first()
     assert row.r == '{"a":"1","b":"3"}'
+
+
+def test_shared_text_steps_leave_plain_text_alone(apply):
+    """A lone space is no match of the blank pattern; texts with and without entities, tags and odd characters come out as before."""
+    import re
+
+    from quirekit.functions import fixed
+    from quirekit.functions.rewrite import BLANK_RUN, squash
+
+    assert re.search(BLANK_RUN.replace(r"\x{A0}", r"\xa0"), "words with lone spaces") is None
+    blanks = ["a b", " a  b ", "a b", "a   b", "a\n\tb \n c", " ", "", None, "a\r\n", "a \x0b\x0cb"]
+    assert apply(squash, blanks) == [v if v is None else re.sub(r"[ \t\n\r\x0b\x0c\xa0]+", " ", v).strip(" \t\n\r\x0b\x0c") for v in blanks]
+    values = ["plain", "R&amp;D &lt;b&gt;", "&amp;lt;", "<p>a<br/>b</p>", "it’s â€œso”", "café Â x", "a & b", "a < b > c", "", None]
+
+    def by_hand(value):
+        if value is None:
+            return None
+        value = re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<br\s*/?>", " ", value))
+        for old, new in fixed.HTML_ENTITIES:
+            value = value.replace(old, new)
+        value = re.sub(r"[ \t\n\r\x0b\x0c\xa0]+", " ", value).strip(" \t\n\r\x0b\x0c")
+        for old, new in fixed.TEXT_ARTIFACTS:
+            value = value.replace(old, new)
+        return value
+
+    assert apply(text.strip_tags, values) == [by_hand(v) for v in values]
