@@ -8,17 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirekit.session import ensure_checkpoint_dir
-
-#: Bytes of a batch sent to a Python worker; one longer row still makes a batch of its own.
-BATCH_BYTES = 4 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Limit Arrow batches by bytes, since texts differ a thousandfold in length."""
-    if int("".join(c for c in str(spark.conf.get(_BATCH_CONF)) if c.isdigit()) or 0) != size:
-        spark.conf.set(_BATCH_CONF, str(size))
+from quirekit.session import bounded_batches, ensure_checkpoint_dir
 
 
 def texts_of(frame: DataFrame, *keep: str, text: str = "text") -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirekit.session import bounded_batches
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table; what is sent of it to Python workers goes in batches of bounded bytes."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

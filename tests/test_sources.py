@@ -147,3 +147,21 @@ def test_damaged_files_are_rows_of_their_own(spark, tmp_path):
     assert "a=1" in got["table.csv"][0] and got["table.csv"][1] is None
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan binaryFile") == 1
+
+
+def test_long_rows_go_to_python_in_small_batches(spark, tmp_path):
+    """Rows of tables are sent to Python workers by bytes, not by a number of rows whatever their length."""
+    from pyspark.sql import functions as F
+
+    from quirekit.sources.tables import read_table
+
+    @F.pandas_udf("long", F.PandasUDFType.SCALAR)
+    def batch_rows(text):
+        return text.map(lambda _: len(text))
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("x"), 100_000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = read_table(spark, str(tmp_path), "documents").coalesce(1).select(batch_rows("text").alias("n"))
+    row = got.agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
+    assert row.rows == 300 and row.most <= 60
