@@ -9,14 +9,31 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Rule = tuple[str, str]
 BLANKS = " \t\n\r\x0b\f"
-# No-break spaces count as blanks. A lone space is no match: it stays as it is, and most runs are one.
-BLANK_RUN = r"[\t\n\x0B\f\r\x{A0}][\s\x{A0}]*| [\s\x{A0}]+"
+# No-break spaces count as blanks. A lone space is no match: it stays as it is, and most runs are one. The pattern begins
+# with one class, as choices would be tried at every character.
+_BLANK = r"[ \t\n\x0B\f\r\x{A0}]"
+BLANK_RUN = rf"{_BLANK}(?<! (?!{_BLANK})){_BLANK}*"
+
+
+class RuleIn(tuple):
+    """A rule for texts that hold one of ``needs``, which every match must hold: literals, or one pattern.
+
+    Substring tests are many times cheaper than patterns. To ``rewrite`` and the SQL helpers it is a rule like any other.
+    """
+
+    needs: list[str] | str
+
+    def __new__(cls, needs: list[str] | str, pattern: str, replacement: str) -> RuleIn:
+        rule = super().__new__(cls, (pattern, replacement))
+        rule.needs = needs
+        return rule
 
 
 def java_replacement(replacement: str) -> str:
@@ -35,11 +52,33 @@ def let(value: Column, fn) -> Column:
 
 
 def rewrite(col: Column, rules: Iterable[Rule]) -> Column:
+    groups = [(needs, list(group)) for needs, group in groupby(rules, key=lambda rule: getattr(rule, "needs", None))]
+    if all(needs is None for needs, _ in groups):
+        return reduce(_chain, [group for _, group in groups], col)
+    # Rules side by side with the same needs are skipped together: none of them can match before another has.
+    # The value stays in its array from group to group, which keeps the tree as flat as without needs.
+    held = F.array(col)
+    for needs, group in groups:
+        held = F.transform(held, _only(needs, group))
+    return held[0]
+
+
+def _chain(col: Column, rules: list[Rule]) -> Column:
     for pattern, replacement in rules:
         col = F.regexp_replace(col, F.lit(pattern), F.lit(java_replacement(replacement)))
     return col
 
 
+def _only(needs: list[str] | str | None, rules: list[Rule]):
+    """The rules, in texts that hold their needs."""
+    return lambda x: _chain(x, rules) if needs is None else F.when(holds(x, needs), _chain(x, rules)).otherwise(x)
+
+
+def holds(col: Column, needs: Iterable[str] | str) -> Column:
+    """Whether a text holds one of the literals, or matches the pattern."""
+    return col.rlike(needs) if isinstance(needs, str) else reduce(lambda a, b: a | b, [F.contains(col, F.lit(n)) for n in needs])
+
+
 def rewrite_first(col: Column, pattern: str, replacement: Column | str) -> Column:
     """Replace the first match only. A column replacement is taken literally."""
     if isinstance(replacement, str):
@@ -59,11 +98,14 @@ def rewrite_if(col: Column, hints: Iterable[str], fn) -> Column:
     skip the chain. Every text ``fn`` can change must hold a hint.
     """
 
+    # Hints without letters need no text in lower case.
+    hints = list(hints)
+    bare, worded = ([h for h in hints if (h.upper() != h) is cased] for cased in (False, True))
+
     def run(body: Column) -> Column:
-        found = let(
-            F.lower(body), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(hint)) for hint in hints])
-        )
-        return F.when(found, fn(body)).otherwise(body)
+        found = [holds(body, bare)] if bare else []
+        found += [let(F.lower(body), lambda low: holds(low, worded))] if worded else []
+        return F.when(reduce(lambda a, b: a | b, found), fn(body)).otherwise(body)
 
     return let(col, run)
 

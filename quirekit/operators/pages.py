@@ -125,9 +125,7 @@ def keep_unless_shrunk(
     raw: Column, cleaned: Column, raw_visible: Column, cleaned_visible: Column, min_chars: int = 1
 ) -> Column:
     """FLT-21: a clean-up that loses too much visible text is not taken; ``min_chars`` exempts short texts."""
-    lost = (F.length(raw_visible) >= min_chars) & (
-        F.length(cleaned_visible) < fixed.SHRINK_MIN_RATIO * F.length(raw_visible)
-    )
+    lost = let(F.length(raw_visible), lambda n: (n >= min_chars) & (F.length(cleaned_visible) < fixed.SHRINK_MIN_RATIO * n))
     return F.when(lost, raw).otherwise(cleaned)
 
 
