@@ -89,15 +89,23 @@ def profile_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "profile string, rank int, glossary string")
 
 
+def _from_first_letter(letter: str, abbreviations: list[str]) -> str:
+    """One choice of the pattern: initials first, other abbreviations in any case, all of them beginning with a letter."""
+    initials = [r"\.?".join(["", *a[1:]]) for a in abbreviations if is_initials(a)]
+    words = [re.escape(a[1:]) for a in abbreviations if not is_initials(a)]
+    choices = [re.escape(letter.upper()) + f"(?:{'|'.join(initials)})"] if initials else []
+    return "|".join(choices + ([f"(?i:{re.escape(letter)}(?:{'|'.join(words)}))"] if words else []))
+
+
 def expand_with(col: Column, entries: list[Entry]) -> Column:
     """STR-30: expand the text between tags in one pass; tags stay untouched.
 
     All abbreviations are one literal pattern, and a map gives the wording of what it finds: initials by their letters,
     other abbreviations by their lower-case form.
     """
-    initials = sorted((a for a, _ in entries if is_initials(a)), key=lambda a: (-len(a), a))
-    words = sorted((a for a, _ in entries if not is_initials(a)), key=lambda a: (-len(a), a))
-    choices = [r"\.?".join(a) for a in initials] + ([f"(?i:{'|'.join(map(re.escape, words))})"] if words else [])
+    longest = sorted((a for a, _ in entries), key=lambda a: (not is_initials(a), -len(a), a))
+    choices = [_from_first_letter(letter, [a for a in longest if a[0].lower() == letter]) for letter in sorted({a[0].lower() for a in longest})]
+    first = "".join(sorted({form for a in longest for form in ({a[0]} if is_initials(a) else {a[0].lower(), a[0].upper()})}))
     wording = literal_map({a if is_initials(a) else a.lower(): w for a, w in reversed(entries)})
 
     def worded(match: Column) -> Column:
@@ -105,9 +113,9 @@ def expand_with(col: Column, entries: list[Entry]) -> Column:
         return F.coalesce(wording[letters], wording[F.lower(letters)], match)
 
     def expand(segment: Column) -> Column:
-        return map_matches(segment, rf"\b(?:{'|'.join(choices)})\b\.?", worded)
+        return map_matches(segment, rf"(?=[{re.escape(first)}])\b(?:{'|'.join(choices)})\b\.?", worded)
 
-    return map_between(col, r"<[^>]+>", expand)
+    return let(col, lambda body: F.when(F.contains(body, F.lit("<")), map_between(body, r"<[^>]+>", expand)).otherwise(expand(body)))
 
 
 def expand_abbreviations(col: Column, profile: Column, extra: list[Entry] = ()) -> Column:

@@ -179,3 +179,38 @@ def test_shared_text_steps_leave_plain_text_alone(apply):
         return value
 
     assert apply(text.strip_tags, values) == [by_hand(v) for v in values]
+
+
+def test_rules_skipped_without_their_needs_lose_no_match(apply):
+    from quirekit.functions import html, text
+    from quirekit.functions.rewrite import RuleIn, rewrite
+
+    rules = [*text.PUNCTUATION_RULES, *text.CURRENCY_RULES, *text.LABEL_HTML_RULES, *text.REFUSAL_RULES, *html.FENCE_RULES, *html.ATTRIBUTE_RULES]
+    held = [rule for rule in rules if isinstance(rule, RuleIn)]
+    assert len(held) > 25
+    given = [
+        "Main-ROAD.- bay-Street ,- a,-b £3/4/- 7/- £9", "<H2 a>Source  Page 3, strip 4</H2> STRIPE 5 Text LAYER fallback [x]",
+        "<p data-STRIP='a' style=\"b\" ID='c'>[ x ]</p><STYLE>y</STYLE><Script>z</sCript>", "```HTML\n<!doctype x><?XML y><b>c</b>\n``` ",
+        "I AM unable to Provide a transcription because the image is completely blank. == end of OCR for page 3 ==\n[Original Page Number: 7]\n7\n", "plain words",
+    ]
+    for rule in held:
+        assert apply(lambda c, r=rule: rewrite(c, [r]), given) == apply(lambda c, r=rule: rewrite(c, [tuple(r)]), given), rule
+
+
+def test_blank_runs_are_found_by_one_class():
+    from quirekit.functions.rewrite import BLANK_RUN
+
+    # Choices at the head are tried at every character of a text.
+    assert "|" not in BLANK_RUN
+    java = BLANK_RUN.replace(r"\x{A0}", r"\xa0")
+    given = " a  b\tc \n d\xa0e\xa0 f g \x0b"
+    assert re.sub(java, " ", given) == re.sub(r"[ \t\n\x0b\f\r\xa0]+", " ", given)
+
+
+def test_glossary_pattern_by_first_letter(apply):
+    from quirekit.functions.glossary import expand_with
+
+    entries = [("RAF", "Royal Air Force"), ("RA", "Royal Artillery"), ("Rd", "Road"), ("Rdx", "Road X"), ("yr", "year")]
+    given = ["R.A.F. RAF. raf R.A. rd. RDX Yr <b yr>yr</b> xrd rd9 ard", "a < b yr"]
+    assert apply(lambda c: expand_with(c, entries), given) == [
+        "Royal Air Force Royal Air Force raf Royal Artillery Road Road X year <b yr>year</b> xrd rd9 ard", "a < b year"]
