@@ -96,7 +96,8 @@ def sanitize_output(frame: DataFrame, column: str, fmt: Column, profile: Column,
     markup = F.lower(fmt).isin("html", "epub")
     kept = F.coalesce(preserve_pages, F.lit(False)) if preserve_pages is not None else F.lit(False)
     plain = lambda body: text.sanitize_plain(body, fmt)
-    cleaned = staged(frame, column, [(lambda body: F.when(markup, html.sanitize_html(body)).otherwise(plain(body))) if pages else plain])
+    passes = [lambda body, step=step: F.when(markup, step(body)).otherwise(body) for step in html.SANITIZE_PASSES]
+    cleaned = staged(frame, column, [*passes, lambda body: F.when(markup, body).otherwise(plain(body))] if pages else [plain])
     ruled = apply_contract(cleaned, column, markup & (F.lower(profile) == "legal")) if pages else cleaned
     book = ~markup & (F.lower(profile) == "book")
     return staged(ruled, column, [lambda body: F.when(book & kept, text.book_text(body, True)).when(book, text.book_text(body)).otherwise(body)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirekit.functions import fixed, html, qa, text
 from quirekit.functions.lines import content_lines
 from quirekit.functions.rewrite import squash
-from quirekit.operators.documents import normalize_documents
+from quirekit.operators.documents import normalize_documents, staged
 from quirekit.plans.inputs import pick, sql_pick
 from quirekit.plans.registry import (
     inject, query, quote, re2, sql_case, sql_inject, sql_replace, sql_rewrite, sql_squash, sql_strip, table, text_table,
@@ -358,7 +358,11 @@ def normalized_document(spark, sf_dir):
     return normalize_documents(doc_html(spark, sf_dir)).withColumnRenamed("html", "result")
 
 
-_on_docs("str_16_sanitize_html", html.sanitize_html)
+@query("str_16_sanitize_html")
+def sanitized_html(spark, sf_dir):
+    return staged(doc_html(spark, sf_dir).withColumnRenamed("html", "result"), "result", html.SANITIZE_PASSES)
+
+
 _on_docs(
     "str_17_heading_breaks",
     html.flatten_heading_breaks,
