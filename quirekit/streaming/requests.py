@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,23 +36,25 @@ class _Waits(StatefulProcessor):
             return started + self.wall_ms, "wall"
         return stall, "stall"
 
-    def _end(self, key, started: int, last: int, chunks: int) -> tuple:
-        at, kind = self._due(started, last)
-        return key[0], kind, pd.Timestamp(started, unit="ms"), pd.Timestamp(last, unit="ms"), pd.Timestamp(at, unit="ms"), chunks
+    def _end(self, started: int, last: int, chunks: int) -> tuple:
+        return started, last, *self._due(started, last), chunks
 
-    def _rows(self, ended: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _rows(self, key, ended: list[tuple]) -> Iterator[pd.DataFrame]:
         if ended:
-            yield pd.DataFrame(ended, columns=["key", "kind", "started", "last", "at", "chunks"])
+            # Times are made column by column; one object for each would cost more than the rest of the work.
+            started, last, at, kind, chunks = zip(*ended, strict=True)
+            started, last, at = (np.array(ms, "datetime64[ms]").astype("datetime64[ns]") for ms in (started, last, at))
+            yield pd.DataFrame({"key": key[0], "kind": kind, "started": started, "last": last, "at": at, "chunks": chunks})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = sorted(t for page in rows for t in page["at_ms"].tolist())
-        started, last, chunks = self.open.get() if self.open.exists() else (None, None, 0)
+        started, last, chunks = self.open.get() or (None, None, 0)
         if started is not None:
             self.handle.deleteTimer(self._due(started, last)[0])
         ended = []
         for time in times:
             if started is not None and time >= self._due(started, last)[0]:
-                ended.append(self._end(key, started, last, chunks))
+                ended.append(self._end(started, last, chunks))
                 started = None
             if started is None:
                 started, last, chunks = time, time, 0
@@ -60,16 +63,17 @@ class _Waits(StatefulProcessor):
         if started is not None:
             self.open.update((started, last, chunks))
             self.handle.registerTimer(self._due(started, last)[0])
-        yield from self._rows(ended)
+        yield from self._rows(key, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ended = []
-        if self.open.exists():
-            started, last, chunks = self.open.get()
+        held = self.open.get()
+        if held is not None:
+            started, last, chunks = held
             if self._due(started, last)[0] <= expiredTimerInfo.getExpiryTimeInMs():
-                ended.append(self._end(key, started, last, chunks))
+                ended.append(self._end(started, last, chunks))
                 self.open.clear()
-        yield from self._rows(ended)
+        yield from self._rows(key, ended)
 
     def close(self) -> None:
         pass
