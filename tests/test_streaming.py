@@ -240,7 +240,7 @@ def test_ended_requests_are_built_by_column():
 
     waits = _Waits(120_000, 180_000)
     [frame] = waits._rows(("a",), [waits._end(1_500, 2_250, 2), waits._end(0, 170_000, 9)])
-    assert frame.columns == ["key", "kind", "started", "last", "at", "chunks"]
+    assert list(frame.columns) == ["key", "kind", "started", "last", "at", "chunks"]
     assert [str(frame[c].dtype) for c in ("started", "last", "at")] == ["datetime64[ns]"] * 3
     assert frame["key"].tolist() == ["a", "a"] and frame["kind"].tolist() == ["stall", "wall"] and frame["chunks"].tolist() == [2, 9]
     assert [t.value // 1_000_000 for t in frame["at"]] == [122_250, 180_000] and frame["started"][0].value == 1_500 * 1_000_000
