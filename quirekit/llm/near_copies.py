@@ -1,15 +1,21 @@
 """Near-duplicate documents by the general rule: at least 0.8 of their 5-word shingles shared.
 
 Two texts are linked if the Jaccard similarity of their sets of word shingles is ``SIMILAR`` or more; components come
-from the links. At that similarity about 15 % of a SimHash's bits differ, whatever its width, which is too many for keys
-made of bits. Candidates come from least hash values instead: ``BANDS`` bands of ``WIDTH`` values each key a bucket, so
-that a pair at 0.8 is missed by all bands with a chance of 1.5e-5 and a closer one more rarely. Every link is verified
-on the whole shingle sets; nothing is linked by an estimate.
+from the links. Every link is verified on the whole shingle sets; nothing is linked by an estimate.
+
+The SimHash search comes first: a fingerprint of each shingle set, the pivot tables of ``simhash_pivots`` over the
+fingerprints, and groups of sets whose fingerprints hang together. A set is compared with the others of its cell and
+with the least set of its group, which is in every cell, so a group costs a row a set however large it is.
+
+Fingerprints within the radius are the closest pairs only: at a similarity of 0.8 about 15 % of a SimHash's bits differ,
+whatever its width, which is too many for keys made of bits. The pairs that are left are found by least hash values:
+``BANDS`` bands of ``WIDTH`` values each key a bucket, so that a pair at 0.8 is missed by all bands with a chance of
+1.5e-5 and a closer one more rarely. Only buckets count that still hold several components: those the SimHash search has
+made one are not compared again, and the first ``EARLY`` bands are searched before the others. Large buckets are cut into
+cells as in ``simhash_pivots``.
 
 Equal shingle sets are one row of the search, buckets with the same rows are searched once, and a bucket returns a star
-for each of its components. The first ``EARLY`` bands are searched before the others, of which then only the buckets
-that still hold several components count, so that a large group of copies is not compared again in each band. Large
-buckets are cut into cells as in ``simhash_pivots``.
+for each of its components.
 
 Defined cases: texts without words (null, empty, blank) are alike; a text of fewer than five words is one shingle; else
 as in ``simhash_pivots``.
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quirekit.llm import simhash_pivots
 from quirekit.llm.common import checkpointed, seed_of, texts_of, unused
-from quirekit.llm.simhash_pivots import components, mark_of, split_buckets, whole_cells
+from quirekit.llm.simhash_pivots import components, links, majority_bits, mark_of, split_buckets, whole_cells
 from quirekit.llm.wordhash import mix, shingle_hashes, slices, words_of
 
 #: Words a shingle; least similarity as a fraction.
@@ -71,7 +77,7 @@ def band_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def print_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``mark`` (a hash of the text), ``fp`` (a hash of its shingle set) and ``bands``, empty without words."""
+    """``doc_id``, ``mark`` (a hash of the text), ``fp`` (a hash of its shingle set), the set's ``simhash``, and ``bands``, empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -80,10 +86,23 @@ def print_documents(docs: DataFrame) -> DataFrame:
                 keys = pa.array(band_keys(values, first).reshape(-1))
                 ends = np.r_[0, np.cumsum((np.diff(first) > 0) * BANDS)].astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), keys)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(set_prints(values, first)), bands], ["doc_id", "mark", "fp", "bands"])
+                simhash = pa.array(majority_bits(values, first).view(np.int64))
+                yield pa.record_batch(
+                    [batch.column(0), batch.column(1), pa.array(set_prints(values, first)), simhash, bands], ["doc_id", "mark", "fp", "simhash", "bands"])
 
     marked = docs.select(F.col("doc_id").cast("long"), mark_of("text").alias("mark"), "text")
-    return texts_of(marked, "doc_id", "mark").mapInArrow(run, "doc_id long, mark long, fp long, bands array<long>")
+    return texts_of(marked, "doc_id", "mark").mapInArrow(run, "doc_id long, mark long, fp long, simhash long, bands array<long>")
+
+
+def simhash_cells(distinct: DataFrame) -> DataFrame:
+    """``(bucket, cell, fp)`` of the groups of several sets whose fingerprints hang together; a group's least set is in each of its cells."""
+    sets = distinct.where(F.size("bands") > 0).select("fp", "simhash")
+    roots = components(links(sets.select(F.col("simhash").alias("fp")).distinct()))
+    rows = sets.join(roots, sets.simhash == roots.u, "left").select(F.coalesce("root", "simhash").alias("bucket"), "fp")
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    cells = F.when(F.col("fp") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), parts).cast("int")))
+    return rows.join(groups, "bucket").select("bucket", F.explode(cells).alias("cell"), "fp")
 
 
 def shared_buckets(distinct: DataFrame) -> DataFrame:
@@ -153,25 +172,29 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(fps[linked]), pa.array(label[linked])], ["u", "v"])
 
 
+def found_in(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Star edges ``(u, v)`` between the similar sets of each cell of ``bucket, cell, fp, root``."""
+    whole = cells.join(sets, "fp").select("bucket", "cell", "fp", "root", "shingles")
+    return whole.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_search, "u long, v long").distinct()
+
+
 def named_components(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """``fp, root`` of every distinct shingle set."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
-    distinct = checkpointed(prints.groupBy("fp").agg(first, F.first("bands").alias("bands")))
+    distinct = checkpointed(prints.groupBy("fp").agg(first, F.first("simhash").alias("simhash"), F.first("bands").alias("bands")))
+    groups = checkpointed(simhash_cells(distinct))
     buckets = checkpointed(shared_buckets(distinct))
-    wanted = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("first.doc_id", "first.mark")
+    wanted = distinct.join(groups.select("fp").union(buckets.select("fp")).distinct(), "fp", "left_semi").select("first.doc_id", "first.mark")
     sets = checkpointed(sets_of(docs, wanted))
-    edges, rows = None, buckets.withColumn("root", F.col("fp"))
-    for late in (False, True):
-        part = rows.where((F.col("band") >= EARLY) == F.lit(late)).select("bucket", "fp", "root")
-        if late:
-            open_ = part.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z")
-            part = part.join(open_.select("bucket"), "bucket", "left_semi")
-        cells = split_buckets(part, CHUNK).join(sets, "fp").select("bucket", "cell", "fp", "root", "shingles")
-        found = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_search, "u long, v long").distinct()
-        edges = found if edges is None else edges.union(found)
-        edges = checkpointed(edges)
+    edges = checkpointed(found_in(groups.withColumn("root", F.col("fp")), sets))
+    for low, high in ((0, EARLY), (EARLY, BANDS)):
         roots = components(edges)
-        rows = buckets.join(roots, buckets.fp == roots.u, "left").select("bucket", "band", "fp", F.coalesce("root", "fp").alias("root"))
+        part = buckets.where((F.col("band") >= low) & (F.col("band") < high)).join(roots, buckets.fp == roots.u, "left")
+        part = part.select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
+        open_ = part.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z")
+        cells = split_buckets(part.join(open_.select("bucket"), "bucket", "left_semi"), CHUNK)
+        edges = checkpointed(edges.union(found_in(cells, sets)))
+    roots = components(edges)
     return distinct.join(roots, distinct.fp == roots.u, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

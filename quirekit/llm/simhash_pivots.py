@@ -54,9 +54,8 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     words = words_of(column)
     at, begin = shingle_starts(words.first, SHINGLE)
     last = np.minimum(at + SHINGLE, np.repeat(words.first[1:], np.diff(begin))) - 1
-    out = np.zeros(len(column), np.uint64)
     if not len(at):
-        return out
+        return np.zeros(len(column), np.uint64)
     # Words side by side with one space between them, so that a shingle is one run of bytes.
     lengths = words.ends - words.starts
     to = np.zeros(len(lengths) + 1, np.int64)
@@ -66,7 +65,14 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     joined[np.repeat(to[:-1], lengths) + spread] = words.data[np.repeat(words.starts, lengths) + spread]
     view, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.array([digest(view[a:b], SEED) for a, b in zip(to[at].tolist(), (to[last + 1] - 1).tolist())], np.uint64)
-    full = np.flatnonzero(np.diff(begin))
+    return majority_bits(hashes, begin)
+
+
+def majority_bits(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each run of hashes the 64 bits set in over half of it; 0 for an empty run. Run i is ``begin[i]`` to ``begin[i + 1]``."""
+    out, full = np.zeros(len(begin) - 1, np.uint64), np.flatnonzero(np.diff(begin))
+    if not len(full):
+        return out
     shingles = np.diff(begin)[full]
     # Two bits at a time: each half of a word counts one of them, so a single sum by text does for both.
     for low in range(32):

@@ -6,7 +6,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from quirekit.llm import near_copies
+from quirekit.llm import near_copies, simhash_pivots
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +78,24 @@ def test_odd_rows(docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == len(groups) == len(stayed)
     assert all(len({(rows[i].doc_id, rows[i].text) for i in g} & stayed) == 1 for g in groups)
     assert near_copies.one_of_each(no_docs).count() == 0
+
+
+def test_simhash_search_links_close_copies_alone(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(600)] for _ in range(30)]
+    texts = [" ".join(words) for words in base] + [swapped(words, (300,)) for words in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "shared_buckets", lambda distinct: distinct.selectExpr("0L AS bucket", "0 AS band", "fp").limit(0))
+    kept = {r.doc_id for r in near_copies.one_of_each(docs).collect()}
+    # A few pairs differ in more bits than the radius; those are the bands' part.
+    assert {min(g) for g in parts(texts)} == set(range(30)) <= kept and len(kept) <= 35
+
+
+def test_bands_compare_only_what_the_simhash_search_left(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    texts = [swapped(base, (i,)) for i in range(50, 4000, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "CHUNK", 3)
+    monkeypatch.setattr(near_copies, "split_buckets", lambda rows, chunk: seen.append(rows.count()) or simhash_pivots.split_buckets(rows, chunk))
+    assert [r.doc_id for r in near_copies.one_of_each(docs).collect()] == [0] and seen == [0, 0]
