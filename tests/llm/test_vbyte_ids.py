@@ -79,3 +79,30 @@ def test_commonest_ids_take_one_byte(spark, table, tmp_path):
             counts[i] = counts.get(i, 0) + 1
     ordered = [counts[ranks[k]] for k in range(len(ranks))]
     assert ordered == sorted(ordered, reverse=True) and set(ranks.values()) == set(counts)
+
+
+def test_words_are_encoded_without_offsets(library, monkeypatch):
+    import tokenizers
+
+    called = []
+
+    class Watched:
+        def __init__(self, inner):
+            object.__setattr__(self, "inner", inner)
+
+        @staticmethod
+        def from_file(file):
+            return Watched(Tokenizer.from_file(file))
+
+        def __getattr__(self, name):
+            called.append(name)
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Watched)
+    text = "Plain words, it's 12 of them \u0644 <|endoftext|>"
+    got = vb._encoder.__wrapped__(FILE)(["Plain words, it's 12 of them", text])
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in ("Plain words, it's 12 of them", text)]
+    assert "encode_batch_fast" in called and not {"encode", "encode_batch"} & set(called)
