@@ -148,15 +148,17 @@ def heading_levels(spark, sf_dir):
     lower(regexp_extract(head, '(?i)^({classify.STRUCTURE})\\s+{classify.REFERENCE}(\\s+.+)?$', 1)) AS kind FROM n""",
 )
 def extractors(spark, sf_dir):
-    line = F.col("line")
-    return labels(spark, sf_dir).select(
+    # The heading is worked out once a line, in a projection of its own.
+    heads = labels(spark, sf_dir).select("doc_id", "pos", classify.legal_heading(F.col("line")).alias("head"))
+    head = F.col("head")
+    return heads.select(
         "doc_id",
         "pos",
-        classify.clause_number(line).alias("clause"),
-        classify.section_number(line).alias("section"),
-        classify.prefixed_section(line)["number"].alias("prefixed"),
-        classify.prefixed_section(line)["rest"].alias("rest"),
-        classify.structure_kind(line).alias("kind"),
+        classify.clause_of(head).alias("clause"),
+        classify.section_of(head).alias("section"),
+        classify.prefix_of(head)["number"].alias("prefixed"),
+        classify.prefix_of(head)["rest"].alias("rest"),
+        classify.kind_of(head).alias("kind"),
     )
 
 

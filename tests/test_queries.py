@@ -59,3 +59,9 @@ def test_row_local_rewrites_do_not_shuffle(spark):
     frame = docs.select("doc_id", html.dedupe_paragraphs(text.modernize_punctuation(F.col("text"))).alias("r"))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_headings_are_worked_out_once(spark):
+    plan = entry_module.queries()["leg_05_extractors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    once = entry_module.queries()["leg_03_heading_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == once.count("regexp_replace(") > 0
