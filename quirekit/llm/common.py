@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quirekit.session import bounded_batches, ensure_checkpoint_dir
 
 
+#: Words of 64 bits of a bitmap of keys.
+BITMAP_WORDS = 1 << 19
+
+
 def texts_of(frame: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The named columns and the text, a null text being empty."""
     bounded_batches(frame.sparkSession)
@@ -30,6 +34,23 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def key_bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """``word, bits``: which places the hashed keys (longs) take. ``BITMAP_WORDS`` rows at most, so it can be broadcast whatever the keys."""
+    place = F.pmod(key, F.lit(64 * BITMAP_WORDS))
+    places = keys.select(F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit"))
+    return places.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+
+
+def sifted(frame: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """The frame and whether the bitmap may hold the row's key: never false for a key it holds, seldom true for another. Wide rows stay where they are."""
+    word, bits = unused(f"{name}_word", frame), unused(f"{name}_bits", frame)
+    place = F.pmod(key, F.lit(64 * BITMAP_WORDS))
+    known = F.broadcast(bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    frame = frame.join(known, F.shiftright(place, 6) == F.col(word), "left")
+    hit = F.call_function("shiftright", F.col(bits), (place % 64).cast("int")).bitwiseAND(1) == 1
+    return frame.withColumn(name, F.coalesce(hit, F.lit(False))).drop(word, bits)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

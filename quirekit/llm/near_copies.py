@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.llm import simhash_pivots
-from quirekit.llm.common import checkpointed, seed_of, texts_of, unused
-from quirekit.llm.simhash_pivots import components, links, majority_bits, mark_of, split_buckets, whole_cells
+from quirekit.llm.common import checkpointed, key_bitmap, seed_of, sifted, texts_of
+from quirekit.llm.simhash_pivots import components, key_of, links, majority_bits, mark_of, split_buckets, whole_cells
 from quirekit.llm.wordhash import mix, shingle_hashes, slices, words_of
 
 #: Words a shingle; least similarity as a fraction.
@@ -115,7 +115,11 @@ def shared_buckets(distinct: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``fp, shingles`` (64-bit hashes in order) of the wanted ``doc_id, mark``."""
+    """``fp, shingles`` (64-bit hashes in order) of the wanted ``doc_id, mark``, and of few others.
+
+    Texts are not shuffled: a bitmap of the wanted keys chooses them where they are read, and sets chosen by chance find no
+    partner in the joins that follow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -124,11 +128,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cells = pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.record_batch([pa.array(set_prints(values, first)), cells], ["fp", "shingles"])
 
-    mark, key_id, key_mark = unused("text_mark", docs), unused("kept_id", docs), unused("kept_mark", docs)
-    wanted = wanted.select(F.col("doc_id").alias(key_id), F.col("mark").alias(key_mark))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (F.col(mark) == F.col(key_mark))
-    texts = docs.select("doc_id", "text", mark_of("text").alias(mark)).join(wanted, same, "left_semi")
-    return texts_of(texts).mapInArrow(run, "fp long, shingles binary").dropDuplicates(["fp"])
+    texts = docs.select(F.col("doc_id").cast("long"), "text", mark_of("text").alias("mark"))
+    chosen = sifted(texts, key_of("doc_id", "mark"), key_bitmap(wanted, key_of("doc_id", "mark")), "chosen").where("chosen")
+    return texts_of(chosen).mapInArrow(run, "fp long, shingles binary").dropDuplicates(["fp"])
 
 
 def joined(values: np.ndarray, first: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -187,14 +189,15 @@ def named_components(docs: DataFrame, prints: DataFrame) -> DataFrame:
     wanted = distinct.join(groups.select("fp").union(buckets.select("fp")).distinct(), "fp", "left_semi").select("first.doc_id", "first.mark")
     sets = checkpointed(sets_of(docs, wanted))
     edges = checkpointed(found_in(groups.withColumn("root", F.col("fp")), sets))
+    # Only a group's least set is in several cells, and no star links it to a lesser one: these stars are components.
+    roots = edges.select("u", F.col("v").alias("root"))
     for low, high in ((0, EARLY), (EARLY, BANDS)):
-        roots = components(edges)
         part = buckets.where((F.col("band") >= low) & (F.col("band") < high)).join(roots, buckets.fp == roots.u, "left")
         part = part.select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
         open_ = part.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z")
         cells = split_buckets(part.join(open_.select("bucket"), "bucket", "left_semi"), CHUNK)
         edges = checkpointed(edges.union(found_in(cells, sets)))
-    roots = components(edges)
+        roots = components(edges)
     return distinct.join(roots, distinct.fp == roots.u, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

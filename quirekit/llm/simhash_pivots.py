@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirekit.llm.common import checkpointed, seed_of, texts_of, unused
+from quirekit.llm.common import checkpointed, key_bitmap, seed_of, sifted, texts_of, unused
 from quirekit.llm.wordhash import shingle_starts, slices, words_of
 
 SHINGLE, SEED, RADIUS, BLOCKS, PIVOTS, CHUNK = 4, 42, 4, 6, 16, 4096
@@ -102,6 +102,11 @@ def mark_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def key_of(doc_id: str, mark: str) -> Column:
+    """One long for an id (null allowed) and the hash of its text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(mark))
+
+
 def block_values(fps: np.ndarray) -> list[np.ndarray]:
     """For each block the bits read off its pivots: nearer to ``base ^ bit`` than to ``base``, or farther."""
     from_base = distance(fps, BASE)
@@ -225,13 +230,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Every u > v here, so a node's smaller neighbours are just its v.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = checkpointed(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.coalesce(edges.sparkSession.sparkContext.defaultParallelism).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select("u", F.col("v").alias("root"))
         state = now
@@ -273,7 +278,10 @@ def one_of_each(docs: DataFrame, prints: DataFrame | None = None, named: DataFra
         F.col("doc_id").alias(key_id), F.col("mark").alias(key_mark), "n", (order == F.col("first")).alias("keep")))
     marked = docs.withColumn(mark, mark_of("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (F.col(mark) == F.col(key_mark))
-    left = marked.join(kept.where(~F.col("keep")).select(key_id, key_mark), same, "left_anti")
+    # A bitmap tells most rows to keep where they are read; only the others' texts are shuffled, for the exact join.
+    gone, maybe = kept.where(~F.col("keep")).select(key_id, key_mark), unused("maybe_gone", docs)
+    marked = sifted(marked, key_of("doc_id", mark), key_bitmap(gone, key_of(key_id, key_mark)), maybe)
+    left = marked.where(~F.col(maybe)).unionByName(marked.where(maybe).join(gone, same, "left_anti"))
     repeated = kept.where(F.col("keep") & (F.col("n") > 1)).select(key_id, key_mark)
     if not repeated.isEmpty():
         alike = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mark])

@@ -6,7 +6,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from quirekit.llm import near_copies, simhash_pivots
+from quirekit.llm import common, near_copies, simhash_pivots
 
 SF = "/root/testdata/sf0.01"
 
@@ -99,3 +99,22 @@ def test_bands_compare_only_what_the_simhash_search_left(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "CHUNK", 3)
     monkeypatch.setattr(near_copies, "split_buckets", lambda rows, chunk: seen.append(rows.count()) or simhash_pivots.split_buckets(rows, chunk))
     assert [r.doc_id for r in near_copies.one_of_each(docs).collect()] == [0] and seen == [0, 0]
+
+
+def test_texts_are_not_shuffled_to_find_few_of_them(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], None])), "doc_id long, text string")
+    wanted = docs.select("doc_id", near_copies.mark_of("text").alias("mark")).where("doc_id < 3")
+    plan = near_copies.sets_of(docs, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    # A key joins the bitmap's words only, which are broadcast; no join by the id itself.
+    assert "LeftSemi" not in plan and "strategy=broadcast" in plan
+    assert near_copies.sets_of(docs, wanted).count() == 3
+    left = near_copies.one_of_each(docs)
+    assert "strategy=broadcast" in left._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.doc_id for r in left.collect()) == [*range(40), 41]
+
+
+def test_crowded_bitmap_changes_no_result(spark, docs, monkeypatch):
+    kept = sorted(near_copies.one_of_each(docs).collect(), key=repr)
+    monkeypatch.setattr(common, "BITMAP_WORDS", 1)
+    assert sorted(near_copies.one_of_each(docs).collect(), key=repr) == kept
