@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -101,42 +101,44 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import json
 
-    from tokenizers import Tokenizer, normalizers
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(file)
     with open(file, encoding="utf-8") as f:
         settings = json.load(f)
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids of more than 16 bits")
-    if settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _PATTERN:
+    split, *rest = settings["pre_tokenizer"]["pretokenizers"]
+    if split["pattern"]["Regex"] != _PATTERN or [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] != [("ByteLevel", False, False)]:
         raise ValueError("a tokenizer with another split pattern")
     suffix = settings["model"]["end_of_word_suffix"]
     ends_word = np.zeros(1 << 16, bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-    # Words are lower case already, and the plain set has one normal form.
+    # Words are lower case already, and the plain set has one normal form. The parts of a text of parts stand between
+    # spaces, so the pattern need not find them again.
     of_words = Tokenizer.from_file(file)
     of_words.normalizer = normalizers.Sequence([])
+    of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     known: dict[str, bytes] = {}
-    pieces: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(words: list[str]) -> None:
-        """Encode new split parts as one text; each ends with its one id of a part's end."""
-        parts = [[w] if w.isalpha() else _SPLIT.findall(w) for w in words]
-        new = list(set(chain.from_iterable(parts)).difference(pieces))
+        """Encode new split parts as one text; each ends with its one id of a part's end. A part is a word too."""
+        others = [w for w in words if not w.isalpha()]
+        parts = list(map(_SPLIT.findall, others))
+        new = [p for p in {*filter(str.isalpha, words), *chain.from_iterable(parts)} if p not in known]
         if new:
             # The fast form leaves out offsets, which nobody asks for; the ids are the same.
             ids = np.array(of_words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
             ends = np.flatnonzero(ends_word[ids]) + 1
             if len(ends) == len(new) and ends[-1] == len(ids):
                 raw, marks = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
-                pieces.update(zip(new, [raw[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)], strict=True))
+                known.update(zip(new, [raw[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)], strict=True))
             else:
-                pieces.update(zip(new, whole(new), strict=True))
-        for word, found in zip(words, parts, strict=True):
-            known[word] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+                known.update(zip(new, whole(new), strict=True))
+        known.update([(w, b"".join([known[p] for p in found])) for w, found in zip(others, parts, strict=True) if found != [w]])
 
     def by_words(texts: list[str]) -> list[bytes]:
         parted = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
@@ -160,8 +162,10 @@ def _encoder(file: str) -> Callable[[list[str]], list[bytes]]:
 
     def run(texts: list[str]) -> list[bytes]:
         if len(known) > REMEMBERED:
+            # Common words come early, so the first half is worth keeping.
+            kept = dict(islice(known.items(), REMEMBERED // 2))
             known.clear()
-            pieces.clear()
+            known.update(kept)
         plain = [not _PLAIN.search(t) and _SPECIAL not in t for t in texts]
         parted = iter(by_words([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
         return [next(parted) if p else whole([t])[0] for t, p in zip(texts, plain, strict=True)]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import random
 import zlib
 
@@ -106,3 +107,12 @@ def test_words_are_encoded_without_offsets(library, monkeypatch):
     got = vb._encoder.__wrapped__(FILE)(["Plain words, it's 12 of them", text])
     assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in ("Plain words, it's 12 of them", text)]
     assert "encode_batch_fast" in called and not {"encode", "encode_batch"} & set(called)
+
+
+def test_early_words_outlast_a_full_memory(library, monkeypatch):
+    monkeypatch.setattr(vb, "REMEMBERED", 6)
+    encode = vb._encoder.__wrapped__(FILE)
+    texts = ["alpha", "beta gamma, delta 12 epsilon. it's zeta-eta", "theta", "it's gamma, __ zeta-eta"]
+    for text in texts:
+        assert np.frombuffer(encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert inspect.getclosurevars(encode).nonlocals["known"].get("alpha")
