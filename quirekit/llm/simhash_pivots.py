@@ -35,6 +35,8 @@ from quirekit.llm.common import checkpointed, key_bitmap, seed_of, sifted, texts
 from quirekit.llm.wordhash import shingle_starts, slices, words_of
 
 SHINGLE, SEED, RADIUS, BLOCKS, PIVOTS, CHUNK = 4, 42, 4, 6, 16, 4096
+#: Edges a task of the search for components.
+TASK_EDGES = 50_000
 _WORK_BYTES = 1 << 20
 
 _cuts = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
@@ -226,20 +228,23 @@ def components(edges: DataFrame) -> DataFrame:
     their least. A round moves every node about half way to its root; only minima meet in a group, never neighbours.
     """
     edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
+    cores, rows, state = edges.sparkSession.sparkContext.defaultParallelism, edges.count(), None
     while True:
+        # Few rows go in few tasks: each task of a shuffle leaves files of its own, which would take more disk than the rows.
+        few = max(cores, -(-rows // TASK_EDGES))
+        edges = edges.coalesce(few)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few)
         # Every u > v here, so a node's smaller neighbours are just its v.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least, "u").coalesce(few)
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
-        now = edges.coalesce(edges.sparkSession.sparkContext.defaultParallelism).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = checkpointed(small.distinct().coalesce(few))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select("u", F.col("v").alias("root"))
-        state = now
+        rows, state = now[0], now
 
 
 def named_components(prints: DataFrame) -> DataFrame:
