@@ -27,10 +27,10 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """Write the frame as Parquet into a fresh place of the shared folder and read it back: smaller than a checkpoint."""
     path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.options(compression="zstd", **options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

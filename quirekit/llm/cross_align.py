@@ -8,7 +8,8 @@ pairs, summed per block of documents before the shuffle, then over the corpus.
 Texts are cut into units, white space and the word behind it, at places that no token of either vocabulary spans; each
 distinct unit is encoded and aligned once and kept in a bounded store, so a text costs a look-up for each of its words. A
 text in which such places cannot be told (other white space, the piece model's own space sign) is one unit. A block holds
-its documents' unit numbers and its units' links. Corpus-wide counts come back to a block as the counts of the pairs it
+its documents' unit numbers and its units' links; it ends early where the store is full, so a worker's memory does not hang
+on how many units a text has. Corpus-wide counts come back to a block as the counts of the pairs it
 holds, so a frequent pair is one row for each block and never one for each document. Only vectors as long as a
 vocabulary reach the driver.
 
@@ -19,10 +20,12 @@ a null id stays null; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,10 +38,12 @@ from pyspark.sql import functions as F
 from quirekit.llm.common import stored, texts_of
 from quirekit.llm.wordhash import slices
 
-#: Text bytes of a block, and bytes of units that a worker keeps between blocks.
-BLOCK_BYTES, STORE_BYTES = 16 << 20, 64 << 20
+#: Text bytes of a block, and bytes of units that a worker may hold.
+BLOCK_BYTES, STORE_BYTES = 8 << 20, 96 << 20
+#: Bytes that a unit takes besides its text, groups and links: the entries of a dictionary, a list and six arrays.
+_UNIT_BYTES = 240
 _WORK_BYTES = 1 << 20
-_JOINED_CHARS = 1 << 19
+_JOINED_CHARS = 1 << 16
 #: Characters that some engine counts as white space, and the sign that stands for a space in pieces (parts of a class).
 WIDE_BLANKS = ["\t", "\n", "\v", "\f", "\r", "\x1c-\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2000-\u200f", "\u2028", "\u2029", "\u202f", "\u205f", "\u2060", "\u3000", "\ufeff", "\u2581"]
 #: Those of them that all engines count as such; units may be cut before one if no piece holds it.
@@ -56,6 +61,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def release() -> None:
+    """Hand freed memory back to the system, which else counts it to the worker for as long as that lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Growing:
     """An array that is appended to."""
 
@@ -135,7 +148,7 @@ class Aligner:
         new = [u for u in dict.fromkeys(units) if u not in self.known]
         if new:
             self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        return np.fromiter(map(self.known.__getitem__, units), np.int32, len(units))
 
     def _alone(self, unit: str) -> tuple[list[int], list[int]] | None:
         """Ids of one unit by both tokenizers, or nothing if the bytes of either differ from it."""
@@ -192,7 +205,6 @@ class Aligner:
     def _store(self, units: list[str], good: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
         at = len(self.known)
         self.known.update(zip(units, range(at, at + len(units)), strict=True))
-        self.bytes_kept += sum(map(len, units)) + 300 * len(units)
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         # Between two neighbouring ends of either side lies just one overlapping pair.
         ends = np.union1d(ends_a, ends_b)
@@ -217,7 +229,10 @@ class Aligner:
             2 * len(self.a_bytes) + b + len(self.b_bytes) * np.r_[group_b[1:] != group_b[:-1], True][: len(b)])
         parts = list(map(self.printed.__getitem__, codes.tolist()))
         stops = np.cumsum(n_a + n_b).tolist()
-        self.groups += [b"".join(parts[s:e])[:-1] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+        groups = [b"".join(parts[s:e])[:-1] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+        self.groups += groups
+        self.bytes_kept += sum(map(sys.getsizeof, units)) + sum(map(sys.getsizeof, groups)) + _UNIT_BYTES * len(units)
+        self.bytes_kept += len(link_a) * (2 * np.dtype(self.kind).itemsize + 1)
 
 
 @lru_cache(maxsize=1)
@@ -267,12 +282,12 @@ class Block:
     def row(self, number: int) -> pa.RecordBatch:
         known = self.known
         numbers = np.concatenate(self.numbers)
-        distinct, inverse, counts = np.unique(numbers, return_inverse=True, return_counts=True)
+        counts = np.bincount(numbers, minlength=known.good.size)
+        distinct = np.flatnonzero(counts)
         # Frequent units get small numbers, which take fewer bytes.
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        distinct = distinct[order]
+        distinct = distinct[np.argsort(-counts[distinct], kind="stable")]
+        rank = np.zeros(known.good.size, np.uint32)
+        rank[distinct] = np.arange(len(distinct))
         n_links = known.n_links.values[distinct]
         at = spread_ranges(known.link_end.values[distinct] - n_links, n_links)
         lists = [np.concatenate([s[i] for s in self.sums]) for i in range(4)]
@@ -281,30 +296,34 @@ class Block:
             *(pa.array([v.astype(np.int32)], pa.list_(pa.int32())) for v in lists),
             pa.array([self.digests], pa.list_(pa.string())), pa.array([np.concatenate(self.sizes).astype(np.int32)], pa.list_(pa.int32())),
             *(pa.array([b], pa.binary()) for b in (
-                planes(rank[inverse.ravel()]), planes(n_links), known.link_a.values[at].tobytes(), known.link_b.values[at].tobytes(), np.packbits(known.link_same.values[at]).tobytes()))]
+                planes(rank[numbers]), planes(n_links), known.link_a.values[at].tobytes(), known.link_b.values[at].tobytes(), np.packbits(known.link_same.values[at]).tobytes()))]
         return pa.record_batch(columns, [c.strip().split(" ")[0] for c in BLOCK_SCHEMA.split(",")])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], known: Aligner, number: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's documents, numbered from ``number``; units are numbered by the store, so a block ends where that is full."""
+    block = Block(known)
+    for whole in batches:
+        for batch in slices(whole, "text", min(_WORK_BYTES, block_bytes)):
+            block.add(batch.column(0), batch.column(1).to_pylist())
+            if block.size >= block_bytes or known.bytes_kept > STORE_BYTES:
+                row = block.row(number)
+                block = Block(known)
+                number += 1
+                # A store more than half full would end the next block before its time.
+                if known.bytes_kept > STORE_BYTES // 2:
+                    known.forget()
+                release()
+                yield row
+    if block.ids:
+        yield block.row(number)
+
+
 def encode_blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each block of documents, see ``BLOCK_SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(a_path, b_path)
-        number = TaskContext.get().partitionId() << 32
-        block = Block(known)
-        for whole in batches:
-            for batch in slices(whole, "text", min(_WORK_BYTES, block_bytes)):
-                block.add(batch.column(0), batch.column(1).to_pylist())
-                if block.size >= block_bytes:
-                    yield block.row(number)
-                    number += 1
-                    if known.bytes_kept > STORE_BYTES:
-                        known.forget()
-                    block = Block(known)
-        if block.ids:
-            yield block.row(number)
-        if known.bytes_kept > STORE_BYTES:
-            known.forget()
+        yield from _blocks(batches, aligner(a_path, b_path), TaskContext.get().partitionId() << 32, block_bytes)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts_of(named, "doc_id").mapInArrow(run, BLOCK_SCHEMA)
@@ -322,6 +341,7 @@ def _counted(batches: Iterator[pa.RecordBatch], kind, identity: np.ndarray) -> I
     """``block, code, n`` of blocks."""
     # Blocks are all that is needed from here on: the worker lets go of tokenizers and units.
     aligner.cache_clear()
+    release()
     vector = np.zeros(len(identity), np.int64)
     for batch in batches:
         for row in range(batch.num_rows):
@@ -353,7 +373,8 @@ class Alignment:
 
     def __init__(self, docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> None:
         self.paths = a_path, b_path
-        self.blocks = stored(encode_blocks(docs, a_path, b_path, block_bytes), "align-blocks")
+        # A block is megabytes: as many as Parquet gathers to a row group would be written, and read again, at once.
+        self.blocks = stored(encode_blocks(docs, a_path, b_path, block_bytes), "align-blocks", **{"parquet.block.row.count.limit": "1"})
         self.counts = stored(count_pairs(self.blocks, a_path, b_path), "align-counts")
         self.totals = stored(self.counts.groupBy("code").agg(F.sum("n").alias("n")), "align-totals")
 
@@ -382,6 +403,7 @@ class Alignment:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             aligner.cache_clear()
+            release()
             most, vector = sizes.value
             for batch in batches:
                 for row in range(batch.num_rows):

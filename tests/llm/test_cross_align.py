@@ -143,3 +143,56 @@ def test_counting_lets_go_of_the_tokenizers():
     got = [r for batch in cross_align._counted(iter(rows), known.kind, known.identity) for r in batch.to_pylist()]
     assert cross_align.aligner.cache_info().currsize == 0
     assert sum(r["n"] for r in got) == sum(v.sum() for v in (s[3] for s in block.sums)) and {r["block"] for r in got} <= {0, None}
+
+
+def _bound_rows():
+    """Texts of words that never come again, and texts without a place to cut them."""
+    return [" ".join(f"w{i}x{j * 7919}" for j in range(300)) for i in range(12)] + [" ".join(f"v{i}y{j}\u3000z" for j in range(200)) for i in range(12)]
+
+
+def test_units_are_counted_with_all_they_hold():
+    """What a store reports is no less than its texts, printed groups and links: a text that is one unit is mostly the latter."""
+    known = cross_align.Aligner(A, B)
+    for text in _bound_rows():
+        known.numbers_of(known.units_of(text))
+    held = sum(len(u.encode()) for u in known.known) + sum(map(len, known.groups)) + known.link_a.values.nbytes + known.link_b.values.nbytes
+    assert held < known.bytes_kept < 10 * held
+
+
+def test_blocks_end_where_the_store_is_full(libraries, monkeypatch):
+    """A store holds no more than its bound and one batch of texts, and the blocks it ends give the same documents."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(cross_align, "STORE_BYTES", 200_000)
+    monkeypatch.setattr(cross_align, "_WORK_BYTES", 4_000)
+    known = cross_align.Aligner(A, B)
+    texts = _bound_rows()
+    most, learn = [0], known._learn
+
+    def watched(units):
+        learn(units)
+        most[0] = max(most[0], known.bytes_kept)
+
+    monkeypatch.setattr(known, "_learn", watched)
+    rows = list(cross_align._blocks(iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]), known, 5, 1 << 30))
+    assert len(rows) > 3 and 200_000 < most[0] < 600_000
+    assert [r.column("block")[0].as_py() for r in rows] == list(range(5, 5 + len(rows)))
+    got = [x for r in rows for x in zip(*(r.column(c)[0].as_py() for c in ("doc_ids", "n_a", "n_b", "digests")), strict=True)]
+    want = []
+    for i, text in enumerate(texts):
+        left, right = libraries(text)
+        want.append((i, len(left), len(right)))
+    assert [g[:3] for g in got] == want
+    whole = cross_align.Block(cross_align.Aligner(A, B))
+    whole.add(pa.array(range(len(texts))), texts)
+    assert [g[3] for g in got] == whole.digests
+
+
+def test_a_row_group_is_one_block(spark):
+    """Blocks are megabytes each; a file that holds many is neither gathered nor read as one."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
+    made = cross_align.Alignment(docs, A, B, block_bytes=5_000)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in made.blocks.inputFiles()]
+    assert max(f.num_rows for f in files) > 3 and all(f.num_row_groups == f.num_rows for f in files)
