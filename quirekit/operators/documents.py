@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirekit.functions import html, legal, text
-from quirekit.functions.classify import looks_legal
+from quirekit.functions.classify import looks_legal, may_be_legal
 from quirekit.functions.glossary import expand_abbreviations
 from quirekit.functions.rewrite import let
 from quirekit.operators.pages import keep_unless_shrunk
@@ -56,6 +58,31 @@ def staged(frame: DataFrame, column: str, steps: list) -> DataFrame:
     return frame
 
 
+def staged_pages(frame: DataFrame, column: str, steps: list) -> DataFrame:
+    """``staged`` for rules on pages: neighbouring rules for the inside of main share one cut of the page.
+
+    A ``bare`` rule leaves an inside with headings alone, so those that have one when the page is cut skip all such rules.
+    """
+    names, cut, bare = frame.columns, "_main", "_bare"
+    for inside, group in groupby(steps, key=lambda step: hasattr(step, "inside")):
+        if not inside:
+            frame = staged(frame, column, list(group))
+            continue
+        parts = frame.withColumn(cut, F.explode(F.array(html.main_parts(F.col(column)))))
+        others = [n for n in names if n != column]
+        parts = parts.select(*others, F.col(f"{cut}.before").alias(f"{cut}_before"), F.col(f"{cut}.after").alias(f"{cut}_after"), F.col(f"{cut}.inner").alias(column))
+        parts = parts.withColumn(bare, F.explode(F.array(F.col(column).isNotNull() & ~html.has_heading(F.col(column)))))
+
+        def only(step):
+            wanted = F.col(bare) if step.bare else F.col(column).isNotNull()
+            return lambda inner: F.when(wanted, step.inside(inner)).otherwise(inner)
+
+        parts = staged(parts, column, [only(step) for step in group])
+        whole = F.concat(F.col(f"{cut}_before"), F.coalesce(column, F.lit("")), F.col(f"{cut}_after"))
+        frame = parts.withColumn(column, whole).select(*names)
+    return frame
+
+
 def apply_contract(frame: DataFrame, column: str, only: Column | None = None) -> DataFrame:
     """LEG-01: the legal contract on a column, for rows where ``only`` holds; other rows are not cut."""
     held = "_blocks"
@@ -79,12 +106,10 @@ def normalize_documents(frame: DataFrame, column: str = "html", title: Column |
     With ``title``, a cover without a heading gets one of it; with ``contents``, main gets a table of contents.
     """
     cleaned = staged(frame, column, CLEANING_PASSES)
-    legal_body = looks_legal(text.visible_text(F.col(column)))
-    done = staged(apply_contract(cleaned, column, legal_body), column, [*HEADING_PASSES[:-2]])
-    if title is not None:
-        done = staged(done, column, [lambda body: html.title_cover(body, title)])
+    legal_body = F.when(may_be_legal(F.col(column)), looks_legal(text.visible_text(F.col(column))))
+    cover = [lambda body: html.title_cover(body, title)] if title is not None else []
     late = [*HEADING_PASSES[-2:], html.strip_running_head_h1s, *([with_contents] if contents else [])]
-    return staged(done, column, late)
+    return staged_pages(apply_contract(cleaned, column, legal_body), column, [*HEADING_PASSES[:-2], *cover, *late])
 
 
 def sanitize_output(frame: DataFrame, column: str, fmt: Column, profile: Column, preserve_pages: Column | None = None, pages: bool = True) -> DataFrame:

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quirekit.functions import html, legal, qa
-from quirekit.operators.documents import normalize_documents, staged
+from quirekit.functions.classify import is_page_furniture, looks_legal, may_be_legal
+from quirekit.functions.text import strip_tags, visible_text
+from quirekit.operators.documents import HEADING_PASSES, normalize_documents, staged, staged_pages
 
 
 def main(body):
@@ -126,6 +129,49 @@ def test_normalize_takes_bodies_of_any_length(spark):
     assert got == [main(f"<h1>SECTION ONE</h1><p>{body}</p>") for body in bodies]
 
 
+def test_normalize_cuts_a_page_few_times(spark):
+    """Neighbouring rules for the inside of main share one cut, and leaked wrappers are looked for once."""
+    plan = normalize_documents(spark.createDataFrame([("<main></main>",)], "html string"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(html.MAIN_CLOSE_AHEAD) <= 4
+
+
+def test_one_cut_gives_what_many_give(spark):
+    """Pages without, with two or with an unclosed main, and such that one rule or several change."""
+    bodies = ["", "x", "<p>SECTION ONE</p><p>x</p>", "<h2>Short</h2><p><b>Bold</b></p><h2>B</h2>", "<h3>Deep</h3><p>x</p>",
+              "<p>Topics</p><ul><li><strong>A</strong></li><li><strong>B</strong></li></ul><p>INDEX</p>",
+              "<p>Steps</p><p>1. Open. the door</p><p>2. Close. it</p>", "<p>Terms</p><dl><dt>Alpha</dt><dd>x</dd></dl>",
+              "<p>List</p>\n<ol><li>First<br>x</li></ol>", "<p>a<ol></ol></p>", "<dl></dl></p><dl></dl>", "Bare title\n\n<p>1. Load. it</p><p>2. Aim. well</p>",
+              "<h2>INDEX</h2>", "<header>INDEX</header>", "<h1>T</h1><p><b>Sub</b></p><p><strong>12A Objects</strong></p>"]
+    pages = [w.replace("@", b) for b in bodies for w in ("<main>@</main>", "@", "a<MAIN id='x'>@</main >b<main>@</main>", "<main>@")] + [None]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    shown = lambda made: [r.html for r in made.orderBy("i").collect()]
+    assert shown(staged_pages(frame, "html", HEADING_PASSES)) == shown(staged(frame, "html", HEADING_PASSES))
+
+
+def test_lists_are_not_looked_for_from_every_paragraph(apply):
+    """Time for a page of paragraphs without a list grows with its length, not with its square."""
+    page = main("".join(f"<p>the words of paragraph number {i}, which is as long as any other one in this text</p>" for i in range(6000)))
+    start = time.perf_counter()
+    assert apply(html.promote_ordered_list, [page]) == [page] and apply(html.promote_definition_list, [page]) == [page]
+    assert time.perf_counter() - start < 8
+
+
+def test_skipped_blocks_hold_nothing_to_find(spark):
+    """What the cheap tests rule out, the whole tests do not hold for: with entities, tags, breaks inside tags and broken encodings."""
+    bits = ["12", "xii", "page 4", "4a", "No. 4, 2023", "Privacy Act 1988", "Tax Rules 2004", "act1988", "fact", "words", "SECTION 4", "Part 2", "Chapter", "enacts",
+            "This Act", "&nbsp;", "&amp;nbsp;", "&ndash;", "&#160;", "\u00c2", "\u00c2\u00a0", "<b>", "</b>", "<br>", "<a<br>b>", "<", "&", " ", "-", "|", "\u2013", "\u00e9", ".", ":"]
+    rnd = random.Random(7)
+    blocks = [f"<p>{''.join(rnd.choice(bits) for _ in range(rnd.randint(1, 5)))}</p>" for _ in range(6000)]
+    frame = spark.createDataFrame(list(enumerate(blocks)), "i int, v string")
+    v = F.col("v")
+    found = frame.select(
+        "v", html.may_be_furniture(v).alias("may"), is_page_furniture(strip_tags(v)).alias("is"),
+        may_be_legal(v).alias("may_legal"), looks_legal(visible_text(v)).alias("legal"))
+    rows = found.collect()
+    assert not [r.v for r in rows if r["is"] and not r.may] and not [r.v for r in rows if r.legal and not r.may_legal]
+    assert sum(r["is"] for r in rows) > 300 and sum(not r.may for r in rows) > 300 and any(r.legal for r in rows) and sum(not r.may_legal for r in rows) > 300
+
+
 def test_normalize_cleans_what_leaked(spark):
     page = '<main><style>p{}</style><div style="x"><h2>One<br>two</h2><p>Some text here.</p></div></main>'
     got = normalize_documents(spark.createDataFrame([(page,)], "html string")).first().html
